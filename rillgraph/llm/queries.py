@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm import canonical, near_duplicates, repeated_lines, term_frequency
+from rillgraph.llm import canonical, near_duplicates, repeated_lines, similar_vectors, subjects, term_frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,34 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_degrees(_read(spark, sf_dir, "posts"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every post."""
+    posts = _read(spark, sf_dir, "posts")
+    model = subjects.fit_subjects(posts, _read(spark, sf_dir, "subject_labels"), _read(spark, sf_dir, "subject_lexicon"))
+    return subjects.subjects_of_posts(posts, model).select("pid", "subject_idx")
+
+
+def p5_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts and tokens of each subject."""
+    posts = _read(spark, sf_dir, "posts")
+    model = subjects.fit_subjects(posts, _read(spark, sf_dir, "subject_labels"), _read(spark, sf_dir, "subject_lexicon"))
+    return subjects.composition(posts, subjects.subjects_of_posts(posts, model))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of cosine 0.9 or more, one among the five most similar of the other."""
+    return similar_vectors.similar_pairs(_neighbours(spark, sf_dir))
+
+
+def p6_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar vectors of every vector."""
+    return _neighbours(spark, sf_dir)
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors.most_similar(similar_vectors.all_vectors(_read(spark, sf_dir, "subject_events"), _read(spark, sf_dir, "final_events")))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_clean_posts, p2_found, p2_frequencies, p3_found, p3_consistent_posts, p4_found, p4_classes)
+    f.__name__: f for f in (p1_found, p1_clean_posts, p2_found, p2_frequencies, p3_found, p3_consistent_posts, p4_found, p4_classes, p5_found, p5_composition, p6_found, p6_similar)
 }
