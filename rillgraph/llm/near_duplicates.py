@@ -113,10 +113,13 @@ def _key_batches(token: np.ndarray, count: np.ndarray, unknown: int, at_least: F
 def _meeting(cols: list[np.ndarray], at_least: Fraction) -> Iterator[pa.RecordBatch]:
     """Pairs of rows under one key that pass the size and sketch filters. Rows are sorted by key."""
     key, rep, n, small, sketch = cols
-    first = np.r_[True, key[1:] != key[:-1]]
-    start = np.nonzero(first)[0]
-    end = np.repeat(np.r_[start[1:], len(key)], np.diff(np.r_[start, len(key)]))
-    later = end - np.arange(len(key)) - 1
+    group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    order = np.lexsort((n, group))
+    rep, small, sketch, n = rep[order], small[order], sketch[order], n[order].astype("int64")
+    widest = int(n.max()) + 1
+    at = group[order] * widest + n  # by group, then size: a row is met with later rows that are not too large for it
+    reach = group[order] * widest + np.minimum(n * at_least.denominator // at_least.numerator, widest - 1)
+    later = np.where(small, np.searchsorted(at, reach, "right") - np.arange(len(at)) - 1, 0)
     i = np.nonzero(later > 0)[0]
     done = np.r_[0, np.cumsum(later[i])]
     lo = 0
@@ -126,11 +129,10 @@ def _meeting(cols: list[np.ndarray], at_least: Fraction) -> Iterator[pa.RecordBa
         a = np.repeat(part, later[part])
         b = a + 1 + np.arange(len(a)) - np.repeat(done[lo:hi] - done[lo], later[part])
         lo = hi
-        na, nb = n[a].astype("int64"), n[b].astype("int64")
-        least = _ceil(at_least / (1 + at_least), na + nb)
-        ok = (np.minimum(na, nb) * at_least.denominator >= np.maximum(na, nb) * at_least.numerator) & (rep[a] != rep[b])
-        ok &= np.where(na < nb, small[a], np.where(na > nb, small[b], small[a] & small[b]))
-        ok &= np.bitwise_count((sketch[a] ^ sketch[b]).view("uint64")) <= na + nb - 2 * least
+        both = n[a] + n[b]
+        ok = np.bitwise_count((sketch[a] ^ sketch[b]).view("uint64")) <= both - 2 * _ceil(at_least / (1 + at_least), both)
+        a, b = a[ok], b[ok]
+        ok = (rep[a] != rep[b]) & (small[b] | (n[a] < n[b]))
         if ok.any():
             a, b = rep[a[ok]], rep[b[ok]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["rep_a", "rep_b"])
@@ -156,7 +158,7 @@ def _meet_batches(at_least: Fraction):
     return run
 
 
-def similar_classes(sets: DataFrame, threshold: float = 0.7, light: int = 200, crowd: int = 400, frequency_rows: int = FREQUENCY_ROWS, broadcast_rows: int = 200_000) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: float = 0.7, light: int = 1000, crowd: int = 400, frequency_rows: int = FREQUENCY_ROWS, broadcast_rows: int = 200_000) -> DataFrame:
     """``(rep_a, rep_b, shared, size_a, size_b)``: every two representatives of at least that similarity, smaller first.
 
     ``sets`` is a written result of :func:`token_sets`. ``frequency_rows`` bounds the table of frequencies on the driver;
