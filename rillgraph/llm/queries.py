@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm import canonical, near_duplicates, repeated_lines, similar_vectors, subjects, term_frequency
+from rillgraph.llm import canonical, mixing, near_duplicates, packing, quality, repeated_lines, similar_vectors, subjects, term_frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,42 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors.most_similar(similar_vectors.all_vectors(_read(spark, sf_dir, "subject_events"), _read(spark, sf_dir, "final_events")))
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a container of every capacity."""
+    return packing.pack(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pack_specs"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    specs = _read(spark, sf_dir, "pack_specs")
+    return packing.packing_report(packing.pack(_read(spark, sf_dir, "documents"), specs), specs)
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, in its order."""
+    return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    targets = _read(spark, sf_dir, "mix_targets")
+    return mixing.mixture_report(mixing.mix(_read(spark, sf_dir, "documents"), targets), targets)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are a list, a table or junk."""
+    return _quality(spark, sf_dir).where("not is_prose").select("doc_id")
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, and whether it is prose."""
+    return _quality(spark, sf_dir)
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "common_words"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_clean_posts, p2_found, p2_frequencies, p3_found, p3_consistent_posts, p4_found, p4_classes, p5_found, p5_composition, p6_found, p6_similar)
+    f.__name__: f for f in (p1_found, p1_clean_posts, p2_found, p2_frequencies, p3_found, p3_consistent_posts, p4_found, p4_classes, p5_found, p5_composition, p6_found, p6_similar, p7_pack, p7_report, p8_mix, p8_report, p9_found, p9_statistics)
 }
