@@ -1,8 +1,716 @@
-"""Registry of the queries over the test tables, with their SQL."""
+"""Queries over the test tables, one or more for each operator, and their SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillgraph.config import Options
+from rillgraph.functions import text, vectors
+from rillgraph.operators import burst, cluster, evaluate, events, graph, subjects, triples, windows
+from rillgraph.plans import pipeline
+from rillgraph.plans.materialize import materialize
+from rillgraph.sources import corpus, kgstore, results
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+HOUR = 3600.0  # interval of the burst queries: an hour suits the posts' two months better than the default minute
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its name, with its SQL where SQL can express it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def _read(s: SparkSession, d: str, table: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{table}.parquet")
+
+
+def _posts(s: SparkSession, d: str) -> DataFrame:
+    return windows.with_windows(windows.distinct_posts(corpus.scan_posts(s, f"{d}/posts.parquet")))
+
+
+def _lexicon(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "subject_lexicon")
+
+
+def _scores(s: SparkSession, d: str) -> DataFrame:
+    return subjects.KeywordClassifier(_lexicon(s, d)).scores(_posts(s, d))
+
+
+def _assigned(s: SparkSession, d: str) -> DataFrame:
+    return subjects.assign_subjects(_scores(s, d), 0.5)
+
+
+def _graphs(s: SparkSession, d: str) -> DataFrame:
+    return kgstore.graphs(_read(s, d, "kg_store"))
+
+
+def _placed(s: SparkSession, d: str) -> DataFrame:
+    return graph.placed_triples(_posts(s, d), _assigned(s, d), _graphs(s, d))
+
+
+def _mentions(s: SparkSession, d: str) -> DataFrame:
+    return graph.mentions(_placed(s, d))
+
+
+def _now(s: SparkSession, d: str) -> float:
+    return corpus.scan_posts(s, f"{d}/posts.parquet").agg(F.max(text.epoch_seconds("dt"))).first()[0] or 0.0
+
+
+def _round(c: str, to: str | None = None, places: int = 6):  # noqa: ANN202
+    return F.round(c, places).alias(to or c)
+
+
+# -- shared SQL --------------------------------------------------------------------------------------------------
+
+SPACES = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def squeezed_sql(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{SPACES}', ' ', 'g'))"
+
+
+def normal_sql(c: str) -> str:
+    return squeezed_sql(f"translate(coalesce({c}, ''), 'يك' || chr(8204), 'یک ')")
+
+
+POSTS_SQL = """
+p0 as (select * from (select *, row_number() over (partition by pid order by dt, window_no) k from posts) where k = 1),
+p as (select *, cast(floor((epoch_us(dt) - epoch_us((select date_trunc('day', min(dt)) from p0))) / (12 * 3600 * 1e6)) as bigint) + 1 as win,
+      epoch_us(dt) / 1e6 as t from p0)"""
+SCORES_SQL = (
+    POSTS_SQL
+    + """,
+lex as (select distinct subject_idx, term from subject_lexicon where subject_idx is not null and term is not null),
+hits as (select pid, subject_idx, count(*) hits from (select distinct pid, unnest(tokens) term from p) join lex using (term) group by all),
+scores as (select pid, subject_idx, cast(hits as float) / cast(sum(hits) over (partition by pid) as float) score from hits),
+assigned as (select pid, subject_idx from scores where score >= 0.5)"""
+)
+CLEAN_SQL = f"""
+last as (select * from (select *, row_number() over (partition by pid order by seq desc) k from kg_store) where k = 1),
+raw as (select pid, unnest(triples) m, generate_subscripts(triples, 1) i from last),
+parts as (select pid, i, {squeezed_sql("coalesce(m[1], '')")} h, {squeezed_sql("coalesce(m[2], '')")} r0, {squeezed_sql("coalesce(m[3], '')")} o from raw where len(m) = 3),
+good as (select pid, i, h, case when r0 = '' then 'مرتبط با' else r0 end r, o from parts),
+kept as (select pid, h, r, o, min(i) i from good where h <> '' and o <> '' and h <> o and greatest(length(h), length(r), length(o)) <= 60 group by all),
+graphs as (select pid, h, r, o, row_number() over (partition by pid order by i) - 1 as pos from kept)"""
+PLACED_SQL = SCORES_SQL + "," + CLEAN_SQL + ",\nplaced as (select subject_idx, pid, t, pos, h, r, o from graphs join (select pid, t from p) using (pid) join assigned using (pid))"
+MENTIONS_SQL = (
+    PLACED_SQL
+    + f""",
+men as (select * from (
+  select subject_idx, 'node' kind, {normal_sql("h")} phrase, h surface, t, pid, pos, 0 as rol from placed union all
+  select subject_idx, 'node', {normal_sql("o")}, o, t, pid, pos, 1 from placed union all
+  select subject_idx, 'edge', {normal_sql("r")}, r, t, pid, pos, 2 from placed) where phrase <> ''),
+rels as (select * from (select subject_idx, {normal_sql("h")} n1, {normal_sql("r")} e, {normal_sql("o")} n2, t, pid, pos from placed) where n1 <> '' and e <> '' and n2 <> '' and n1 <> n2)"""
+)
+BURST_SQL = (
+    MENTIONS_SQL
+    + """,
+clock as (select max(epoch_us(dt) / 1e6) as now from posts),
+born as (select subject_idx, kind, phrase, min(t) t1, count(*) n from men group by all),
+m as (select *, greatest(1, cast(ceil((now - t1) / 3600) as bigint)) m from born, clock),
+bins as (select subject_idx, kind, phrase, t1, n, m, now, least(cast(floor((t - t1) / 3600) as bigint), m - 1) k from men join m using (subject_idx, kind, phrase)),
+burst as (select subject_idx, kind, phrase, n, t1, case when m <= 1 then 1.0 else (n * 0.1 + 0.9 * x / (m - 1)) / (n * 1.0 - 0.9 * x / (m - 1)) end score
+          from (select subject_idx, kind, phrase, n, t1, m, sum(k) x from bins group by all))"""
+)
+ALIVE_SQL = BURST_SQL + ",\nalive as (select subject_idx, kind, phrase, score from burst where score >= 1.2)"
+PRUNED_SQL = (
+    ALIVE_SQL
+    + """,
+pruned as (select * from rels where exists (select 1 from alive x where x.subject_idx = rels.subject_idx and x.kind = 'node' and x.phrase = n1)
+  and exists (select 1 from alive x where x.subject_idx = rels.subject_idx and x.kind = 'node' and x.phrase = n2)
+  and exists (select 1 from alive x where x.subject_idx = rels.subject_idx and x.kind = 'edge' and x.phrase = e)),
+pairs as (select subject_idx, a, b, greatest(max(coalesce(score, 0)), 0) weight from (
+  select r.subject_idx, least(n1, n2) a, greatest(n1, n2) b, x.score from pruned r left join alive x on x.subject_idx = r.subject_idx and x.kind = 'edge' and x.phrase = r.e) group by all)"""
+)
+
+
+# -- scans, windows, statistics ----------------------------------------------------------------------------------
+
+
+@query(f"with {POSTS_SQL} select pid, win as \"window\" from p")
+def q_window_assign(s: SparkSession, d: str) -> DataFrame:
+    return _posts(s, d).select("pid", "window")
+
+
+@query(f"with {POSTS_SQL} select pid, cast(window_no as bigint) as \"window\" from p0")
+def q_file_windows(s: SparkSession, d: str) -> DataFrame:
+    return windows.with_windows(windows.distinct_posts(corpus.scan_posts(s, f"{d}/posts.parquet")), 0).select("pid", "window")
+
+
+@query(f"with {POSTS_SQL} select win as \"window\", min(t) first_s, max(t) last_s, count(*) n_posts from p group by 1")
+def q_window_stats(s: SparkSession, d: str) -> DataFrame:
+    return windows.window_stats(_posts(s, d))
+
+
+@query(f"with {POSTS_SQL} select win as \"window\", row_number() over (order by win) as ordinal from (select distinct win from p)")
+def q_window_ordinals(s: SparkSession, d: str) -> DataFrame:
+    return windows.window_ordinals(_posts(s, d))
+
+
+@query(f"with {POSTS_SQL} select pid, win as \"window\" from (select pid, win, dense_rank() over (order by win) k from p) where k <= 10")
+def q_max_windows(s: SparkSession, d: str) -> DataFrame:
+    return windows.first_windows(_posts(s, d), 10).select("pid", "window")
+
+
+@query(f"""with {POSTS_SQL} select cast(sum(n) as bigint) n_posts, count(*) n_windows, min(a) first_s, max(b) last_s, round(avg(n), 6) posts_a_window
+from (select win, count(*) n, min(t) a, max(t) b from p group by 1)""")
+def q_stream_stats(s: SparkSession, d: str) -> DataFrame:
+    return windows.stream_stats(_posts(s, d)).select("n_posts", "n_windows", "first_s", "last_s", _round("posts_a_window"))
+
+
+@query(f"with {POSTS_SQL} select pid, coalesce(array_to_string(tokens, ' '), '') as \"text\" from p")
+def q_text(s: SparkSession, d: str) -> DataFrame:
+    return _posts(s, d).select("pid", text.text_of("tokens").alias("text"))
+
+
+@query(f"with {POSTS_SQL} select pid, unnest(tokens) token, unnest(range(len(tokens))) as pos, window_no from p0")
+def q_nested_scan(s: SparkSession, d: str) -> DataFrame:
+    """The nested form of the corpus, one row per window of one post each, read back into posts."""
+    one = windows.distinct_posts(_read(s, d, "posts"))
+    nested = one.select(*(F.array(c).alias(n) for c, n in (("pid", "pids"), ("tokens", "tokens"), ("types", "types"), ("deleted", "deleted"), ("dt", "dts"), ("user_id", "user_ids"))), "window_no")
+    return corpus.from_nested(nested).select("pid", F.posexplode("tokens").alias("pos", "token"), "window_no").select("pid", "token", F.col("pos").cast("long").alias("pos"), "window_no")
+
+
+# -- text --------------------------------------------------------------------------------------------------------
+
+
+@query(f"select distinct t as token, {normal_sql('t')} as phrase from (select unnest(tokens) t from posts)")
+def q_normalise_phrase(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "posts").select(F.explode("tokens").alias("token")).distinct().select("token", text.normalise_phrase(F.col("token")).alias("phrase"))
+
+
+@query(r"select doc_id, translate(regexp_replace(text, '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g'), 'يك', 'یک') as plain from documents")
+def q_strip_punctuation(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "documents").select("doc_id", text.strip_punctuation(F.col("text")).alias("plain"))
+
+
+_ALIASES = ", ".join(f"('{k}', '{v}')" for k, v in subjects.LABEL_SUBJECTS.items())
+
+
+@query(f"""with names(name, subject) as (values {_ALIASES}), l as (select distinct label, trim(translate(lower({normal_sql('label')}), '_', ' ')) k from subject_labels)
+select label, coalesce((select min(subject) from names where name = k), (select min(subject) from names where replace(name, ' ', '') = replace(k, ' ', ''))) subject from l""")
+def q_canonical_subject(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "subject_labels").select("label").distinct().select("label", subjects.canonical_subject(F.col("label")).alias("subject"))
+
+
+# -- subjects ----------------------------------------------------------------------------------------------------
+
+
+@query(f"with {SCORES_SQL} select pid, subject_idx, round(cast(score as double), 6) score from scores")
+def q_keyword_scores(s: SparkSession, d: str) -> DataFrame:
+    return _scores(s, d).select("pid", "subject_idx", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+@query(f"with {SCORES_SQL} select pid, subject_idx from assigned")
+def q_assign_subjects(s: SparkSession, d: str) -> DataFrame:
+    return _assigned(s, d)
+
+
+@query(f"with {SCORES_SQL} select pid, user_id from p where pid in (select pid from assigned)")
+def q_noise_drop(s: SparkSession, d: str) -> DataFrame:
+    return subjects.labelled_posts(_posts(s, d), _assigned(s, d)).select("pid", "user_id")
+
+
+_NAMES = ", ".join(f"({i}, '{x}')" for i, x in [*enumerate(subjects.SUBJECTS), (-1, "(unlabelled)")])
+
+
+@query(f"""with {SCORES_SQL}, names(i, subject) as (values {_NAMES}) select i as subject_idx, subject,
+case when i = -1 then (select count(*) from p where pid not in (select pid from assigned)) else (select count(*) from assigned where subject_idx = i) end n_posts from names""")
+def q_subject_counts(s: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_counts(_posts(s, d), _assigned(s, d))
+
+
+@query(f"""with {SCORES_SQL}, best as (select coalesce(max(score), 0) b from p left join scores using (pid) group by pid),
+o as (select cast(b as double) b, row_number() over (order by b) k, count(*) over () n from best),
+c as (select (select b from o where k = least(795, n)) lo, coalesce((select b from o where k = least(795, n) + 1), (select b from o where k = least(795, n)) + 1) hi from (select max(n) n from o))
+select round(case when hi > lo then (lo + hi) / 2 else lo + 1e-9 end, 6) threshold from c""")
+def q_calibrate_threshold(s: SparkSession, d: str) -> DataFrame:
+    return subjects.calibrated_threshold(_posts(s, d), _scores(s, d)).select(_round("threshold"))
+
+
+@query("""with l as (select vec_id as pid, unnest(range(len(embedding))) as label, unnest(embedding) as logit from embeddings),
+e as (select pid, label, exp(cast(logit as double) - max(cast(logit as double)) over (partition by pid)) x from l),
+f as (select pid, label, x / sum(x) over (partition by pid) score from e)
+select pid, cast(label % 8 as integer) subject_idx, round(max(cast(score as float))::double, 5) score from f group by all""")
+def q_softmax_subjects(s: SparkSession, d: str) -> DataFrame:
+    """The places of a vector as the logits of a classifier's labels, eight subjects in turn."""
+    logits = _read(s, d, "embeddings").select(F.col("vec_id").alias("pid"), F.posexplode("embedding").alias("label", "logit")).withColumn("logit", F.col("logit").cast("double"))
+    return subjects.logits_to_scores(logits, {i: i % 8 for i in range(64)}).select("pid", "subject_idx", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+@query("""select vec_id as pid, cast(label % 8 as integer) subject_idx, round(max(cast(1 / (1 + exp(-cast(logit as double))) as float))::double, 5) score
+from (select vec_id, unnest(range(len(embedding))) as label, unnest(embedding) as logit from embeddings) group by all""")
+def q_sigmoid_subjects(s: SparkSession, d: str) -> DataFrame:
+    logits = _read(s, d, "embeddings").select(F.col("vec_id").alias("pid"), F.posexplode("embedding").alias("label", "logit")).withColumn("logit", F.col("logit").cast("double"))
+    return subjects.logits_to_scores(logits, {i: i % 8 for i in range(64)}, "sigmoid").select("pid", "subject_idx", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+# -- triples and their store -------------------------------------------------------------------------------------
+
+
+@query(f"""with {POSTS_SQL}, w as (select pid, list_filter(string_split(trim(regexp_replace(coalesce(array_to_string(tokens, ' '), ''), '{SPACES}', ' ', 'g')), ' '), lambda x: x <> '') ws from p0),
+c as (select pid, list_transform(range(1, len(ws) + 1, 2), lambda i: array_to_string(ws[i : i + 1], ' ')) cs from w where len(ws) >= 2),
+r as (select pid, unnest(range(1, len(cs))) i, cs from c),
+g as (select pid, i, cs[i] h, cs[i + 1] o from r where cs[i] <> cs[i + 1] and greatest(length(cs[i]), length(cs[i + 1])) <= 60),
+u as (select pid, h, o, min(i) i from g group by all), n as (select pid, h, o, row_number() over (partition by pid order by i) - 1 as pos from u)
+select pid, pos, h, 'مرتبط با' as r, o from n where pos < 32""")
+def q_chain_triples(s: SparkSession, d: str) -> DataFrame:
+    rows = triples.extract(_posts(s, d)).select("pid", F.posexplode("triples").alias("pos", "x"))
+    return rows.select("pid", F.col("pos").cast("long").alias("pos"), "x.h", "x.r", "x.o")
+
+
+@query(f"with {CLEAN_SQL} select pid, pos, h, r, o from graphs")
+def q_clean_triples(s: SparkSession, d: str) -> DataFrame:
+    return _graphs(s, d).select("pid", F.posexplode("triples").alias("pos", "x")).select("pid", F.col("pos").cast("long").alias("pos"), "x.h", "x.r", "x.o")
+
+
+@query(f"with {CLEAN_SQL} select (select count(*) from last) n_graphs, (select count(*) from graphs) n_triples, round((select count(*) from graphs) / (select count(*) from last), 6) triples_a_graph")
+def q_triple_stats(s: SparkSession, d: str) -> DataFrame:
+    return triples.triple_stats(_graphs(s, d)).select("n_graphs", "n_triples", _round("triples_a_graph"))
+
+
+def _stripped_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{SPACES}', ''), '{SPACES}$', '')"
+
+
+@query(f"""with {CLEAN_SQL}, three as (select pid, i, row_number() over (partition by pid order by i) k, {_stripped_sql("m[1]")} || '|' || {_stripped_sql("m[2]")} || '|' || {_stripped_sql("m[3]")} x from raw where len(m) = 3)
+select pid, string_agg(x, ';' order by i) parsed from three where k <= 32 group by pid""")
+def q_parse_triples(s: SparkSession, d: str) -> DataFrame:
+    """Stored graphs written as models answer: an object with a string that holds the list, in a fenced block."""
+    rows = kgstore.latest(_read(s, d, "kg_store")).where(F.exists("triples", lambda t: F.size(t) == 3))
+    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.to_json("triples").alias("Knowledge Graph"))), F.lit("\n```"))
+    return rows.select("pid", F.array_join(F.transform(triples.parse_triples(answer), lambda t: F.concat_ws("|", t["h"], t["r"], t["o"])), ";").alias("parsed"))
+
+
+@query("select seq, pid, backend, cast(coalesce(len(triples), -1) as integer) n from (select *, row_number() over (partition by pid order by seq desc) k from kg_store) where k = 1")
+def q_kg_latest(s: SparkSession, d: str) -> DataFrame:
+    return kgstore.latest(_read(s, d, "kg_store")).select("seq", "pid", "backend", F.when(F.col("triples").isNull(), -1).otherwise(F.size("triples")).alias("n"))
+
+
+@query("select seq, pid, backend from (select *, row_number() over (partition by pid, backend order by seq desc) k from kg_store) where k = 1")
+def q_kg_latest_by_backend(s: SparkSession, d: str) -> DataFrame:
+    return kgstore.latest(_read(s, d, "kg_store"), by_backend=True).select("seq", "pid", "backend")
+
+
+@query(f"with {POSTS_SQL} select pid, win as \"window\" from p where pid not in (select pid from kg_store)")
+def q_kg_missing(s: SparkSession, d: str) -> DataFrame:
+    return kgstore.missing(_posts(s, d), _read(s, d, "kg_store")).select("pid", "window")
+
+
+@query(f"""with {POSTS_SQL}, last as (select * from (select *, row_number() over (partition by pid order by seq desc) k from kg_store) where k = 1)
+select pid, cast(coalesce(len(triples), 0) as integer) n from p0 left join (select pid, triples from last) using (pid)""")
+def q_kg_lookup(s: SparkSession, d: str) -> DataFrame:
+    return kgstore.lookup(_posts(s, d), _read(s, d, "kg_store")).select("pid", F.size("triples").alias("n"))
+
+
+# -- the stream graph --------------------------------------------------------------------------------------------
+
+
+@query(f"with {MENTIONS_SQL} select subject_idx, kind, phrase, surface, t, pid, pos, rol as role from men")
+def q_mentions(s: SparkSession, d: str) -> DataFrame:
+    return _mentions(s, d).select("subject_idx", "kind", "phrase", "surface", "t", "pid", F.col("pos").cast("long").alias("pos"), "role")
+
+
+@query(f"with {MENTIONS_SQL} select subject_idx, kind, phrase, count(*) n_mentions, min(t) first_t, max(t) last_t, count(distinct pid) n_posts from men group by all")
+def q_entity_summary(s: SparkSession, d: str) -> DataFrame:
+    return graph.entities(_mentions(s, d))
+
+
+_TITLES_SQL = MENTIONS_SQL + """,
+forms as (select kind, phrase, surface, count(*) n, min(struct_pack(t := t, pid := pid, pos := pos, rol := rol)) seen from men group by all),
+ranked as (select *, row_number() over (partition by kind, phrase order by n desc, seen) rk from forms)"""
+
+
+@query(f"with {_TITLES_SQL} select kind, phrase, surface as title from ranked where rk = 1")
+def q_modal_title(s: SparkSession, d: str) -> DataFrame:
+    return graph.modal_titles(_mentions(s, d), ["kind", "phrase"])
+
+
+@query(f"with {_TITLES_SQL} select kind, phrase, surface, n, rk as rank from ranked")
+def q_all_titles(s: SparkSession, d: str) -> DataFrame:
+    return graph.titles(_mentions(s, d), ["kind", "phrase"]).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"with {MENTIONS_SQL} select * from rels")
+def q_relations(s: SparkSession, d: str) -> DataFrame:
+    return graph.relations(_placed(s, d)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"with {BURST_SQL} select subject_idx, kind, phrase, greatest(k, 0) as \"interval\", count(*) n from bins group by all")
+def q_nap_histogram(s: SparkSession, d: str) -> DataFrame:
+    return burst.nap_histogram(_mentions(s, d), graph.ENTITY, _now(s, d), HOUR)
+
+
+@query("""with e as (select event_type, epoch_us(ts) / 1e6 t from events), f as (select event_type, min(t) t1, (select max(t) from e) as now from e group by 1),
+b as (select event_type, least(cast(floor((t - t1) / 86400) as bigint), greatest(1, cast(ceil((now - t1) / 86400) as bigint)) - 1) k, greatest(1, cast(ceil((now - t1) / 86400) as bigint)) m from e join f using (event_type)),
+g as (select event_type, m, unnest(range(m)) k from (select distinct event_type, m from b))
+select event_type, array_to_string(list(n order by k), ',') naps from (select g.event_type, g.k, (select count(*) from b where b.event_type = g.event_type and b.k = g.k) n from g) group by 1""")
+def q_nap_dense(s: SparkSession, d: str) -> DataFrame:
+    found = _event_times(s, d, "event_type")
+    dense = burst.dense_histogram(found, ["event_type"], found.agg(F.max("t")).first()[0] or 0.0, 86400.0)
+    return dense.select("event_type", F.array_join(F.transform("naps", lambda n: n.cast("string")), ",").alias("naps"))
+
+
+def _event_times(s: SparkSession, d: str, entity: str) -> DataFrame:
+    return _read(s, d, "events").select(entity, text.epoch_seconds("ts").alias("t"))
+
+
+@query(f"with {BURST_SQL} select subject_idx, kind, phrase, n, t1, round(score, 6) score from burst")
+def q_burst_scores(s: SparkSession, d: str) -> DataFrame:
+    return burst.burst_scores(_mentions(s, d), graph.ENTITY, _now(s, d), HOUR).select(*graph.ENTITY, "n", "t1", _round("score"))
+
+
+@query("""with e as (select user_id, epoch_us(ts) / 1e6 t from events), f as (select user_id, min(t) t1, count(*) n, (select max(t) from e) as now from e group by 1),
+g as (select *, greatest(1, cast(ceil((now - t1) / 60) as bigint)) m from f),
+x as (select user_id, n, m, sum(least(cast(floor((t - t1) / 60) as bigint), m - 1)) x from e join g using (user_id) group by all)
+select user_id, n, round(case when m <= 1 then 1.0 else (n * 0.1 + 0.9 * x / (m - 1)) / (n * 1.0 - 0.9 * x / (m - 1)) end, 6) score from x""")
+def q_burst_users(s: SparkSession, d: str) -> DataFrame:
+    found = _event_times(s, d, "user_id")
+    return burst.burst_scores(found, ["user_id"], found.agg(F.max("t")).first()[0] or 0.0).select("user_id", "n", _round("score"))
+
+
+@query(f"""with {BURST_SQL}, nap as (select subject_idx, kind, phrase, t1, m, now, greatest(k, 0) k, count(*) nap from bins group by all),
+w as (select *, case when m <= 1 then 1.0 else 0.1 + 0.9 * k / (m - 1) end w, greatest(1.0, now - t1) life from nap)
+select subject_idx, kind, phrase, round(ln(sum(nap / life * w) / sum(life / nap * w)), 5) log_score from w group by all""")
+def q_burst_reciprocal(s: SparkSession, d: str) -> DataFrame:
+    scored = burst.burst_scores(_mentions(s, d), graph.ENTITY, _now(s, d), HOUR, mode="reciprocal")
+    return scored.select(*graph.ENTITY, F.round(F.log("score"), 5).alias("log_score"))
+
+
+@query(f"with {BURST_SQL} select subject_idx, kind, phrase, n, t1, round(score, 6) score from burst where score >= 1.2")
+def q_survivors(s: SparkSession, d: str) -> DataFrame:
+    """Scored after the filter that follows from the closed form: fewer than three mentions never reach 1.2."""
+    scored = burst.burst_scores(_mentions(s, d), graph.ENTITY, _now(s, d), HOUR, at_least=burst.least_mentions(1.2))
+    return burst.survivors(scored, 1.2).select(*graph.ENTITY, "n", "t1", _round("score"))
+
+
+@query(f"with {BURST_SQL} select case when score < 1 then 'not bursty' when score = 1 then 'verge' else 'bursty' end meaning, count(*) n from burst group by 1")
+def q_interpret(s: SparkSession, d: str) -> DataFrame:
+    return burst.burst_scores(_mentions(s, d), graph.ENTITY, _now(s, d), HOUR).groupBy(burst.interpret(F.col("score")).alias("meaning")).agg(F.count("*").alias("n"))
+
+
+def _alive(s: SparkSession, d: str) -> DataFrame:
+    return burst.survivors(burst.burst_scores(_mentions(s, d), graph.ENTITY, _now(s, d), HOUR, at_least=burst.least_mentions(1.2)), 1.2)
+
+
+@query(f"with {ALIVE_SQL} select subject_idx, kind, phrase, row_number() over (partition by subject_idx, kind order by phrase) - 1 as entity_id from alive")
+def q_reindex(s: SparkSession, d: str) -> DataFrame:
+    return graph.with_dense_ids(_alive(s, d), ["subject_idx", "kind"], "phrase").select(*graph.ENTITY, "entity_id")
+
+
+@query(f"with {PRUNED_SQL} select * from pruned")
+def q_prune_relations(s: SparkSession, d: str) -> DataFrame:
+    return graph.prune_relations(graph.relations(_placed(s, d)), _alive(s, d)).select("subject_idx", "n1", "e", "n2", "t", "pid", F.col("pos").cast("long").alias("pos"))
+
+
+def _weighted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    alive = materialize(_alive(s, d), "alive")
+    scores = alive.where("kind = 'edge'").select("subject_idx", F.col("phrase").alias("e"), "score")
+    pairs = graph.pair_weights(graph.prune_relations(graph.relations(_placed(s, d)), alive), scores)
+    return alive.where("kind = 'node'").select("subject_idx", F.col("phrase").alias("node"), "score"), pairs
+
+
+@query(f"with {PRUNED_SQL} select subject_idx, a, b, round(weight, 6) weight from pairs")
+def q_pair_weights(s: SparkSession, d: str) -> DataFrame:
+    return _weighted(s, d)[1].select("subject_idx", "a", "b", _round("weight"))
+
+
+_COMPONENTS_SQL = PRUNED_SQL + """,
+both_ as (select subject_idx, a u, b v from pairs where weight > 0 union select subject_idx, b, a from pairs where weight > 0),
+reach(subject_idx, node, c) as (select subject_idx, phrase, phrase from alive where kind = 'node' union select r.subject_idx, v, c from reach r join both_ on both_.subject_idx = r.subject_idx and u = node),
+comp as (select subject_idx, node, min(c) component from reach group by all)"""
+
+
+@query(f"with recursive {_COMPONENTS_SQL} select * from comp")
+def q_components(s: SparkSession, d: str) -> DataFrame:
+    nodes, pairs = _weighted(s, d)
+    return graph.components(nodes, materialize(pairs.where("weight > 0"), "pairs"))
+
+
+def _members(s: SparkSession, d: str) -> DataFrame:
+    return q_components(s, d).select("subject_idx", F.col("node").alias("phrase"), F.col("component").alias("cluster"))
+
+
+@query(f"with recursive {_COMPONENTS_SQL} select x.component as cluster, p.subject_idx, n1, e, n2, t, pid, pos from pruned p join comp x on x.subject_idx = p.subject_idx and x.node = n1 join comp y on y.subject_idx = p.subject_idx and y.node = n2 and x.component = y.component")
+def q_induced_relations(s: SparkSession, d: str) -> DataFrame:
+    rels = graph.prune_relations(graph.relations(_placed(s, d)), _alive(s, d))
+    return graph.induced_relations(rels, materialize(_members(s, d), "members")).select("cluster", "subject_idx", "n1", "e", "n2", "t", "pid", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"with recursive {_COMPONENTS_SQL} select subject_idx, component as cluster, count(*) n from comp group by all having count(*) >= 2")
+def q_min_event_size(s: SparkSession, d: str) -> DataFrame:
+    large = events.large_clusters(_members(s, d), ["subject_idx", "cluster"])
+    return large.groupBy("subject_idx", "cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"""with recursive {_COMPONENTS_SQL}, sc as (select c.subject_idx, component as cluster, avg(score) score from comp c join alive a on a.subject_idx = c.subject_idx and a.kind = 'node' and a.phrase = node group by all having count(*) >= 2)
+select subject_idx, cluster, round(score, 6) score, row_number() over (partition by subject_idx order by round(score, 6) desc, cluster) - 1 as event_no from sc""")
+def q_event_score(s: SparkSession, d: str) -> DataFrame:
+    members = events.large_clusters(_members(s, d), ["subject_idx", "cluster"])
+    scored = members.join(_alive(s, d).where("kind = 'node'").select("subject_idx", "phrase", "score"), ["subject_idx", "phrase"])
+    per = events.event_scores(scored, ["subject_idx", "cluster"]).withColumn("score", F.round("score", 6))
+    return events.ranked_events(per, ["subject_idx"], "cluster").withColumn("event_no", F.col("event_no").cast("long"))
+
+
+@query(f"""with recursive {_COMPONENTS_SQL}, nn as (select c.subject_idx, component as cluster, node, (select count(*) from men where men.subject_idx = c.subject_idx and kind = 'node' and phrase = node) n from comp c),
+r as (select *, row_number() over (partition by subject_idx, cluster order by n desc, node desc) k, count(*) over (partition by subject_idx, cluster) z from nn) select subject_idx, cluster, node as keyword, k as rank from r where k <= 3 and z >= 2""")
+def q_keyword_topk(s: SparkSession, d: str) -> DataFrame:
+    members = events.large_clusters(_members(s, d), ["subject_idx", "cluster"])
+    counts = graph.entities(_mentions(s, d)).where("kind = 'node'").select("subject_idx", "phrase", F.col("n_mentions").alias("n"))
+    nodes = members.join(counts, ["subject_idx", "phrase"]).select("subject_idx", "cluster", F.col("phrase").alias("node"), F.col("phrase").alias("title"), "n")
+    return events.top_keywords(nodes, ["subject_idx", "cluster"])
+
+
+@query(f"""with recursive {_COMPONENTS_SQL}, ps as (select c.subject_idx, c.component as cluster, m.pid from comp c join men m on m.subject_idx = c.subject_idx and m.kind = 'node' and m.phrase = c.node group by all)
+select subject_idx, cluster, count(*) n_posts, min(pid) first_pid, max(pid) last_pid from ps group by all""")
+def q_event_posts(s: SparkSession, d: str) -> DataFrame:
+    held = _members(s, d).join(_mentions(s, d).where("kind = 'node'").select("subject_idx", "phrase", "pid"), ["subject_idx", "phrase"])
+    return held.select("subject_idx", "cluster", "pid").distinct().groupBy("subject_idx", "cluster").agg(F.count("*").alias("n_posts"), F.min("pid").alias("first_pid"), F.max("pid").alias("last_pid"))
+
+
+@query()
+def q_forgetting_fold(s: SparkSession, d: str) -> DataFrame:
+    """Scores of living entities after every window; tested against a brute-force fold."""
+    posts = materialize(_posts(s, d), "posts")
+    found = _mentions(s, d).join(posts.select("pid", "window"), "pid")
+    return graph.forgetting_fold(found, materialize(events.window_clock(posts), "clock"), HOUR)
+
+
+@query()
+def q_louvain(s: SparkSession, d: str) -> DataFrame:
+    nodes, pairs = _weighted(s, d)
+    return cluster.cluster_graphs(nodes.select("subject_idx", "node"), pairs)
+
+
+@query()
+def q_spectral(s: SparkSession, d: str) -> DataFrame:
+    nodes, pairs = _weighted(s, d)
+    return cluster.cluster_graphs(nodes.select("subject_idx", "node"), pairs, "spectral", clusters=8)
+
+
+@query()
+def q_hcluster(s: SparkSession, d: str) -> DataFrame:
+    nodes, pairs = _weighted(s, d)
+    embed = vectors.hashing_embedder(128)
+    return cluster.cluster_graphs(nodes.select("subject_idx", "node", embed(F.col("node")).alias("vector")), pairs, "hcluster", distance=0.5)
+
+
+# -- vectors -----------------------------------------------------------------------------------------------------
+
+
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) e from embeddings),
+n as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) l from v)
+select vec_id, round(l, 4) length, round(sqrt(list_sum(list_transform(e, lambda x: x / l * x / l))), 4) unit_length from n""")
+def q_l2_norm(s: SparkSession, d: str) -> DataFrame:
+    rows = _read(s, d, "embeddings").select("vec_id", "embedding", vectors.l2_normalise(F.col("embedding")).alias("u"))
+    return rows.select("vec_id", F.round(vectors.norm(F.col("embedding")), 4).alias("length"), F.round(vectors.norm(F.col("u")), 4).alias("unit_length"))
+
+
+_CENTRES_SQL = """places as (select label, i, avg(x) x from (select label, unnest(range(len(embedding))) i, unnest(embedding)::double x from embeddings) group by all),
+centres as (select label, list(cast(x as float)::double order by i) c from places group by 1),
+v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) e from embeddings)"""
+
+
+@query(f"with {_CENTRES_SQL} select label, round(list_sum(c), 4) total, round(sqrt(list_dot_product(c, c)), 4) length from centres")
+def q_centroid(s: SparkSession, d: str) -> DataFrame:
+    centres = vectors.mean_vectors(_read(s, d, "embeddings"), ["label"], "embedding")
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return centres.select("label", F.round(total, 4).alias("total"), F.round(vectors.norm(F.col("vector")), 4).alias("length"))
+
+
+def _nearest(s: SparkSession, d: str, measure) -> DataFrame:  # noqa: ANN001
+    """Each vector's nearest centroid. The centroids are as many as there are labels, so they are broadcast as one array."""
+    centres = vectors.mean_vectors(_read(s, d, "embeddings"), ["label"], "embedding").agg(F.array_sort(F.collect_list(F.struct("label", "vector"))).alias("cs"))
+    rows = _read(s, d, "embeddings").select("vec_id", "embedding").join(F.broadcast(centres))
+    far = F.transform("cs", lambda c: F.struct(F.round(measure(F.col("embedding"), c["vector"]), 6).alias("distance"), c["label"].alias("label")))
+    return rows.select("vec_id", F.array_min(far).alias("x")).select("vec_id", "x.label", "x.distance")
+
+
+@query(f"with {_CENTRES_SQL} select vec_id, arg_min(label, struct_pack(d := dist, l := label)) label, min(dist) distance from (select vec_id, label, round(1 - list_cosine_similarity(e, c), 6) dist from v, centres) group by 1")
+def q_cosine_nn(s: SparkSession, d: str) -> DataFrame:
+    return _nearest(s, d, lambda a, b: 1 - vectors.cosine(a, b))
+
+
+@query(f"with {_CENTRES_SQL} select vec_id, arg_min(label, struct_pack(d := dist, l := label)) label, min(dist) distance from (select vec_id, label, round(list_distance(e, c), 6) dist from v, centres) group by 1")
+def q_euclid_nn(s: SparkSession, d: str) -> DataFrame:
+    return _nearest(s, d, vectors.euclidean)
+
+
+_GRAM_SQL = """ph as (select distinct unnest(titles) phrase from subject_events), gr as (select phrase, substr(' ' || phrase || ' ', i, 3) g from (select phrase, unnest(range(1, length(phrase) + 1)) i from ph)),
+hb as (select phrase, concat('0x', substr(md5(g), 1, 8))::bigint % 64 bucket, case when concat('0x', substr(md5(g), 9, 1))::bigint % 2 = 1 then 1 else -1 end sign from gr)"""
+
+
+@query(f"with {_GRAM_SQL} select phrase, bucket, cast(sum(sign) as bigint) weight from hb where phrase is not null group by all having sum(sign) <> 0")
+def q_hash_embed_md5(s: SparkSession, d: str) -> DataFrame:
+    phrases = _read(s, d, "subject_events").select(F.explode("titles").alias("phrase")).distinct()
+    return vectors.md5_buckets(phrases, "phrase")
+
+
+@query()
+def q_hash_embed(s: SparkSession, d: str) -> DataFrame:
+    """The exact hashing embedder over every title; tested against a plain implementation."""
+    phrases = _read(s, d, "subject_events").select(F.explode("titles").alias("phrase")).distinct()
+    return phrases.select("phrase", vectors.hashing_embedder(512)(F.col("phrase")).alias("vector"))
+
+
+@query("""with t as (select subject, window_no, vec_id, unnest(titles) title, unnest(range(len(titles))) seq from (select distinct on (vec_id) * from subject_events order by vec_id)),
+k as (select *, length(title) sim from t), r as (select *, row_number() over (partition by subject, window_no order by sim desc, vec_id, seq) n from k)
+select subject, window_no, title, min(n) as rank from r where n <= 3 group by all""")
+def q_title_topk(s: SparkSession, d: str) -> DataFrame:
+    """The three longest title rows of each subject and window, then each title once."""
+    one = _read(s, d, "subject_events").dropDuplicates(["vec_id"])
+    rows = one.select("subject", "window_no", "vec_id", F.posexplode("titles").alias("seq", "title")).withColumn("similarity", F.length("title")).withColumn("seq", F.struct("vec_id", "seq"))
+    return events.top_titles(rows, ["subject", "window_no"])
+
+
+# -- events and results ------------------------------------------------------------------------------------------
+
+
+@query()
+def q_registry(s: SparkSession, d: str) -> DataFrame:
+    """The subject events of the test data merged into global events, in order; tested against a plain fold."""
+    return _registered(s, d)[0]
+
+
+def _stored_events(s: SparkSession, d: str) -> DataFrame:
+    names = F.array(*(F.lit(x) for x in subjects.SUBJECTS))
+    one = _read(s, d, "subject_events").dropDuplicates(["vec_id"])
+    return one.select((F.array_position(names, F.col("subject")) - 1).cast("int").alias("subject_idx"), F.col("window_no").cast("long").alias("window"), F.col("vec_id").cast("int").alias("event_no"), "titles", "post_ids", "vector", "score", "keywords")
+
+
+def _registered(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return events.register(_stored_events(s, d), 12.0)
+
+
+@query("""select vec_id, array_to_string(list_filter(titles, lambda x: x <> ''), ' | ') topic, window_no::bigint as "window" from (select distinct on (vec_id) * from subject_events order by vec_id)""")
+def q_topics(s: SparkSession, d: str) -> DataFrame:
+    rows = _stored_events(s, d)
+    return rows.select(F.col("event_no").cast("long").alias("vec_id"), text.joined_nonempty(F.coalesce("titles", F.array().cast("array<string>")), " | ").alias("topic"), "window")
+
+
+@query(f"""with {POSTS_SQL}, ev as (select distinct w, pid, event_number from (select unnest(windows)::bigint w, post_ids, event_number from final_events), unnest(post_ids) u(pid)),
+l as (select w, pid, string_agg(event_number::varchar, ',' order by event_number) ns from ev group by all)
+select win as "window", p.pid, coalesce(ns, '0') event_number from p left join l on l.pid = p.pid and l.w = win""")
+def q_assignments(s: SparkSession, d: str) -> DataFrame:
+    numbered = _read(s, d, "final_events").select(F.explode("windows").alias("window"), "post_ids", F.col("event_number").alias("number")).withColumn("window", F.col("window").cast("long"))
+    return results.assignments(_posts(s, d), numbered)
+
+
+@query("""select event_number as event, array_to_string(list_sort(subjects), ',') subjects, array_to_string(list_sort(windows), ',') windows, cast(len(post_ids) as bigint) posts, array_to_string(titles[1:10], ' | ') titles from final_events""")
+def q_final_report(s: SparkSession, d: str) -> DataFrame:
+    names = F.array(*(F.lit(x) for x in subjects.SUBJECTS))
+    finals = _read(s, d, "final_events").withColumn("subjects", F.transform("subjects", lambda x: (F.array_position(names, x) - 1).cast("int")))
+    return results.report(finals)
+
+
+@query("select vec_id, array_to_string(list_distinct_ordered, '|') strings from (select vec_id, list_transform(list_filter(list_zip(a, range(1, len(a) + 1)), lambda z: list_position(a, z[1]) = z[2]), lambda z: z[1]) list_distinct_ordered from (select vec_id, list_concat(coalesce(titles, []), coalesce(keywords, [])) a from (select distinct on (vec_id) * from subject_events order by vec_id)))")
+def q_all_strings(s: SparkSession, d: str) -> DataFrame:
+    rows = _stored_events(s, d)
+    return rows.select(F.col("event_no").cast("long").alias("vec_id"), F.array_join(events.all_strings("titles", "keywords"), "|").alias("strings"))
+
+
+# -- evaluation --------------------------------------------------------------------------------------------------
+
+
+def _system(s: SparkSession, d: str) -> DataFrame:
+    """For the posts of the gold standard: the event of the stored final events with the smallest number, and its titles."""
+    rows = _read(s, d, "final_events").select(F.explode("post_ids").alias("sequence_id"), F.struct("event_number", "titles").alias("x"))
+    return rows.groupBy("sequence_id").agg(F.min(F.struct("x.event_number", "x.titles")).alias("x")).select("sequence_id", "x.event_number", "x.titles")
+
+
+_SYSTEM_SQL = """sys as (select pid, min(event_number) ev from (select unnest(post_ids) pid, event_number from final_events) group by 1),
+g as (select sequence_id, any_value(topics_id) ids, any_value(topics_str) strs from gold where topics_id is not null group by 1),
+m as (select sequence_id, trim(string_split(ids, ',')[1]) cls, ids, strs, ev from g join sys on pid = sequence_id),
+inn as (select * from m where trim(ids) <> '0')"""
+
+
+@query(f"""with {_SYSTEM_SQL}, c as (select ev, cls, count(*) n from inn group by all), t as (select n, sum(n) over (partition by ev) z from c)
+select round(-sum(n * log2(n / z)) / sum(n), 6) entropy from t""")
+def q_entropy_single(s: SparkSession, d: str) -> DataFrame:
+    rows = evaluate.in_class(evaluate.matched_samples(_gold(s, d), _system(s, d))).withColumn("cls", F.trim(F.split_part("topics_id", F.lit(","), F.lit(1))))
+    return evaluate.entropy_single(rows, "event_number", "cls").select(_round("entropy"))
+
+
+def _gold(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "gold").where("topics_id is not null").dropDuplicates(["sequence_id"])
+
+
+@query()
+def q_entropy_multi(s: SparkSession, d: str) -> DataFrame:
+    rows = evaluate.in_class(evaluate.matched_samples(_gold(s, d), _system(s, d))).select("sequence_id", F.array_distinct(evaluate.label_list("topics_id")).alias("classes"), F.array(F.col("event_number").cast("string")).alias("clusters"))
+    return evaluate.entropy(rows, "clusters", "classes", "sequence_id").select(_round("entropy"))
+
+
+@query(f"""with {_SYSTEM_SQL}, pr as (select unnest(string_split(ids, ',')) i, unnest(string_split(strs, ',')[1:len(string_split(ids, ','))]) t from m where strs is not null),
+every as (select max(try_cast(trim(x) as integer)) mx from (select unnest(string_split(ids, ',')) x from m))
+select cast(l as integer) as label, coalesce((select string_agg(distinct trim(t), '|' order by trim(t)) from pr where try_cast(trim(i) as integer) = l and trim(t) <> ''), 'WRONGDETECT') titles from (select unnest(range(mx + 1)) l from every)""")
+def q_gold_titles(s: SparkSession, d: str) -> DataFrame:
+    rows = evaluate.matched_samples(_gold(s, d), _system(s, d))
+    return evaluate.gold_titles(rows).select("label", F.array_join("titles", "|").alias("titles"))
+
+
+@query("""with f as (select event_number, list_sort(list_distinct(list_filter(titles, lambda x: x is not null))) ts from final_events) select l::integer as label, coalesce((select array_to_string(ts, ',') from f where event_number = l), '') merged
+from (select unnest(range(max(event_number) + 1)) l from final_events)""")
+def q_merged_titles(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.merged_titles(_read(s, d, "final_events").select(F.col("event_number").alias("label"), "titles"))
+
+
+_FIRST = "coalesce(titles[1], '')"  # of a sorted list
+
+
+@query(f"""with {_SYSTEM_SQL}, pr as (select unnest(string_split(ids, ',')) i, unnest(string_split(strs, ',')[1:len(string_split(ids, ','))]) t from m where strs is not null),
+gt as (select l as label, coalesce((select list_sort(list(distinct trim(t))) from pr where try_cast(trim(i) as integer) = l and trim(t) <> ''), ['WRONGDETECT']) titles from (select unnest(range(max(try_cast(trim(x) as integer)) + 1)) l from (select unnest(string_split(ids, ',')) x from m))),
+st as (select l as label, coalesce((select list_sort(list_distinct(titles)) from final_events where event_number = l and l in (select ev from inn)), []) titles from (select unnest(range(max(ev) + 1)) l from inn)),
+sw as (select label, unnest(string_split(array_to_string(titles, ' '), ' ')) w, len(titles) z from st), gw as (select label, unnest(string_split({_FIRST}, ' ')) w from gt),
+sx as (select string_agg(array_to_string(titles, ' '), ' ') x from st), gx as (select string_agg({_FIRST}, ' ') x from gt),
+r as (select (select avg(h) from (select label, max(case when z > 0 and w in (select unnest(titles) from gt) then 1 else 0 end) h from sw group by 1)) tp,
+(select avg(h) from (select label, max(case when contains(x, w) then 1 else 0 end) h from gw, sx group by 1)) tr,
+(select avg(case when contains(x, w) then 1 else 0 end) from sw, gx) kp, (select avg(case when contains(x, w) then 1 else 0 end) from gw, sx) kr)
+select round(tp, 6) topic_precision, round(tr, 6) topic_recall, round(case when tp + tr > 0 then 2 * tp * tr / (tp + tr) else 0 end, 6) topic_f1, round(kp, 6) keyword_precision, round(kr, 6) keyword_recall, round(case when kp + kr > 0 then 2 * kp * kr / (kp + kr) else 0 end, 6) keyword_f1 from r""")
+def q_topic_keyword_prf(s: SparkSession, d: str) -> DataFrame:
+    rows = evaluate.matched_samples(_gold(s, d), _system(s, d))
+    inside = evaluate.in_class(rows)
+    found = evaluate.topic_scores(evaluate.gold_titles(rows), evaluate.label_titles(inside.select(F.col("event_number").alias("label"), "titles")))
+    return found.select(*(_round(c) for c in found.columns))
+
+
+@query("select sequence_id, topics_id, coalesce(try_cast(trim(string_split(topics_id, ',')[1]) as integer), -1) as event_number from gold")
+def q_first_number(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "gold").select("sequence_id", "topics_id", evaluate.first_number("topics_id").alias("event_number"))
+
+
+@query(f"""with {POSTS_SQL}, tt as (select distinct w::bigint w, string_split(t, ' ')[1] title from (select w, unnest(titles) t from (select unnest(windows) w, titles from final_events))),
+x as (select pid, win, coalesce(array_to_string(tokens, ' '), '') txt from p)
+select pid, string_agg(distinct title, '|' order by title) titles from x join tt on w = win and title <> '' and contains(txt, title) group by pid""")
+def q_title_in_text(s: SparkSession, d: str) -> DataFrame:
+    """The first words of the final events' titles, looked for in the texts of their windows."""
+    named = _read(s, d, "final_events").select(F.explode("windows").alias("window"), "titles").select(F.col("window").cast("long").alias("window"), F.explode("titles").alias("t")).select("window", F.split_part("t", F.lit(" "), F.lit(1)).alias("title"))
+    return evaluate.titles_in_text(_posts(s, d).select("pid", "window", text.text_of("tokens").alias("text")), named)
+
+
+@query()
+def q_evaluate(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.evaluate(_gold(s, d), _system(s, d))
+
+
+@query()
+def q_pipeline(s: SparkSession, d: str) -> DataFrame:
+    """The whole run over all posts with the stored graphs: assignments of every post."""
+    run = pipeline.run(_read(s, d, "posts"), subjects.KeywordClassifier(_lexicon(s, d)), Options(ts_seconds=3600, embed_dim_hashing=128), _read(s, d, "kg_store"))
+    return run.assignments
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    """Bursty entities at the end of the stream."""
+    return pipeline.bursty_entities(_posts(s, d), _assigned(s, d), _graphs(s, d), Options(ts_seconds=3600))
