@@ -80,10 +80,10 @@ def burst_scores(mentions: DataFrame, by: list[str], now: float | Column, second
         return places.select(*by, "n", "t1", closed_form(F.col("n"), F.col("places"), m, wmin, wmax).alias("score"))
     if mode != "reciprocal":
         raise ValueError(f"unknown mode: {mode!r}")
-    bins = with_first(rows, by).groupBy(*by, "t1", interval_of(F.col("t"), F.col("t1"), now, seconds).alias("k")).agg(F.count("*").alias("nap"))
-    w = ramp(F.col("k"), interval_count(F.col("t1"), now, seconds), wmin, wmax)
+    bins = with_first(rows, by).groupBy(*by, "t1", interval_of(F.col("t"), F.col("t1"), now, seconds).alias("__k")).agg(F.count("*").alias("__nap"))
+    w = ramp(F.col("__k"), interval_count(F.col("t1"), now, seconds), wmin, wmax)
     life = F.lit(float(node_life)) if node_life is not None else F.greatest(F.lit(1.0), now - F.col("t1"))
-    sums = bins.groupBy(*by, "t1").agg(F.sum("nap").alias("n"), F.sum(F.col("nap") / life * w).alias("s"), F.sum(life / F.col("nap") * w).alias("r")).where(F.col("n") >= at_least)
+    sums = bins.groupBy(*by, "t1").agg(F.sum("__nap").alias("n"), F.sum(F.col("__nap") / life * w).alias("s"), F.sum(life / F.col("__nap") * w).alias("r")).where(F.col("n") >= at_least)
     return sums.select(*by, "n", "t1", F.when(F.col("r") > 0, F.col("s") / F.col("r")).otherwise(F.when(F.col("s") > 0, F.lit(float("inf"))).otherwise(0.0)).alias("score"))
 
 

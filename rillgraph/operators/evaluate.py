@@ -15,7 +15,7 @@ def label_list(labels: str | Column, compat: str = "labels") -> Column:
         return F.split(F.col(labels) if isinstance(labels, str) else labels, "")
     if compat != "labels":
         raise ValueError(f"unknown mode: {compat!r}")
-    return F.transform(F.split(F.col(labels) if isinstance(labels, str) else labels, ","), F.trim)
+    return F.transform(F.split(F.col(labels) if isinstance(labels, str) else labels, ","), lambda x: F.trim(x))
 
 
 def first_number(labels: str | Column) -> Column:
