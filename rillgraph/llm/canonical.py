@@ -142,7 +142,8 @@ def not_consistent(posts: DataFrame, store: DataFrame) -> DataFrame:
         F.lit("token").alias("place"), F.col("pid").alias("rec_id"),
         F.explode(F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), F.lit(-1).alias("slot"), t.alias("value"))), lambda x: ~is_stable(x["value"]))).alias("x"),
     )
-    slots = F.flatten(F.transform("triples", lambda m, i: F.transform(m, lambda t, j: F.struct(i.alias("pos"), j.alias("slot"), t.alias("value")))))
+    none = F.array().cast("array<struct<pos:int,slot:int,value:string>>")
+    slots = F.flatten(F.transform("triples", lambda m, i: F.coalesce(F.transform(m, lambda t, j: F.struct(i.alias("pos"), j.alias("slot"), t.alias("value"))), none)))
     triples = store.select(F.lit("triple").alias("place"), F.col("seq").alias("rec_id"), F.explode(F.filter(slots, lambda x: ~is_stable(x["value"]))).alias("x"))
     found = tokens.unionByName(triples).select("place", "rec_id", "x.*")
     found = found.withColumn("consistent_value", _fix_string("value")).where("value <> consistent_value")
