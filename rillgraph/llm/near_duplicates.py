@@ -11,7 +11,7 @@ threes: posting lists stay short however common a token is, and no pair is lost.
 
 Sets that are equal are one class, represented by its smallest ``pid``; only representatives are compared. Sets are kept as
 sorted 64-bit fingerprints of tokens in consistent form. A post without tokens (null, empty, only null tokens) does not
-count; a second delivery counts once; an empty table gives no rows; other columns of the input are ignored.
+count, nor does a null ``pid``; a second delivery counts once; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.llm.canonical import with_consistent_array
+from rillgraph.llm.classes import with_classes
 from rillgraph.plans.materialize import broadcast_if_small, materialize
 
 #: Bound of the table of token frequencies that every task gets: 16 bytes a row. Tokens beyond it count as rare.
@@ -32,15 +33,15 @@ FREQUENCY_ROWS = 1 << 18
 _PAIRS_AT_ONCE = 1 << 20
 
 
-def token_sets(posts: DataFrame) -> DataFrame:
-    """``(pid, rep, tokens)``: every post and its class; ``tokens``, the sorted fingerprints, only where ``pid = rep``."""
-    rows = with_consistent_array(posts.where("size(tokens) > 0").select("pid", "tokens"), "tokens")
+def token_sets(posts: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """``(pid, rep, tokens)``: every post and its class; ``tokens``, the sorted fingerprints, in one row of each class and
+    null in the others. Sets are written once and never shuffled."""
+    rows = with_consistent_array(posts.where("pid is not null and size(tokens) > 0").select("pid", "tokens"), "tokens")
     marks = F.array_sort(F.array_distinct(F.transform(F.filter("tokens", lambda t: t.isNotNull()), lambda t: F.xxhash64(t))))
     rows = rows.select("pid", marks.alias("tokens")).where("size(tokens) > 0")
     rows = rows.select("pid", "tokens", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit("second"), "tokens").alias("h2"))
-    same = Window.partitionBy("h1", "h2").orderBy("pid")
-    rows = rows.withColumn("rep", F.first("pid").over(same)).withColumn("at", F.row_number().over(same))
-    return rows.select("pid", "rep", F.when(F.col("at") == 1, F.col("tokens")).alias("tokens"))
+    rows = with_classes(materialize(rows.withColumn("row", F.monotonically_increasing_id()), "near-sets"), ["pid", "row"], broadcast_rows)
+    return rows.select("pid", F.col("first.pid").alias("rep"), F.when(F.col("first.row") == F.col("row"), F.col("tokens")).alias("tokens"))
 
 
 def _frequencies(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -161,7 +162,7 @@ def _meet_batches(at_least: Fraction):
 def similar_classes(sets: DataFrame, threshold: float = 0.7, light: int = 1000, crowd: int = 400, frequency_rows: int = FREQUENCY_ROWS, broadcast_rows: int = 200_000) -> DataFrame:
     """``(rep_a, rep_b, shared, size_a, size_b)``: every two representatives of at least that similarity, smaller first.
 
-    ``sets`` is a written result of :func:`token_sets`. ``frequency_rows`` bounds the table of frequencies on the driver;
+    ``sets`` is a result of :func:`token_sets`. ``frequency_rows`` bounds the table of frequencies on the driver;
     it only decides the order and the kind of keys, so any bound gives the same pairs.
     """
     at_least = Fraction(threshold).limit_denominator(1000)
@@ -188,7 +189,7 @@ def similar_classes(sets: DataFrame, threshold: float = 0.7, light: int = 1000,
 
 def near_duplicate_links(posts: DataFrame, threshold: float = 0.7, **options) -> tuple[DataFrame, DataFrame]:
     """Links between representatives, as :func:`similar_classes` gives them, and ``(pid, rep)`` of every post."""
-    sets = materialize(token_sets(posts), "near-sets")
+    sets = token_sets(posts, options.get("broadcast_rows", 200_000))
     return similar_classes(sets, threshold, **options), sets.select("pid", "rep").distinct()
 
 

@@ -11,7 +11,7 @@ A query looks into the ``probes`` nearest cells. Cells are joined in blocks: row
 vectors are one query, and only the ``k + 1`` of them with the smallest ids can be in anyone's result, so masses of copies
 cost nothing. Centroids are fitted on at most ``sample`` vectors (chosen by the hash of their id); every vector is indexed.
 
-Null and all-zero vectors, vectors with null, infinite or NaN members, and vectors whose length is not the commonest do not
+Null ids, null and all-zero vectors, vectors with null, infinite or NaN members, and vectors whose length is not the commonest do not
 count. Ties go to the smaller ``vec_id``; a second delivery counts once. Fewer than ``k`` others give fewer rows.
 """
 
@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillgraph.llm.classes import SALTS, with_classes
 from rillgraph.plans.materialize import materialize
 
 EPSILON = 1.9  # of the error bound: the estimate leaves it in under one of a thousand cases
+MAX_CELLS = 1 << 14
 _PAIRS_AT_ONCE = 1 << 21
 
 
@@ -36,7 +38,7 @@ def all_vectors(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         every = every.unionByName(t.select("vec_id", "vector"))
     good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    every = materialize(every.where(good).dropDuplicates(["vec_id"]), "vectors")
+    every = materialize(every.where(F.col("vec_id").isNotNull() & good).dropDuplicates(["vec_id"]), "vectors")
     sizes = every.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return every.where(F.size("vector") == (sizes[0].d if sizes else 0))
 
@@ -119,57 +121,57 @@ def block_top(ids: np.ndarray, units: np.ndarray, queries: np.ndarray, centre: n
             yield lo + i, ids[of[some]], exact[some]
 
 
-def most_similar(vectors: DataFrame, k: int = 5, probes: int = 12, cells: int | None = None, sample: int = 20_000, block: int = 2048) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 5, probes: int = 12, cells: int | None = None, sample: int = 20_000, block: int = 2048, broadcast_rows: int = 200_000) -> DataFrame:
     """``(vec_id, rank, other, cosine)``: for every vector its ``k`` most similar others, rank 1 first.
 
-    ``vectors`` is a result of :func:`all_vectors`. ``cells`` defaults to twice the root of their number, 4,096 at most.
+    ``vectors`` is a result of :func:`all_vectors`. ``cells`` defaults to twice the root of their number, ``MAX_CELLS`` at most.
     """
     spark = vectors.sparkSession
     schema = "vec_id long, rank int, other long, cosine double"
-    same = Window.partitionBy("h1", "h2").orderBy("vec_id")
     hashed = vectors.select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit("second"), "vector").alias("h2"))
-    classes = hashed.select("vec_id", "vector", F.first("vec_id").over(same).alias("class_id"), F.row_number().over(same).alias("nth"))
-    classes = materialize(classes.select("vec_id", "class_id", "nth", F.when(F.col("nth") <= k + 1, F.col("vector")).alias("vector")), "vector-classes")
-    index = classes.where(F.col("nth") <= k + 1).select("vec_id", "class_id", "nth", "vector")
+    classes = with_classes(hashed, ["vec_id"], broadcast_rows).select("vec_id", F.col("first.vec_id").alias("class_id"), "alone", "vector")
+    classes = materialize(classes.withColumn("salt", F.when(F.col("alone"), 0).otherwise(F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))), "vector-classes")
+    least = classes.where("not alone")  # the k + 1 smallest ids of a class: of each salt first, then of the class
+    for by in (["class_id", "salt"], ["class_id"]):
+        least = least.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    index = materialize(classes.where("alone").withColumn("nth", F.lit(1)).unionByName(least).select("vec_id", "nth", "vector"), "vector-index")
     n = index.count()
     if not n:
         return spark.createDataFrame([], schema)
     some = index.where("nth = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
-    centres = _centroids(_units(some.column(0).combine_chunks()), cells or int(np.clip(2 * np.sqrt(n), 1, 4096)))
+    centres = _centroids(_units(some.column(0).combine_chunks()), cells or int(np.clip(2 * np.sqrt(n), 1, MAX_CELLS)))
     probes, rotation = min(probes, len(centres)), _rotation(centres.shape[1])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows to their cell; of each class, the query to its nearest cells."""
+    def place(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        """Rows to their cell and, of each class, the query to its nearest cells; with the vectors as stored, or only counted."""
         for b in batches:
             if not b.num_rows:
                 continue
-            units, vec_id, nth = _units(b.column("vector")), b.column("vec_id").to_numpy(), b.column("nth").to_numpy()
-            near = np.argpartition(-(units.astype("float32") @ centres.T), probes - 1, 1)[:, :probes]
-            best = np.take_along_axis(near, np.einsum("ij,ikj->ik", units.astype("float32"), centres[near]).argmax(1)[:, None], 1)[:, 0]
+            units, vec_id, nth = _units(b.column("vector")).astype("float32"), b.column("vec_id").to_numpy(), b.column("nth").to_numpy()
+            near = np.argpartition(-(units @ centres.T), probes - 1, 1)[:, :probes]
+            best = np.take_along_axis(near, np.einsum("ij,ikj->ik", units, centres[near]).argmax(1)[:, None], 1)[:, 0]
             asks = np.nonzero(nth == 1)[0]
             row = np.r_[np.arange(len(units)), np.repeat(asks, probes)]
-            cell = np.r_[best, near[asks].reshape(-1)].astype("int32")
-            query = np.r_[np.zeros(len(units), bool), np.ones(len(asks) * probes, bool)]
-            flat = pa.array(units.astype("float64")[row].reshape(-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype="int32") * units.shape[1]), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(query), pa.array(vec_id[row]), lists], ["cell", "query", "vec_id", "unit"])
-
-    placed = index.mapInArrow(place, "cell int, query boolean, vec_id long, unit array<double>")
-    counts = index.mapInArrow(place, "cell int, query boolean, vec_id long, unit array<double>").groupBy("cell", "query").count().collect()
+            cell = pa.array(np.r_[best, near[asks].reshape(-1)].astype("int32"))
+            query = pa.array(np.r_[np.zeros(len(units), bool), np.ones(len(asks) * probes, bool)])
+            more = [pa.array(vec_id[row]), b.column("vector").take(pa.array(row))] if whole else []
+            yield pa.RecordBatch.from_arrays([cell, query, *more], ["cell", "query", "vec_id", "vector"][: 2 + len(more)])
+
+    counts = index.mapInArrow(lambda b: place(b, False), "cell int, query boolean").groupBy("cell", "query").count().collect()
+    placed = index.mapInArrow(lambda b: place(b, True), "cell int, query boolean, vec_id long, vector array<float>")
     rows = {(r["cell"], r["query"]): r["count"] for r in counts}
     parts = spark.createDataFrame([(c, -(-rows.get((c, False), 0) // block), -(-rows.get((c, True), 0) // (4 * block))) for c in range(len(centres))], "cell int, row_blocks int, query_blocks int")
     placed = placed.join(F.broadcast(parts.where("row_blocks > 0 and query_blocks > 0")), "cell")
     own = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int")
     others = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    data = placed.where("not query").select("cell", own("row_blocks").alias("rb"), others("query_blocks").alias("qb"), "vec_id", "unit")
-    asked = placed.where("query").select(F.col("cell").alias("q_cell"), others("row_blocks").alias("q_rb"), own("query_blocks").alias("q_qb"), F.col("vec_id").alias("asks"), F.col("unit").alias("asked"))
+    data = placed.where("not query").select("cell", own("row_blocks").alias("rb"), others("query_blocks").alias("qb"), "vec_id", "vector")
+    asked = placed.where("query").select(F.col("cell").alias("q_cell"), others("row_blocks").alias("q_rb"), own("query_blocks").alias("q_qb"), F.col("vec_id").alias("asks"), F.col("vector").alias("asked"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, of, tops, cosines = [], [], [], []
         if left.num_rows and right.num_rows:
-            matrix = lambda x: (x := x.combine_chunks()).flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
             q = right.column("asks").to_numpy()
-            for i, near, exact in block_top(left.column("vec_id").to_numpy(), matrix(left.column("unit")), matrix(right.column("asked")), centres[left.column("cell")[0].as_py()].astype("float64"), rotation, k + 1):
+            for i, near, exact in block_top(left.column("vec_id").to_numpy(), _units(left.column("vector").combine_chunks()), _units(right.column("asked").combine_chunks()), centres[left.column("cell")[0].as_py()].astype("float64"), rotation, k + 1):
                 of.append(q[i])
                 ids.append(len(near))
                 tops.append(near)
@@ -180,7 +182,10 @@ def most_similar(vectors: DataFrame, k: int = 5, probes: int = 12, cells: int |
 
     found = data.groupBy("cell", "rb", "qb").cogroup(asked.groupBy("q_cell", "q_rb", "q_qb")).applyInArrow(search, "class_id long, near array<struct<far:double,other:long>>")
     near = found.groupBy("class_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
-    members = classes.select("vec_id", "class_id").join(near, "class_id")
+    salts = F.sequence(F.lit(0), F.when(F.col("copies"), SALTS - 1).otherwise(0))
+    copies = classes.where("not alone").select("class_id").distinct().withColumn("copies", F.lit(True))
+    near = near.join(copies, "class_id", "left").na.fill(False, ["copies"]).withColumn("salt", F.explode(salts)).drop("copies")
+    members = classes.select("vec_id", "class_id", "salt").join(near, ["class_id", "salt"])
     rest = F.slice(F.filter("near", lambda x: x["other"] != F.col("vec_id")), 1, k)
     out = members.select("vec_id", F.posexplode(rest).alias("at", "x"))
     return out.select("vec_id", (F.col("at") + 1).alias("rank"), F.col("x.other").alias("other"), (-F.col("x.far")).alias("cosine"))

@@ -6,7 +6,8 @@ occurrence counter beside it. Bitmaps of parts merge by union (``bit_or``), docu
 (``bit_count``). The posts are shuffled once, by chunk: a chunk's bitmaps are then complete where they are built, and only
 one partial row per term and task moves on. A chunk is bounded by its ids, so no term, however common, makes a hot task.
 
-A second delivery of a post (same ``pid``) counts once. Null arrays and null members count nowhere; the empty string is a
+A second delivery of a post (same ``pid``) counts once; repeats are dropped where they are read before the shuffle, so a
+post delivered over and over is no hot task. A null ``pid`` is no record. Null arrays and null members count nowhere; the empty string is a
 term like any other; an empty table gives no rows. Other columns of the input are ignored.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.llm.canonical import with_consistent_array
+from rillgraph.llm.classes import locally_distinct
 from rillgraph.plans.materialize import materialize
 
 CHUNK = 8192
@@ -28,7 +30,8 @@ def term_bitmaps(posts: DataFrame) -> DataFrame:
 
     Field ``posts`` with a null term marks the posts that have at least one token.
     """
-    rows = with_consistent_array(posts.select("pid", "tokens", "types"), "tokens")
+    rows = locally_distinct(posts.where("pid is not null").select("pid", "tokens", "types"), "pid")
+    rows = with_consistent_array(rows, "tokens")
     kinds = F.transform(F.array_distinct("types"), lambda v: F.struct(F.lit("types").alias("field_name"), v.alias("term"), F.size(F.filter("types", lambda x: x == v)).alias("n")))
     terms = F.transform("tokens", lambda t: F.struct(F.lit("tokens").alias("field_name"), t.alias("term"), F.lit(1).alias("n")))
     any_ = F.when(F.size("tokens") > 0, F.array(F.struct(F.lit(ALL_POSTS).alias("field_name"), F.lit(None).cast("string").alias("term"), F.lit(1).alias("n"))))

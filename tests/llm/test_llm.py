@@ -495,3 +495,40 @@ def test_query(spark, name):
         assert oracle.difference(df, oracle.view(folder), llm_oracle.ORACLE[name]) == ""
     else:
         assert df.count() > 0
+
+
+# -- nulls in any column, hot keys
+
+
+def test_null_ids(spark):
+    posts = posts_of(spark, [(None, ["a", "b"]), (1, ["a", "b"]), (2, ["a", "b"]), (None, None)])
+    assert {(r.pid_a, r.pid_b) for r in near_duplicates.near_duplicate_pairs(posts).collect()} == {(1, 2)}
+    assert {r.term: r.posts for r in term_frequency.term_frequencies(term_frequency.term_bitmaps(posts)).where("field_name = 'tokens'").collect()} == {"a": 2, "b": 2}
+    assert {r.pid for r in repeated_lines.repeated_lines(posts, min_posts=2)[1].collect()} == {1, 2}
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id bigint, vector array<float>")
+    assert {(r.vec_id, r.other) for r in similar_vectors.most_similar(similar_vectors.all_vectors(vectors)).collect()} == {(1, 2), (2, 1)}
+    documents = documents_of(spark, [(None, "stone river", "a"), (1, "stone", "a")])
+    specs = spark.createDataFrame([(1, 8)], "spec_id int, capacity int")
+    assert packing.pack(documents, specs).count() == 2
+    assert mixing.mix(documents, spark.createDataFrame([("a", 1.0, 1)], TARGETS)).count() == 2
+    assert quality.text_quality(documents, spark.createDataFrame([("en", "the")], "lang string, word string")).count() == 2
+
+
+def test_one_post_over_and_over(spark):
+    posts = posts_of(spark, [(1, ["a", "b"])] * 3000 + [(i, ["a", f"w{i}"]) for i in range(2, 60)])
+    got = {r.term: (r.occurrences, r.posts) for r in term_frequency.term_frequencies(term_frequency.term_bitmaps(posts)).where("field_name = 'tokens'").collect()}
+    assert got["a"] == (59, 59) and got["b"] == (1, 1)
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    rng = random.Random(6)
+    rows = [(i, ["copy", "of", "one", "text", "here"]) for i in range(400)] + [(1000 + i, rng.sample([f"w{k}" for k in range(500)], 8)) for i in range(800)] + [(5000, ["copy", "of", "one", "text", "here", "x"])]
+    for bound in (200_000, 0):
+        got = {(r.pid_a, r.pid_b) for r in near_duplicates.near_duplicate_pairs(posts_of(spark, rows), broadcast_rows=bound).collect()}
+        assert {(0, i) for i in range(1, 400)} | {(0, 5000)} == {p for p in got if p[0] < 1000}
+    same = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(1000 + i, [rng.random(), rng.random(), rng.random()]) for i in range(100)]
+    for bound in (200_000, 0):
+        got = {}
+        for r in neighbours(spark, same, broadcast_rows=bound).orderBy("vec_id", "rank").collect():
+            got.setdefault(r.vec_id, []).append(r.other)
+        assert len(got) == 400 and got[0] == [1, 2, 3, 4, 5] and got[299] == [0, 1, 2, 3, 4]
