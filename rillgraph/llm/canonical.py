@@ -128,7 +128,8 @@ def with_consistent_array(df: DataFrame, source: str, to: str | None = None) ->
     open_, fixed = f"__{source}_open", f"__{source}_fixed"
     df = df.withColumn(open_, F.filter(source, lambda t: ~is_stable(t)))
     df = df.withColumn(fixed, _fix_array(F.when(F.size(open_) > 0, F.col(open_))))
-    spliced = F.transform(source, lambda t: F.when(is_stable(t), t).otherwise(F.element_at(fixed, F.array_position(open_, t).cast("int"))))
+    at = lambda t: F.array_position(open_, t).cast("int")
+    spliced = F.transform(source, lambda t: F.when(at(t) > 0, F.element_at(fixed, at(t))).otherwise(t))
     return df.withColumn(to or source, F.when(F.col(fixed).isNull(), F.col(source)).otherwise(spliced)).drop(open_, fixed)
 
 

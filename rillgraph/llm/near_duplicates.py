@@ -38,9 +38,9 @@ def token_sets(posts: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     null in the others. Sets are written once and never shuffled."""
     rows = with_consistent_array(posts.where("pid is not null and size(tokens) > 0").select("pid", "tokens"), "tokens")
     marks = F.array_sort(F.array_distinct(F.transform(F.filter("tokens", lambda t: t.isNotNull()), lambda t: F.xxhash64(t))))
-    rows = rows.select("pid", marks.alias("tokens")).where("size(tokens) > 0")
-    rows = rows.select("pid", "tokens", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit("second"), "tokens").alias("h2"))
-    rows = with_classes(materialize(rows.withColumn("row", F.monotonically_increasing_id()), "near-sets"), ["pid", "row"], broadcast_rows)
+    rows = materialize(rows.select("pid", marks.alias("tokens"), F.monotonically_increasing_id().alias("row")), "near-sets").where("size(tokens) > 0")
+    rows = rows.select("pid", "row", "tokens", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit("second"), "tokens").alias("h2"))
+    rows = with_classes(rows, ["pid", "row"], broadcast_rows)
     return rows.select("pid", F.col("first.pid").alias("rep"), F.when(F.col("first.row") == F.col("row"), F.col("tokens")).alias("tokens"))
 
 
