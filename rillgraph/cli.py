@@ -54,6 +54,7 @@ def main(argv: list[str] | None = None) -> int:
         evaluate.evaluate(spark.read.parquet(args["gold"]), system).show(truncate=False)
         return 0
     posts = corpus.scan_posts(spark, args["posts"])
+    lexicon = spark.read.parquet(args["lexicon"]) if args["lexicon"] else None
     store = kgstore.readable(kgstore.scan_json(spark, args["store"])) if args["store"] and args["show"] else None
     if args["command"] == "graphs":
         if args["show"]:
@@ -62,11 +63,11 @@ def main(argv: list[str] | None = None) -> int:
         if args["limit"]:
             posts = posts.orderBy("dt", "pid").limit(args["limit"])
         if args["subject_filter"]:
-            scores = subjects.build_classifier(options.subject_backend, spark.read.parquet(args["lexicon"])).scores(posts)
+            scores = subjects.build_classifier(options.subject_backend, lexicon).scores(posts)
             posts = subjects.labelled_posts(posts, subjects.assign_subjects(scores, options.thresh_ps))
         triples.triple_stats(kgstore.ensure_graphs(posts, args["store"], lambda p: triples.extract(p), options.kg_backend)).show()
         return 0
-    classifier = subjects.build_classifier(options.subject_backend, spark.read.parquet(args["lexicon"]))
+    classifier = subjects.build_classifier(options.subject_backend, lexicon)
     result = pipeline.run(posts, classifier, options)
     pipeline.save(result, options)
     result.stats.show()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillgraph.config import SUBJECTS, UNLABELLED_POSTS
 from rillgraph.functions.text import label_key
+from rillgraph.operators.lexicon import default_lexicon
 
 # Names of the subjects in labels. A label is first looked up as it is, then without spaces.
 LABEL_NAMES = {
@@ -69,8 +70,8 @@ def logits_to_scores(logits: DataFrame, label_subjects: dict[int, int], mode: st
 
 
 def build_classifier(backend: str, lexicon: DataFrame | None = None, model: SubjectClassifier | None = None) -> SubjectClassifier:
-    if backend == "keyword" and lexicon is not None:
-        return KeywordClassifier(lexicon)
+    if backend == "keyword":
+        return KeywordClassifier(lexicon if lexicon is not None else default_lexicon(SparkSession.active()))
     if backend == "model" and model is not None:
         return model
     raise ValueError(f"unknown subject backend: {backend!r}")

@@ -52,6 +52,15 @@ def chain_triples(tokens: str | Column, chunk: int = 2, most: int = MAX_TRIPLES,
     return F.slice(clean_triples(F.when(F.size(chunks) > 1, pairs)), 1, most)
 
 
+def prompt_for(text: str) -> str:
+    """What a client may ask a language model for one post; any prompt will do whose answer :func:`parse_answer` reads."""
+    return (
+        "List the facts of the post as a JSON array of [head, relation, tail], each a few words of the post's language. Leave out opinions and "
+        f"repetitions. If there are none, answer [].\nPost: the fire in the tower was put out by the city's firemen\n"
+        f'Answer: [["fire", "was in", "tower"], ["firemen", "put out", "fire"]]\nPost: {text}\nAnswer:'
+    )
+
+
 def parse_answer(answer: str | None, most: int = MAX_TRIPLES) -> list[tuple[str, str, str]]:
     """Triples of a model's answer: JSON (a list, or an object that holds one, perhaps as a string, perhaps fenced), else
     every ``[a, b, c]`` in the text."""

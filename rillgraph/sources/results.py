@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.config import SUBJECTS
+from rillgraph.config import SUBJECTS, parse_stamp
 from rillgraph.functions.text import joined_nonempty
 from rillgraph.operators.evaluate import first_number
 
@@ -60,6 +60,11 @@ def paired_runs(topic_files: DataFrame, assignment_files: DataFrame) -> DataFram
     return topic_files.select("stamp", F.col("path").alias("topics")).join(assignment_files.select("stamp", F.col("path").alias("assignments")), "stamp")
 
 
+def evaluation_report(figures: DataFrame, stamp: str) -> DataFrame:
+    """The figures of one run with the parameters of its stamp as columns in front."""
+    return figures.select(*(F.lit(v).alias(k) for k, v in parse_stamp(stamp).items()), "*")
+
+
 def standardised(assigned: DataFrame, titles: DataFrame) -> DataFrame:
     """``(sequence_id, event_number, window, title)``: assignments with the titles found in the text."""
     rows = assigned.join(titles, "pid", "left")

@@ -104,7 +104,7 @@ def test_naps(spark):
     assert list(burst.dense_histogram(df, ["k"], 600.0).first().naps) == [2] + [0] * 9
 
 
-def reference_score(times, now, seconds, mode):
+def defined_score(times, now, seconds, mode):
     m = max(1, math.ceil((now - min(times)) / seconds))
     nap = np.bincount(np.clip(np.floor((np.array(times) - min(times)) / seconds).astype(int), 0, m - 1), minlength=m) / max(1.0, now - min(times))
     w = np.linspace(0.1, 1.0, m) if m > 1 else np.array([1.0])
@@ -118,7 +118,7 @@ def test_scores_against_the_definition(spark, mode):
     for _ in range(4):
         times = np.sort(rng.integers(0, 4000, rng.integers(1, 30))).tolist()
         now = max(times) + int(rng.integers(0, 300))
-        assert math.isclose(scores(spark, times, now, mode=mode), reference_score(times, now, 60, mode), rel_tol=1e-9)
+        assert math.isclose(scores(spark, times, now, mode=mode), defined_score(times, now, 60, mode), rel_tol=1e-9)
 
 
 def test_score_shapes(spark):
@@ -171,6 +171,8 @@ def test_keyword_scores(spark):
     assert sorted(r.pid for r in subjects.labelled_posts(posts, assigned).collect()) == [1, 2]
     with pytest.raises(ValueError):
         subjects.build_classifier("other")
+    built_in = subjects.build_classifier("keyword").scores(spark.createDataFrame([(1, ["گل", "تیم", "بانک"])], "pid bigint, tokens array<string>"))
+    assert {r.subject_idx: round(r.score, 4) for r in built_in.collect()} == {6: 0.6667, 1: 0.3333}
 
 
 @pytest.mark.parametrize(("target", "want"), [(0, 0.1), (2, 0.25), (10, 0.9), (3, 0.35)])
@@ -459,6 +461,7 @@ def test_results_round_trip(spark, tmp_path):
     assert {r.pid: r.event_number for r in results.scan_assignments(spark, str(tmp_path / "a")).collect()} == {1: 1, 2: 1, 9: 0, 3: 2}
     assert sorted((r.window, r.title) for r in results.scan_topics(spark, str(tmp_path / "t")).collect()) == [(1, "a b"), (2, "c")]
     runs = lambda x: spark.createDataFrame(x, "stamp string, path string")
+    assert results.evaluation_report(posts.limit(1), "td-1.2_clu-louvain").columns == ["td", "clu", "window", "pid"]
     assert [r.stamp for r in results.paired_runs(runs([("s", "p"), ("u", "q")]), runs([("s", "r")])).collect()] == ["s"]
 
 
