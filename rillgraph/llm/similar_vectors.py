@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from rillgraph.llm.classes import SALTS, with_classes
 from rillgraph.plans.materialize import materialize
 
+DENSE = 0.05  # share of a block beyond which one matrix product is cheaper than single comparisons
 EPSILON = 1.9  # of the error bound: the estimate leaves it in under one of a thousand cases
 MAX_CELLS = 1 << 14
 _PAIRS_AT_ONCE = 1 << 21
@@ -103,22 +104,29 @@ def estimate(code: np.ndarray, length: np.ndarray, fit: np.ndarray, queries: np.
     return 1 - (q_length[:, None] ** 2 + length**2) / 2 + both * inner / fit, both * error + 1e-9
 
 
-def block_top(ids: np.ndarray, units: np.ndarray, queries: np.ndarray, centre: np.ndarray, rotation: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query its best ``k`` of the block: place of the query, ids, exact cosines. Ties go to the smaller id."""
+def block_top(ids: np.ndarray, units: np.ndarray, queries: np.ndarray, centre: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's best ``k`` of the block: how many, then their ids and exact cosines. Ties go to the smaller id.
+
+    The vectors that the bounds leave are compared one by one where they are few, else by one matrix product over the
+    block; what may be among the best ``k`` is then computed once more, in one fixed way, so that ties are ties.
+    """
     code, length, fit = encode(units, centre, rotation)
-    rows = max(1, _PAIRS_AT_ONCE // max(1, len(ids)))
+    rows, found = max(1, _PAIRS_AT_ONCE // max(1, len(ids))), []
     for lo in range(0, len(queries), rows):
         q = queries[lo : lo + rows]
         about, error = estimate(code, length, fit, q, centre, rotation)
         least = -np.partition(-(about - error), k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.full((len(q), 1), -np.inf)
-        at, of = np.nonzero(about + error >= least)
+        chosen = about + error >= least
+        if len(ids) > k and chosen.mean() > DENSE:
+            near = np.where(chosen, q @ units.T, -np.inf)
+            chosen = near >= -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] - 1e-9
+        at, of = np.nonzero(chosen)
         exact = np.concatenate([np.einsum("ij,ij->i", q[at[i : i + 65536]], units[of[i : i + 65536]]) for i in range(0, len(at), 65536)] or [np.empty(0)])
         order = np.lexsort((ids[of], -exact, at))
         at, of, exact = at[order], of[order], exact[order]
-        start = np.searchsorted(at, np.arange(len(q) + 1))
-        for i in range(len(q)):
-            some = slice(start[i], min(start[i] + k, start[i + 1]))
-            yield lo + i, ids[of[some]], exact[some]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < k
+        found.append((np.bincount(at[best], minlength=len(q)), ids[of[best]], exact[best]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
 
 
 def most_similar(vectors: DataFrame, k: int = 5, probes: int = 12, cells: int | None = None, sample: int = 20_000, block: int = 2048, broadcast_rows: int = 200_000) -> DataFrame:
@@ -168,17 +176,13 @@ def most_similar(vectors: DataFrame, k: int = 5, probes: int = 12, cells: int |
     asked = placed.where("query").select(F.col("cell").alias("q_cell"), others("row_blocks").alias("q_rb"), own("query_blocks").alias("q_qb"), F.col("vec_id").alias("asks"), F.col("vector").alias("asked"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, of, tops, cosines = [], [], [], []
+        asks, near = np.empty(0, "int64"), (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
         if left.num_rows and right.num_rows:
-            q = right.column("asks").to_numpy()
-            for i, near, exact in block_top(left.column("vec_id").to_numpy(), _units(left.column("vector").combine_chunks()), _units(right.column("asked").combine_chunks()), centres[left.column("cell")[0].as_py()].astype("float64"), rotation, k + 1):
-                of.append(q[i])
-                ids.append(len(near))
-                tops.append(near)
-                cosines.append(exact)
-        structs = pa.StructArray.from_arrays([pa.array(-np.concatenate(cosines or [np.empty(0)])), pa.array(np.concatenate(tops or [np.empty(0, "int64")]).astype("int64"))], ["far", "other"])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ids)].astype("int32")), structs)
-        return pa.table({"class_id": pa.array(np.array(of, "int64")), "near": lists})
+            asks, centre = right.column("asks").to_numpy(), centres[left.column("cell")[0].as_py()].astype("float64")
+            near = block_top(left.column("vec_id").to_numpy(), _units(left.column("vector").combine_chunks()), _units(right.column("asked").combine_chunks()), centre, rotation, k + 1)
+        sizes, others_, cosines = near
+        structs = pa.StructArray.from_arrays([pa.array(-cosines), pa.array(others_)], ["far", "other"])
+        return pa.table({"class_id": pa.array(asks), "near": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), structs)})
 
     found = data.groupBy("cell", "rb", "qb").cogroup(asked.groupBy("q_cell", "q_rb", "q_qb")).applyInArrow(search, "class_id long, near array<struct<far:double,other:long>>")
     near = found.groupBy("class_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
