@@ -6,6 +6,7 @@ Sums are taken in double precision. Vectors of different lengths, or with null m
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -86,6 +87,33 @@ def hashing_embedder(dim: int = 512, ngrams: tuple[int, int] = NGRAMS):
     return embed
 
 
+def masked_mean(hidden: Column, mask: Column) -> Column:
+    """The mean of the vectors in ``hidden`` whose ``mask`` is 1 (weights are allowed); zeros where nothing is masked in."""
+    weighted = F.zip_with(hidden, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m))
+    zero = F.transform(F.element_at(hidden, 1), lambda x: F.lit(0.0))
+    total = F.aggregate(weighted, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    weight = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1e-9))
+    return F.transform(total, lambda x: (x / weight).cast("float"))
+
+
+def build_embedder(backend: str = "hashing", dim: int = 512, encode: Callable[[list[str]], np.ndarray] | None = None, batch: int = 64) -> Callable[[Column], Column]:
+    """A column function from phrases to raw vectors: the hashing one, or an injected ``encode`` of lists of phrases, called
+    with the distinct phrases of an Arrow batch, ``batch`` at a time."""
+    if backend == "hashing":
+        return hashing_embedder(dim)
+    if backend != "model" or encode is None:
+        raise ValueError(f"unknown embedding backend: {backend!r}")
+
+    @arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(phrases: pa.Array) -> pa.Array:
+        coded = phrases.fill_null("").dictionary_encode()
+        texts = coded.dictionary.to_pylist()
+        rows = [np.asarray(v, "float32") for i in range(0, len(texts), batch) for v in encode(texts[i : i + batch])]
+        return pa.array([rows[i] for i in coded.indices.to_pylist()], pa.list_(pa.float32()))
+
+    return embed
+
+
 def md5_buckets(df: DataFrame, phrase: str, dim: int = 64, n: int = 3) -> DataFrame:
     """``(phrase, bucket, weight)``, zero weights left out: the hashing embedder with md5 and one length of n-gram, in the JVM."""
     padded = F.concat(F.lit(" "), F.col(phrase), F.lit(" "))

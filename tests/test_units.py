@@ -60,6 +60,16 @@ def test_hashing_embedder(spark):
     assert math.isclose(float(np.linalg.norm(fold.unit(got[0]))), 1.0, rel_tol=1e-6)
 
 
+def test_masked_mean_and_injected_embedder(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 2.0]], [0])], "h array<array<float>>, m array<int>")
+    assert [list(r[0]) for r in df.select(vectors.masked_mean(F.col("h"), F.col("m"))).collect()] == [[2.0, 3.0], [0.0, 0.0]]
+    words = spark.createDataFrame([("ab",), ("abc",), (None,)], "p string")
+    embed = vectors.build_embedder("model", encode=lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    assert [list(r[0]) for r in words.select(embed(F.col("p"))).collect()] == [[2.0, 1.0], [3.0, 1.0], [0.0, 1.0]]
+    with pytest.raises(ValueError):
+        vectors.build_embedder("other")
+
+
 # -- options
 
 
