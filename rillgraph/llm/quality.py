@@ -40,14 +40,14 @@ _BULLET = re.compile(r"\s*(?:[-–—*•·▪■□★►▶✓✔✅🔹🔸
 _CELLS = re.compile(r"[|;\t¦]|,(?=\S)| {3,}")
 _NUMBER = re.compile(r"\d[\d.,]*%?")
 _WORD = re.compile(r"[^\W\d_]+")
-_LETTER, _DIGIT, _UPPER = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"[A-Z]")
+_DIGITS, _UPPER, _GAP = re.compile(r"\d+"), re.compile(r"[A-Z]"), re.compile(r" {2,}")
 _ODD = re.compile(r"[\x80-¶¸-¿×÷ØÙÚÛÃÂÐÑˆ˜†‡€Œœ™„‚ƒ�]")
 
 
 def _is_row(line: str) -> bool:
     """Whether a line looks like the row of a table: cells of a few words, or columns set with blanks."""
     cells = len(_CELLS.findall(line))
-    if cells >= 2 and line.count(" ") <= 8 * cells or len(re.findall(r" {2,}", line)) >= 2:
+    if cells >= 2 and line.count(" ") <= 8 * cells or "  " in line and len(_GAP.findall(line)) >= 2:
         return True
     numbers = _NUMBER.findall(line)
     digits = sum(map(len, numbers))
@@ -79,14 +79,13 @@ def _known(text: str, common: frozenset[str] | set[str]) -> tuple[int, int]:
 
 def _key(text: str) -> str:
     """What makes two stretches the same: their words, whatever numbers stand beside them."""
-    return " ".join(_WORD.findall(text))
+    return " ".join([w for w in text.split() if not w.isdigit()])
 
 
 def _again(seen: Counter[str], text: str, counts: bool) -> bool:
-    """Whether a stretch counts as running text: said for the first time, and ``counts``."""
-    key = _key(text)
-    seen[key] += 1
-    return counts and seen[key] == 1
+    """Whether a stretch with the key ``text`` counts as running text: said for the first time, and ``counts``."""
+    seen[text] += 1
+    return counts and seen[text] == 1
 
 
 def statistics(text: str | None, common: frozenset[str] | set[str]) -> list[float]:
@@ -95,9 +94,9 @@ def statistics(text: str | None, common: frozenset[str] | set[str]) -> list[floa
         return [0.0] * len(STATISTICS)
     plain = text.translate(_PLAIN)
     lines = [x for x in plain.split("\n") if x.strip()]
-    words = [w.lower() for w in _WORD.findall(plain)]
+    words = _WORD.findall(plain.lower())
     shown = sum(map(len, plain.split())) or 1
-    letters, digits = len(_LETTER.findall(plain)), len(_DIGIT.findall(plain))
+    letters, digits = sum(map(len, words)), sum(map(len, _DIGITS.findall(plain)))
     bullets = [bool(_BULLET.match(x)) for x in lines]
     cells = [_is_row(x.strip()) for x in lines]
     pieces = _pieces(lines, bullets, cells)
@@ -112,8 +111,9 @@ def statistics(text: str | None, common: frozenset[str] | set[str]) -> list[floa
         at = 0
         for m in _STOP.finditer(piece):
             sentence, at = piece[at : m.end()], m.end()
-            running += len(sentence) * _again(seen, sentence, fluent and sentence.count(" ") >= (5 if kind == "dash" else 2))
-            repeated += len(sentence) * (seen[_key(sentence)] > 1)
+            key = _key(sentence)
+            running += len(sentence) * _again(seen, key, fluent and sentence.count(" ") >= (5 if kind == "dash" else 2))
+            repeated += len(sentence) * (seen[key] > 1)
         tail = piece[at:]
         if not tail.strip():
             continue
@@ -121,8 +121,9 @@ def statistics(text: str | None, common: frozenset[str] | set[str]) -> list[floa
             long = tail.count(" ") >= 9
         else:  # no stop at all: lines of many words are running text all the same
             long = len(parts) > 0 and sum(x.count(" ") + 1 for x in parts) >= 9 * len(parts)
-        running += len(tail) * _again(seen, tail, kind == "text" and long and max(1, 0.08 * own) <= known <= 0.65 * own)
-        repeated += len(tail) * (seen[_key(tail)] > 1)
+        key = _key(tail)
+        running += len(tail) * _again(seen, key, kind == "text" and long and max(1, 0.08 * own) <= known <= 0.65 * own)
+        repeated += len(tail) * (seen[key] > 1)
     n, k = len(words), len(lines)
     return [
         float(len(text)), float(n), float(k), sum(map(len, words)) / max(n, 1), (shown - letters - digits) / shown, digits / shown, letters / shown,
@@ -159,7 +160,7 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
 
 # Slope and offset that turn the trees' score into a probability. Fitted on the hand-checked holdout listed
 # in tests/llm/holdout.py, whose test fits them again.
-CALIBRATION = (0.37, -0.5)
+CALIBRATION = (0.4, -0.3)
 
 
 @dataclass
