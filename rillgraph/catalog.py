@@ -36,7 +36,12 @@ def _read(s: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def _posts(s: SparkSession, d: str) -> DataFrame:
-    return windows.with_windows(windows.distinct_posts(corpus.scan_posts(s, f"{d}/posts.parquet")))
+    return windows.distinct_posts(corpus.scan_posts(s, f"{d}/posts.parquet"))
+
+
+def _windowed(s: SparkSession, d: str) -> DataFrame:
+    """Windows first: the first midnight then comes from a plain scan, not from posts made distinct twice."""
+    return windows.distinct_posts(windows.with_windows(corpus.scan_posts(s, f"{d}/posts.parquet")))
 
 
 def _lexicon(s: SparkSession, d: str) -> DataFrame:
@@ -140,7 +145,7 @@ pairs as (select subject_idx, a, b, greatest(max(coalesce(score, 0)), 0) weight
 
 @query(f"with {POSTS_SQL} select pid, win as \"window\" from p")
 def q_window_assign(s: SparkSession, d: str) -> DataFrame:
-    return _posts(s, d).select("pid", "window")
+    return _windowed(s, d).select("pid", "window")
 
 
 @query(f"with {POSTS_SQL} select pid, cast(window_no as bigint) as \"window\" from p0")
@@ -150,23 +155,23 @@ def q_file_windows(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {POSTS_SQL} select win as \"window\", min(t) first_s, max(t) last_s, count(*) n_posts from p group by 1")
 def q_window_stats(s: SparkSession, d: str) -> DataFrame:
-    return windows.window_stats(_posts(s, d))
+    return windows.window_stats(_windowed(s, d))
 
 
 @query(f"with {POSTS_SQL} select win as \"window\", row_number() over (order by win) as ordinal from (select distinct win from p)")
 def q_window_ordinals(s: SparkSession, d: str) -> DataFrame:
-    return windows.window_ordinals(_posts(s, d))
+    return windows.window_ordinals(_windowed(s, d))
 
 
 @query(f"with {POSTS_SQL} select pid, win as \"window\" from (select pid, win, dense_rank() over (order by win) k from p) where k <= 10")
 def q_max_windows(s: SparkSession, d: str) -> DataFrame:
-    return windows.first_windows(_posts(s, d), 10).select("pid", "window")
+    return windows.first_windows(_windowed(s, d), 10).select("pid", "window")
 
 
 @query(f"""with {POSTS_SQL} select cast(sum(n) as bigint) n_posts, count(*) n_windows, min(a) first_s, max(b) last_s, round(avg(n), 6) posts_a_window
 from (select win, count(*) n, min(t) a, max(t) b from p group by 1)""")
 def q_stream_stats(s: SparkSession, d: str) -> DataFrame:
-    return windows.stream_stats(_posts(s, d)).select("n_posts", "n_windows", "first_s", "last_s", _round("posts_a_window"))
+    return windows.stream_stats(_windowed(s, d)).select("n_posts", "n_windows", "first_s", "last_s", _round("posts_a_window"))
 
 
 @query(f"with {POSTS_SQL} select pid, coalesce(array_to_string(tokens, ' '), '') as \"text\" from p")
@@ -305,7 +310,7 @@ def q_kg_latest_by_backend(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {POSTS_SQL} select pid, win as \"window\" from p where pid not in (select pid from kg_store)")
 def q_kg_missing(s: SparkSession, d: str) -> DataFrame:
-    return kgstore.missing(_posts(s, d), _read(s, d, "kg_store")).select("pid", "window")
+    return kgstore.missing(_windowed(s, d), _read(s, d, "kg_store")).select("pid", "window")
 
 
 @query(f"""with {POSTS_SQL}, last as (select * from (select *, row_number() over (partition by pid order by seq desc) k from kg_store) where k = 1)
@@ -482,7 +487,7 @@ def q_event_posts(s: SparkSession, d: str) -> DataFrame:
 @query()
 def q_forgetting_fold(s: SparkSession, d: str) -> DataFrame:
     """Scores of living entities after every window; tested against a brute-force fold."""
-    posts = materialize(_posts(s, d), "posts")
+    posts = materialize(_windowed(s, d), "posts")
     found = _mentions(s, d).join(posts.select("pid", "window"), "pid")
     return graph.forgetting_fold(found, materialize(events.window_clock(posts), "clock"), HOUR)
 
@@ -604,7 +609,7 @@ l as (select w, pid, string_agg(event_number::varchar, ',' order by event_number
 select win as "window", p.pid, coalesce(ns, '0') event_number from p left join l on l.pid = p.pid and l.w = win""")
 def q_assignments(s: SparkSession, d: str) -> DataFrame:
     numbered = _read(s, d, "final_events").select(F.explode("windows").alias("window"), "post_ids", F.col("event_number").alias("number")).withColumn("window", F.col("window").cast("long"))
-    return results.assignments(_posts(s, d), numbered)
+    return results.assignments(_windowed(s, d), numbered)
 
 
 @query("""select event_number as event, array_to_string(list_sort(subjects), ',') subjects, array_to_string(list_sort(windows), ',') windows, cast(len(post_ids) as bigint) posts, array_to_string(titles[1:10], ' | ') titles from final_events""")
@@ -696,7 +701,7 @@ select pid, string_agg(distinct title, '|' order by title) titles from x join tt
 def q_title_in_text(s: SparkSession, d: str) -> DataFrame:
     """The first words of the final events' titles, looked for in the texts of their windows."""
     named = _read(s, d, "final_events").select(F.explode("windows").alias("window"), "titles").select(F.col("window").cast("long").alias("window"), F.explode("titles").alias("t")).select("window", F.split_part("t", F.lit(" "), F.lit(1)).alias("title"))
-    return evaluate.titles_in_text(_posts(s, d).select("pid", "window", text.text_of("tokens").alias("text")), named)
+    return evaluate.titles_in_text(_windowed(s, d).select("pid", "window", text.text_of("tokens").alias("text")), named)
 
 
 @query()

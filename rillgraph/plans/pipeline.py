@@ -31,7 +31,7 @@ class Run:
 
 def prepared(posts: DataFrame, options: Options) -> DataFrame:
     """Distinct posts with their window, cut to the first windows if wanted."""
-    rows = windows.with_windows(windows.distinct_posts(posts), options.window_hours)
+    rows = windows.distinct_posts(windows.with_windows(posts, options.window_hours))
     return windows.first_windows(rows, options.max_windows) if options.max_windows else rows
 
 
