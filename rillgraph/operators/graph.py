@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillgraph.functions.arrays import let
 from rillgraph.functions.text import epoch_seconds, normalise_phrase
-from rillgraph.operators.burst import closed_form, interval_count
+from rillgraph.operators.burst import closed_form, interval_count, least_mentions
 from rillgraph.plans.materialize import materialize
 
 ENTITY = ["subject_idx", "kind", "phrase"]
@@ -125,24 +126,34 @@ def forgetting_fold(found: DataFrame, windows: DataFrame, seconds: float = 60, w
     late = found.join(F.broadcast(windows), "window").where("t = now").groupBy(*key).agg(F.count("*").alias("at_now"))
     per = parts.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.min("first").alias("first"), F.collect_list(F.struct("r", "n")).alias("rs"))
     per = per.join(late, key, "left").withColumn("at_now", F.coalesce("at_now", F.lit(0)))
-    per = per.groupBy(*ENTITY).agg(F.map_from_entries(F.collect_list(F.struct("window", F.struct("n", "q", "first", "at_now", "rs")))).alias("of"))
+    least = least_mentions(t_d, wmin, wmax) if forget_every <= 1 else 1  # entities that never reach t_d have no rows
+    per = per.groupBy(*ENTITY).agg(F.map_from_entries(F.collect_list(F.struct("window", F.struct("n", "q", "first", "at_now", "rs")))).alias("of"), F.sum("n").alias("all"))
+    per = per.where(F.col("all") >= least).drop("all")
     line = windows.agg(F.array_sort(F.collect_list(F.struct("ordinal", "window", "now"))).alias("line"))
     zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<r:double,n:bigint>>")
     log = F.array().cast("array<struct<window:bigint,n:bigint,t1:double,score:double>>")
     unborn = lambda out: F.struct(zero.alias("n"), zero.alias("q"), F.lit(None).cast("double").alias("t1"), none.alias("rs"), out.alias("log"))
 
     def step(state: Column, w: Column) -> Column:
-        new = F.element_at("of", w["window"])
-        n, total = state["n"] + F.coalesce(new["n"], zero), state["q"] + F.coalesce(new["q"], zero)
-        t1, rs = F.coalesce(state["t1"], new["first"]), F.concat(state["rs"], F.coalesce(new["rs"], none))
-        q1 = F.floor(t1 / seconds).cast("long")
-        behind = F.aggregate(F.filter(rs, lambda x: x["r"] < t1 - q1 * seconds), zero, lambda s, x: s + x["n"])
-        clipped = F.when((w["now"] > t1) & ((w["now"] - t1) % seconds == 0), F.coalesce(new["at_now"], zero)).otherwise(zero)
-        score = closed_form(n, total - n * q1 - behind - clipped, interval_count(t1, w["now"], seconds), wmin, wmax)
-        alive = (n > 0) & ((score >= t_d) | (w["ordinal"] % max(1, forget_every) != 0))
-        row = F.array(F.struct(w["window"].alias("window"), n.alias("n"), t1.alias("t1"), score.alias("score")))
-        kept = F.struct(n.alias("n"), total.alias("q"), t1.alias("t1"), rs.alias("rs"), F.concat(state["log"], row).alias("log"))
-        return F.when(alive, kept).otherwise(unborn(state["log"]))
+        def joined(new: Column) -> Column:
+            n, q = state["n"] + F.coalesce(new["n"], zero), state["q"] + F.coalesce(new["q"], zero)
+            t1, rs = F.coalesce(state["t1"], new["first"]), F.concat(state["rs"], F.coalesce(new["rs"], none))
+            return F.struct(n.alias("n"), q.alias("q"), t1.alias("t1"), rs.alias("rs"), F.coalesce(new["at_now"], zero).alias("at_now"))
+
+        def scored(x: Column) -> Column:
+            q1 = F.floor(x["t1"] / seconds).cast("long")
+            behind = F.aggregate(F.filter(x["rs"], lambda y: y["r"] < x["t1"] - q1 * seconds), zero, lambda s, y: s + y["n"])
+            clipped = F.when((w["now"] > x["t1"]) & ((w["now"] - x["t1"]) % seconds == 0), x["at_now"]).otherwise(zero)
+            places = x["q"] - x["n"] * q1 - behind - clipped
+            return let(F.struct(places.alias("p"), interval_count(x["t1"], w["now"], seconds).alias("m")), lambda y: closed_form(x["n"], y["p"], y["m"], wmin, wmax))
+
+        def settled(x: Column, score: Column) -> Column:
+            row = F.array(F.struct(w["window"].alias("window"), x["n"].alias("n"), x["t1"].alias("t1"), score.alias("score")))
+            kept = F.struct(x["n"].alias("n"), x["q"].alias("q"), x["t1"].alias("t1"), x["rs"].alias("rs"), F.concat(state["log"], row).alias("log"))
+            return F.when((score >= t_d) | (w["ordinal"] % max(1, forget_every) != 0), kept).otherwise(unborn(state["log"]))
+
+        after = let(joined(F.element_at("of", w["window"])), lambda x: F.when(x["n"] > 0, let(scored(x), lambda score: settled(x, score))).otherwise(unborn(state["log"])))
+        return F.when((state["n"] > 0) | F.array_contains(F.map_keys("of"), w["window"]), after).otherwise(state)
 
     folded = per.join(F.broadcast(line)).select(*ENTITY, F.explode(F.aggregate("line", unborn(log), step, lambda s: s["log"])).alias("x"))
     return folded.select(*ENTITY, "x.*")

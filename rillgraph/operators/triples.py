@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from rillgraph.functions.arrays import let
 from rillgraph.functions.text import squeezed
 
 DEFAULT_RELATION = "مرتبط با"
@@ -34,7 +35,8 @@ def clean_triples(triples: str | Column, relation: str = DEFAULT_RELATION) -> Co
     """White space squeezed; empty relations replaced; triples with an empty or equal end, or a part of more than 60
     characters, dropped; each kept once, in order. Null gives an empty array."""
     blank = lambda c: squeezed(F.coalesce(c, F.lit("")))
-    parts = F.transform(triples, lambda t: F.struct(blank(t["h"]).alias("h"), F.when(blank(t["r"]) == "", relation).otherwise(blank(t["r"])).alias("r"), blank(t["o"]).alias("o")))
+    named = lambda c: F.coalesce(F.nullif(blank(c), F.lit("")), F.lit(relation))
+    parts = F.transform(triples, lambda t: F.struct(blank(t["h"]).alias("h"), named(t["r"]).alias("r"), blank(t["o"]).alias("o")))
     fits = lambda t: F.greatest(F.length(t["h"]), F.length(t["r"]), F.length(t["o"])) <= MAX_PART
     good = F.filter(parts, lambda t: (t["h"] != "") & (t["o"] != "") & (t["h"] != t["o"]) & fits(t))
     return F.coalesce(F.array_distinct(good), F.array().cast(TRIPLES))
@@ -46,10 +48,10 @@ def chain_triples(tokens: str | Column, chunk: int = 2, most: int = MAX_TRIPLES,
     Words are the pieces between white space, as tokens may hold spaces. Fewer than two words give no triples.
     """
     words = F.filter(F.split(squeezed(F.concat_ws(" ", tokens)), " "), lambda w: w != "")
-    starts = F.sequence(F.lit(1), F.size(words), F.lit(chunk))
-    chunks = F.when(F.size(words) >= 2, F.transform(starts, lambda i: F.array_join(F.slice(words, i, chunk), " ")))
-    pairs = F.zip_with(F.slice(chunks, 1, F.size(chunks) - 1), F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("h"), F.lit(relation).alias("r"), b.alias("o")))
-    return F.slice(clean_triples(F.when(F.size(chunks) > 1, pairs)), 1, most)
+    pieces = lambda w: F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(1), F.size(w), F.lit(chunk)), lambda i: F.array_join(F.slice(w, i, chunk), " ")))
+    link = lambda a, b: F.struct(a.alias("h"), F.lit(relation).alias("r"), b.alias("o"))
+    pairs = lambda c: F.when(F.size(c) > 1, F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), link))
+    return F.slice(clean_triples(let(words, lambda w: let(pieces(w), pairs))), 1, most)
 
 
 def prompt_for(text: str) -> str:
