@@ -487,7 +487,7 @@ def q_event_posts(s: SparkSession, d: str) -> DataFrame:
 @query()
 def q_forgetting_fold(s: SparkSession, d: str) -> DataFrame:
     """Scores of living entities after every window; tested against a brute-force fold."""
-    posts = materialize(_windowed(s, d), "posts")
+    posts = materialize(_windowed(s, d).select("pid", "dt", "window"), "posts")
     found = _mentions(s, d).join(posts.select("pid", "window"), "pid")
     return graph.forgetting_fold(found, materialize(events.window_clock(posts), "clock"), HOUR)
 

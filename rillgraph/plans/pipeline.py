@@ -46,7 +46,7 @@ def assigned_subjects(posts: DataFrame, classifier: subjects.SubjectClassifier,
 def run(posts: DataFrame, classifier: subjects.SubjectClassifier, options: Options | None = None, store: DataFrame | None = None, embed: Callable | None = None, ask: Callable | None = None) -> Run:
     """All stages. ``store`` holds graphs that are already there; posts without one are extracted."""
     o = options or Options()
-    posts = materialize(prepared(posts, o), "posts")
+    posts = materialize(prepared(posts, o).select("pid", "tokens", "dt", "window"), "posts")
     assigned = materialize(assigned_subjects(posts, classifier, o), "assigned")
     kept = subjects.labelled_posts(posts, assigned)
     todo = kgstore.missing(kept, store) if store is not None else kept
