@@ -41,8 +41,10 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     from rillgraph.operators import evaluate, subjects, triples
     from rillgraph.plans import pipeline
+    from rillgraph.plans.ship import ship_package
     from rillgraph.sources import corpus, kgstore, results
 
+    ship_package(spark)
     if args["command"] == "evaluate":
         from rillgraph.config import stamped_path
 
