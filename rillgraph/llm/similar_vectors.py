@@ -129,10 +129,10 @@ def block_top(ids: np.ndarray, units: np.ndarray, queries: np.ndarray, centre: n
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
 
 
-def most_similar(vectors: DataFrame, k: int = 5, probes: int = 12, cells: int | None = None, sample: int = 20_000, block: int = 2048, broadcast_rows: int = 200_000) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 5, probes: int = 24, cells: int | None = None, sample: int = 20_000, block: int = 2048, broadcast_rows: int = 200_000) -> DataFrame:
     """``(vec_id, rank, other, cosine)``: for every vector its ``k`` most similar others, rank 1 first.
 
-    ``vectors`` is a result of :func:`all_vectors`. ``cells`` defaults to twice the root of their number, ``MAX_CELLS`` at most.
+    ``vectors`` is a result of :func:`all_vectors`. ``cells`` defaults to the root of their number, ``MAX_CELLS`` at most.
     """
     spark = vectors.sparkSession
     schema = "vec_id long, rank int, other long, cosine double"
@@ -147,7 +147,7 @@ def most_similar(vectors: DataFrame, k: int = 5, probes: int = 12, cells: int |
     if not n:
         return spark.createDataFrame([], schema)
     some = index.where("nth = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
-    centres = _centroids(_units(some.column(0).combine_chunks()), cells or int(np.clip(2 * np.sqrt(n), 1, MAX_CELLS)))
+    centres = _centroids(_units(some.column(0).combine_chunks()), cells or int(np.clip(np.sqrt(n), 1, MAX_CELLS)))
     probes, rotation = min(probes, len(centres)), _rotation(centres.shape[1])
 
     def place(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
