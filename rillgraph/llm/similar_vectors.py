@@ -6,7 +6,13 @@ A query's rotated residual is rounded to four bits; popcounts of packed words gi
 product, with an error bound that holds with high probability. Vectors whose upper bound reaches the k-th best lower bound
 are compared exactly, in double precision.
 
-A query looks into the ``probes`` nearest cells. Cells are joined in blocks: rows of a cell are split into blocks of
+A query first looks into the ``probes`` nearest cells, which gives it a k-th cosine to beat. Then it is compared with every
+cell that can still hold something better: by the triangle inequality of angles, one whose centroid is no farther than
+the cell's radius and the angle of that cosine together. There single precision with a margin above its error decides what is
+computed in double precision, so the result is exact and ``probes`` only decides how much work the second step has: in many
+dimensions, where angles are wide, few cells can be left out and it is a comparison of all with all.
+
+Cells are joined in blocks: rows of a cell are split into blocks of
 ``block`` rows and its queries into blocks of ``4 * block``, so a cell with a third of all vectors is many tasks. Equal
 vectors are one query, and only the ``k + 1`` of them with the smallest ids can be in anyone's result, so masses of copies
 cost nothing. Centroids are fitted on at most ``sample`` vectors (chosen by the hash of their id); every vector is indexed.
@@ -31,6 +37,7 @@ DENSE = 0.05  # share of a block beyond which one matrix product is cheaper than
 EPSILON = 1.9  # of the error bound: the estimate leaves it in under one of a thousand cases
 MAX_CELLS = 1 << 14
 _PAIRS_AT_ONCE = 1 << 21
+_SLACK = 1e-6  # of angles, above their rounding
 
 
 def all_vectors(*tables: DataFrame) -> DataFrame:
@@ -129,10 +136,70 @@ def block_top(ids: np.ndarray, units: np.ndarray, queries: np.ndarray, centre: n
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
 
 
-def most_similar(vectors: DataFrame, k: int = 5, probes: int = 24, cells: int | None = None, sample: int = 20_000, block: int = 2048, broadcast_rows: int = 200_000) -> DataFrame:
+def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Angle of every vector and centre, in double precision."""
+    c = centres.astype("float64")
+    return np.arccos(np.clip(units @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).T, -1, 1))
+
+
+def _can_hold(angles: np.ndarray, radius: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether a cell of that radius can hold a vector of a query's ``least`` cosine or more."""
+    return angles - radius <= np.arccos(np.clip(least, -1, 1))[:, None] + _SLACK
+
+
+def _groups(counts: np.ndarray, centres: np.ndarray, size: int) -> list[list[int]]:
+    """The cells that have rows, close ones together, in groups of about ``size`` rows; a larger cell is a group."""
+    close = (centres @ _centroids(centres, max(1, int(np.sqrt(len(centres))))).T).argmax(1)
+    groups: list[list[int]] = []
+    held = size
+    for c in np.lexsort((np.arange(len(centres)), close)):
+        if counts[c]:
+            if held + counts[c] > size:
+                groups.append([])
+                held = 0
+            groups[-1].append(int(c))
+            held += counts[c]
+    return groups
+
+
+def _best(at: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of each query, by query. Ties go to the smaller id."""
+    order = np.lexsort((ids, -exact, at))
+    at, ids, exact = at[order], ids[order], exact[order]
+    best = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[best], ids[best], exact[best]
+
+
+def block_better(ids: np.ndarray, units: np.ndarray, cells: np.ndarray, queries: np.ndarray, least: np.ndarray, known: np.ndarray, has: np.ndarray, centres: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the block, what reaches a query's ``least`` cosine and is not ``known`` to it, the best ``k``: how many, ids, cosines.
+
+    Row ``i`` of ``known`` begins with the ``has[i]`` ids that query ``i`` has already.
+    """
+    q, x = queries.astype("float32"), units.astype("float32")
+    reach = (least - (units.shape[1] + 8) * 2.0**-23).astype("float32")
+    found = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))]
+    for c in np.unique(cells):
+        rows, centre = np.nonzero(cells == c)[0], centres[c : c + 1]
+        asks = np.nonzero(_can_hold(_angles(queries, centre), _angles(units[rows], centre).max(), least)[:, 0])[0]
+        step = max(1, _PAIRS_AT_ONCE // len(rows))
+        for lo in range(0, len(asks), step):
+            part = asks[lo : lo + step]
+            at, of = np.nonzero(q[part] @ x[rows].T >= reach[part][:, None])
+            at, of = part[at], rows[of]
+            new = ~((known[at] == ids[of][:, None]) & (np.arange(known.shape[1]) < has[at][:, None])).any(1)
+            at, of = at[new], of[new]
+            exact = np.concatenate([np.einsum("ij,ij->i", queries[at[i : i + 65536]], units[of[i : i + 65536]]) for i in range(0, len(at), 65536)] or [np.empty(0)])
+            ok = exact >= least[at]
+            found.append(_best(at[ok], ids[of[ok]], exact[ok], k))
+    at, others, exact = _best(*(np.concatenate(f) for f in zip(*found)), k)
+    return np.bincount(at, minlength=len(queries)), others, exact
+
+
+def most_similar(vectors: DataFrame, k: int = 5, probes: int = 24, cells: int | None = None, sample: int = 20_000, block: int = 2048, wide: int = 16_384, broadcast_rows: int = 200_000) -> DataFrame:
     """``(vec_id, rank, other, cosine)``: for every vector its ``k`` most similar others, rank 1 first.
 
     ``vectors`` is a result of :func:`all_vectors`. ``cells`` defaults to the root of their number, ``MAX_CELLS`` at most.
+    ``block`` is the rows of a block of the first step, ``wide`` the rows and the queries of a block of the second.
     """
     spark = vectors.sparkSession
     schema = "vec_id long, rank int, other long, cosine double"
@@ -175,17 +242,70 @@ def most_similar(vectors: DataFrame, k: int = 5, probes: int = 24, cells: int |
     data = placed.where("not query").select("cell", own("row_blocks").alias("rb"), others("query_blocks").alias("qb"), "vec_id", "vector")
     asked = placed.where("query").select(F.col("cell").alias("q_cell"), others("row_blocks").alias("q_rb"), own("query_blocks").alias("q_qb"), F.col("vec_id").alias("asks"), F.col("vector").alias("asked"))
 
+    def listed(asks: np.ndarray, sizes: np.ndarray, others_: np.ndarray, cosines: np.ndarray) -> pa.Table:
+        structs = pa.StructArray.from_arrays([pa.array(-cosines), pa.array(others_)], ["far", "other"])
+        return pa.table({"class_id": pa.array(asks), "near": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), structs)})
+
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         asks, near = np.empty(0, "int64"), (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
         if left.num_rows and right.num_rows:
             asks, centre = right.column("asks").to_numpy(), centres[left.column("cell")[0].as_py()].astype("float64")
             near = block_top(left.column("vec_id").to_numpy(), _units(left.column("vector").combine_chunks()), _units(right.column("asked").combine_chunks()), centre, rotation, k + 1)
-        sizes, others_, cosines = near
-        structs = pa.StructArray.from_arrays([pa.array(-cosines), pa.array(others_)], ["far", "other"])
-        return pa.table({"class_id": pa.array(asks), "near": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), structs)})
+        return listed(asks, *near)
 
     found = data.groupBy("cell", "rb", "qb").cogroup(asked.groupBy("q_cell", "q_rb", "q_qb")).applyInArrow(search, "class_id long, near array<struct<far:double,other:long>>")
-    near = found.groupBy("class_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    best = lambda f: f.groupBy("class_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    near = materialize(best(found), "vector-near")
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their cell and the angle to its centroid."""
+        step = max(1, _PAIRS_AT_ONCE // len(centres))
+        for b in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
+            units = _units(b.column("vector"))
+            cell = (units.astype("float32") @ centres.T).argmax(1)
+            angle = np.arccos(np.clip(np.einsum("ij,ij->i", units, centres[cell].astype("float64")) / np.maximum(np.linalg.norm(centres[cell].astype("float64"), axis=1), 1e-12), -1, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype("int32")), pa.array(angle), b.column("vec_id"), b.column("vector")], ["cell", "angle", "vec_id", "vector"])
+
+    located = materialize(index.mapInArrow(locate, "cell int, angle double, vec_id long, vector array<float>"), "vector-cells")
+    size, radius = np.zeros(len(centres), "int64"), np.zeros(len(centres))
+    for r in located.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect():
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["angle"]
+    groups = _groups(size, centres, wide)
+    pieces = np.array([-(-int(size[g].sum()) // wide) for g in groups])
+    first, order = np.cumsum(pieces) - pieces, np.concatenate(groups)
+    starts = np.cumsum([0, *(len(g) for g in groups)])[:-1]
+    asked_blocks = -(-n // wide)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries to every block with a cell that can hold something better than they have."""
+        step = max(1, _PAIRS_AT_ONCE // max(len(centres), 64 * int(pieces.sum())))
+        for b in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
+            can = _can_hold(_angles(_units(b.column("asked")), centres[order]), radius[order], b.column("least").to_numpy())
+            row, to = np.nonzero(np.repeat(np.logical_or.reduceat(can, starts, axis=1), pieces, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype("int32")), *b.take(pa.array(row)).columns], ["q_rb", *b.schema.names])
+
+    blocks = spark.createDataFrame([(c, int(first[g]), int(pieces[g])) for g, members in enumerate(groups) for c in members], "cell int, first int, pieces int")
+    own_block = (F.col("first") + own("pieces")).alias("rb")
+    data = located.join(F.broadcast(blocks), "cell").select(own_block, F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("qb"), "cell", "vec_id", "vector")
+    asked = index.where("nth = 1").select(F.col("vec_id").alias("asks"), F.col("vector").alias("asked")).join(near, F.col("asks") == F.col("class_id"), "left")
+    least = F.when(F.size("near") > k, -F.element_at("near", k + 1)["far"]).otherwise(-1.0).alias("least")
+    asked = asked.select(F.pmod(F.xxhash64("asks"), F.lit(asked_blocks)).cast("int").alias("q_qb"), "asks", "asked", least, F.coalesce(F.col("near.other"), F.array().cast("array<long>")).alias("known"))
+    asked = asked.mapInArrow(route, "q_rb int, q_qb int, asks long, asked array<float>, least double, known array<long>")
+
+    def search_rest(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return listed(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
+        lists = right.column("known").combine_chunks()
+        has = lists.value_lengths().to_numpy()
+        known = np.zeros((len(lists), k + 1), "int64")
+        known[np.arange(k + 1) < has[:, None]] = lists.flatten().to_numpy()
+        rows, queries = _units(left.column("vector").combine_chunks()), _units(right.column("asked").combine_chunks())
+        sizes, others_, cosines = block_better(left.column("vec_id").to_numpy(), rows, left.column("cell").to_numpy(), queries, right.column("least").to_numpy(), known, has, centres, k + 1)
+        some = sizes > 0
+        return listed(right.column("asks").to_numpy()[some], sizes[some], others_, cosines)
+
+    more = data.groupBy("rb", "qb").cogroup(asked.groupBy("q_rb", "q_qb")).applyInArrow(search_rest, "class_id long, near array<struct<far:double,other:long>>")
+    near = best(near.unionByName(more))
     salts = F.sequence(F.lit(0), F.when(F.col("copies"), SALTS - 1).otherwise(0))
     copies = classes.where("not alone").select("class_id").distinct().withColumn("copies", F.lit(True))
     near = near.join(copies, "class_id", "left").na.fill(False, ["copies"]).withColumn("salt", F.explode(salts)).drop("copies")

@@ -297,6 +297,18 @@ def test_vectors_exact_when_all_cells_are_probed(spark):
     assert sum(len(set(got[i]) & set(want[i])) for i in want) / (5 * len(want)) > 0.995
 
 
+def test_vectors_exact_at_any_number_of_probes(spark):
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=24)
+    rows = [(int(i), (hot + rng.normal(size=24) * 0.2 if i % 3 == 0 else rng.normal(size=24)).tolist()) for i in range(1500)]
+    want = brute_top(rows)
+    for options in ({"probes": 1}, {"probes": 2, "wide": 130}):
+        got = {}
+        for r in neighbours(spark, rows, **options).orderBy("vec_id", "rank").collect():
+            got.setdefault(r.vec_id, []).append(r.other)
+        assert got == want
+
+
 def test_vectors_recall_on_test_data(spark):
     if not Path(f"{DATA}/sf0.01").exists():
         pytest.skip("no test data")
