@@ -114,6 +114,8 @@ def _key_batches(token: np.ndarray, count: np.ndarray, unknown: int, at_least: F
 def _meeting(cols: list[np.ndarray], at_least: Fraction) -> Iterator[pa.RecordBatch]:
     """Pairs of rows under one key that pass the size and sketch filters. Rows are sorted by key."""
     key, rep, n, small, sketch = cols
+    if not len(key):
+        return
     group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
     order = np.lexsort((n, group))
     rep, small, sketch, n = rep[order], small[order], sketch[order], n[order].astype("int64")

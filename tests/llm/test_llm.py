@@ -6,6 +6,7 @@ import unicodedata
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -182,6 +183,21 @@ def test_near_duplicate_classes(spark):
         near_duplicates.near_duplicate_pairs(posts_of(spark, rows), threshold=0.5)
 
 
+def test_near_duplicates_of_a_single_key(spark):
+    rows = [(1, ["a", "b", "c"]), (2, ["a", "b", "c", "d"])]
+    assert {(r.pid_a, r.pid_b) for r in near_duplicates.near_duplicate_pairs(posts_of(spark, rows)).collect()} == {(1, 2)}
+
+
+@pytest.mark.parametrize("size", [1, 2, 4, 9])
+def test_a_key_larger_than_a_batch(size):
+    keys, reps = [5] * 5 + [6] * 2, range(7)
+    columns = [pa.array(keys, "int64"), pa.array(reps, "int64"), pa.array([4] * 7, "int32"), pa.array([True] * 7), pa.array([0] * 7, "int64")]
+    rows = pa.RecordBatch.from_arrays(columns, ["key", "rep", "n", "small", "sketch"])
+    met = near_duplicates._meet_batches(near_duplicates.Fraction(7, 10))(rows.slice(i, size) for i in range(0, 7, size))
+    pairs = [(a, b) for m in met for a, b in zip(m.column(0).to_pylist(), m.column(1).to_pylist())]
+    assert sorted(pairs) == sorted((a, b) for a in reps for b in reps if a < b and keys[a] == keys[b])
+
+
 def test_near_duplicates_of_a_long_text(spark):
     long = [f"w{i}" for i in range(3000)]
     rows = [(1, long), (2, long[:-100] + ["x"]), (3, long[:1000])]
