@@ -147,7 +147,10 @@ def with_statistics(documents: DataFrame, common: set[str]) -> DataFrame:
 
 def common_words_of(table: DataFrame) -> set[str]:
     """The words of the table in consistent form and lower case, those of all languages together."""
-    return {consistent_form(r.word).lower() for r in table.select("word").dropna().distinct().limit(COMMON_LIMIT).collect()}
+    rows = table.select("word").dropna().distinct().limit(COMMON_LIMIT + 1).collect()
+    if len(rows) > COMMON_LIMIT:
+        raise ValueError(f"more than {COMMON_LIMIT} common words")
+    return {consistent_form(r.word).lower() for r in rows}
 
 
 def weak_labels(x: np.ndarray) -> np.ndarray:

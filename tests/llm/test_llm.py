@@ -286,6 +286,19 @@ def test_subjects_on_test_data(spark):
     assert hit / sum(map(len, got.values())) > 0.95 and hit / sum(map(len, want.values())) > 0.95
 
 
+def test_word_tables_beyond_their_bound_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(quality, "COMMON_LIMIT", 2)
+    monkeypatch.setattr(subjects, "LEXICON_LIMIT", 2, raising=False)
+    words = lambda n: spark.createDataFrame([("en", f"w{i}") for i in range(n)], "lang string, word string")
+    lexicon = lambda n: spark.createDataFrame([(0, f"w{i}") for i in range(n)], "subject_idx int, term string")
+    posts, labels = posts_of(spark, [(1, ["a"])]), spark.createDataFrame([(1, "sport")], "pid bigint, label string")
+    assert quality.common_words_of(words(2)) == {"w0", "w1"} and len(subjects.labelled(posts, labels, lexicon(2))[2]) == 2
+    with pytest.raises(ValueError, match="more than 2 common words"):
+        quality.common_words_of(words(3))
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        subjects.labelled(posts, labels, lexicon(3))
+
+
 # -- similar vectors
 
 
