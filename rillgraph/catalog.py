@@ -704,6 +704,15 @@ def q_title_in_text(s: SparkSession, d: str) -> DataFrame:
     return evaluate.titles_in_text(_windowed(s, d).select("pid", "window", text.text_of("tokens").alias("text")), named)
 
 
+@query(f"""with {POSTS_SQL}, tt as (select distinct w::bigint w, t title from (select w, unnest(titles) t from (select unnest(windows) w, titles from final_events))),
+x as (select pid, win, coalesce(array_to_string(tokens, ' '), '') txt from p)
+select pid, string_agg(distinct title, '|' order by title) titles from x join tt on w = win and title <> '' and contains(txt, title) group by pid""")
+def q_whole_title_in_text(s: SparkSession, d: str) -> DataFrame:
+    """The final events' whole titles, looked for in the texts of their windows."""
+    named = _read(s, d, "final_events").select(F.explode("windows").alias("window"), "titles").select(F.col("window").cast("long").alias("window"), F.explode("titles").alias("title"))
+    return evaluate.titles_in_text(_windowed(s, d).select("pid", "window", text.text_of("tokens").alias("text")), named)
+
+
 @query()
 def q_evaluate(s: SparkSession, d: str) -> DataFrame:
     return evaluate.evaluate(_gold(s, d), _system(s, d))
