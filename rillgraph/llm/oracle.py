@@ -82,4 +82,5 @@ select place, rec_id, pos::integer pos, slot::integer slot from (select *, {cons
 links as (select a.rep r, count(distinct b.rep) n from (select x, y from pairs union all select y, x from pairs) join of a on a.pid = x join of b on b.pid = y where a.rep <> b.rep group by 1)
 select pid, rep class_id, n_copies, coalesce(n, 0) n_links from of left join links on r = rep""",
     "p6_found": f"with {VECTORS} select distinct least(a, b) vec_a, greatest(a, b) vec_b from top where k <= 5 and s >= 0.9",
+    "p6_similar": f"with {VECTORS} select a vec_id, k::integer as rank, b other, round(s, 6) cosine from top where k <= 5 and a % 100 = 0",
 }

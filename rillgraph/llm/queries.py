@@ -75,16 +75,17 @@ def p5_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of cosine 0.9 or more, one among the five most similar of the other."""
-    return similar_vectors.similar_pairs(_neighbours(spark, sf_dir))
+    return similar_vectors.similar_pairs(similar_vectors.most_similar(_vectors(spark, sf_dir), least=0.9, bits=128), 0.9)
 
 
 def p6_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar vectors of every vector."""
-    return _neighbours(spark, sf_dir)
+    """The five most similar of all vectors for every vector whose id is divisible by 100, however far they are."""
+    found = similar_vectors.most_similar(_vectors(spark, sf_dir), asked=F.col("vec_id") % 100 == 0)
+    return found.withColumn("cosine", F.round("cosine", 6))
 
 
-def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_vectors.most_similar(similar_vectors.all_vectors(_read(spark, sf_dir, "subject_events"), _read(spark, sf_dir, "final_events")))
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors.all_vectors(_read(spark, sf_dir, "subject_events"), _read(spark, sf_dir, "final_events"))
 
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

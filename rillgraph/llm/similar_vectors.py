@@ -1,43 +1,54 @@
 """Problem 6: the k most similar vectors of every vector, by cosine.
 
-Method: randomly rotated one-bit codes. Vectors are unit length and split into cells around centroids; of a vector's
-residual to its centroid, rotated at random, only the signs are kept (one bit a dimension) with two correction scalars.
-A query's rotated residual is rounded to four bits; popcounts of packed words give an unbiased estimate of the inner
-product, with an error bound that holds with high probability. Vectors whose upper bound reaches the k-th best lower bound
-are compared exactly, in double precision.
-
-A query first looks into the ``probes`` nearest cells, which gives it a k-th cosine to beat. Then it is compared with every
-cell that can still hold something better: by the triangle inequality of angles, one whose centroid is no farther than
-the cell's radius and the angle of that cosine together. There single precision with a margin above its error decides what is
-computed in double precision, so the result is exact and ``probes`` only decides how much work the second step has: in many
-dimensions, where angles are wide, few cells can be left out and it is a comparison of all with all.
-
-Cells are joined in blocks: rows of a cell are split into blocks of
-``block`` rows and its queries into blocks of ``4 * block``, so a cell with a third of all vectors is many tasks. Equal
-vectors are one query, and only the ``k + 1`` of them with the smallest ids can be in anyone's result, so masses of copies
-cost nothing. Centroids are fitted on at most ``sample`` vectors (chosen by the hash of their id); every vector is indexed.
-
-Null ids, null and all-zero vectors, vectors with null, infinite or NaN members, and vectors whose length is not the commonest do not
-count. Ties go to the smaller ``vec_id``; a second delivery counts once. Fewer than ``k`` others give fewer rows.
+Method: randomly rotated one-bit codes. Vectors are brought to unit length and put into cells around centroids. Of a
+vector's residual to its centroid, rotated at random into ``bits`` dimensions, only the signs are kept, packed, with two
+correction scalars (the residual's length, and how well the signs fit it). They give an unbiased estimate of the inner
+product with any query, and an error bound; only vectors whose upper bound reaches what a query has already are compared
+exactly. The estimates of many queries and vectors are one matrix product of rotated queries and unpacked signs.
+
+1. Every vector is encoded once; the table of codes is written.
+2. Home: cells that lie close together are gathered, with their vectors, in blocks of about ``home`` rows. Over its whole
+   block a query has one threshold, its k-th best lower bound; what reaches it is compared exactly. This gives each query a
+   k-th cosine to beat.
+3. Elsewhere: queries (as bytes) meet *codes*, never vectors, in all blocks with a cell that can still hold something
+   better: by the triangle inequality of angles with the cell's or the band's angles. A band is a run of a cell's rows by
+   their angle to the centroid.
+4. Vectors are fetched for the pairs that are left, which are compared exactly in double precision.
+
+Nothing bounds the cells a query may look into or its candidates: a neighbour is lost only where an estimate is off by more
+than ``EPSILON`` standard errors (about one in a thousand of those exactly on the threshold). ``least`` is a cosine below which neighbours are not wanted: it
+makes the search of near neighbours cheap. Without it, angles are wide in many dimensions and few cells can be left out.
+
+A block of a hot cell is split by the hash of the id, so a third of all rows in one place is many tasks. Equal vectors are
+one query, and only the ``k + 1`` of them with the smallest ids can be in anyone's result, so masses of copies cost nothing.
+Centroids are fitted on a bounded sample, ``A_CELL`` vectors a cell; every vector is indexed.
+
+Null ids, null and all-zero vectors, and vectors with null, infinite or NaN members do not count. Vectors of different
+lengths have no cosine: each length is searched by itself (more than ``MAX_LENGTHS`` lengths raise). Ties go to the smaller
+``vec_id``; a second delivery counts once. Fewer than ``k`` others give fewer rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillgraph.llm.classes import SALTS, with_classes
-from rillgraph.plans.materialize import materialize
-
-DENSE = 0.05  # share of a block beyond which one matrix product is cheaper than single comparisons
-EPSILON = 1.9  # of the error bound: the estimate leaves it in under one of a thousand cases
-MAX_CELLS = 1 << 14
+from rillgraph.plans.materialize import broadcast_if_small, materialize
+from rillgraph.plans.sampling import hash_sample
+
+EPSILON = 3.0
+MAX_CELLS = 4096
+A_CELL = 40  # sampled vectors a centroid
+MAX_LENGTHS = 16
+BAND = 256
 _PAIRS_AT_ONCE = 1 << 21
-_SLACK = 1e-6  # of angles, above their rounding
+_SLACK = 1e-5  # of cosines and angles, above the rounding of single precision
 
 
 def all_vectors(*tables: DataFrame) -> DataFrame:
@@ -46,9 +57,7 @@ def all_vectors(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         every = every.unionByName(t.select("vec_id", "vector"))
     good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    every = materialize(every.where(F.col("vec_id").isNotNull() & good).dropDuplicates(["vec_id"]), "vectors")
-    sizes = every.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return every.where(F.size("vector") == (sizes[0].d if sizes else 0))
+    return materialize(every.where(F.col("vec_id").isNotNull() & good).dropDuplicates(["vec_id"]), "vectors")
 
 
 def _units(lists: pa.Array) -> np.ndarray:
@@ -72,68 +81,46 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def _rotation(d: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(11).standard_normal((d, d)))
-    return q * np.sign(np.diag(r))
-
-
-def encode(units: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits of the rotated residuals, residual lengths, and inner products of code and residual."""
-    res = units - centre
-    length = np.linalg.norm(res, axis=1)
-    y = res @ rotation.T / np.maximum(length, 1e-12)[:, None]
-    pad = -y.shape[1] % 64
-    bits = np.pad(y >= 0, ((0, 0), (0, pad)))
-    code = np.packbits(bits, axis=1, bitorder="little").view("<u8")
-    fit = np.abs(y).sum(1) / np.sqrt(y.shape[1])
-    return code, length, np.maximum(fit, 1e-6)
-
-
-def estimate(code: np.ndarray, length: np.ndarray, fit: np.ndarray, queries: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosine of every query and vector, and its error bound."""
-    d = len(centre)
-    res = queries - centre
-    q_length = np.linalg.norm(res, axis=1)
-    y = res @ rotation.T / np.maximum(q_length, 1e-12)[:, None]
-    low = y.min(1, keepdims=True)
-    step = np.maximum((y.max(1, keepdims=True) - low) / 15, 1e-12)
-    u = np.rint((y - low) / step).astype("uint8")
-    pad = -d % 64
-    planes = [np.packbits(np.pad((u >> j) & 1, ((0, 0), (0, pad))), axis=1, bitorder="little").view("<u8") for j in range(4)]
-    dot = np.zeros((len(queries), len(code)), "int32")
-    for w in range(code.shape[1]):
-        for j, p in enumerate(planes):
-            dot += np.bitwise_count(p[:, w, None] & code[None, :, w]).astype("int32") << j
-    ones = np.bitwise_count(code).sum(1, dtype="int32")
-    inner = (2 * step * dot + 2 * low * ones - step * u.sum(1, dtype="int32")[:, None] - d * low) / np.sqrt(d)
-    error = EPSILON * np.sqrt(np.maximum(1 - fit**2, 0) / max(d - 1, 1)) / fit + (step / 2 / fit if d > 1 else 1.0)
-    both = q_length[:, None] * length
-    return 1 - (q_length[:, None] ** 2 + length**2) / 2 + both * inner / fit, both * error + 1e-9
-
-
-def block_top(ids: np.ndarray, units: np.ndarray, queries: np.ndarray, centre: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's best ``k`` of the block: how many, then their ids and exact cosines. Ties go to the smaller id.
-
-    The vectors that the bounds leave are compared one by one where they are few, else by one matrix product over the
-    block; what may be among the best ``k`` is then computed once more, in one fixed way, so that ties are ties.
-    """
-    code, length, fit = encode(units, centre, rotation)
-    rows, found = max(1, _PAIRS_AT_ONCE // max(1, len(ids))), []
-    for lo in range(0, len(queries), rows):
-        q = queries[lo : lo + rows]
-        about, error = estimate(code, length, fit, q, centre, rotation)
-        least = -np.partition(-(about - error), k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.full((len(q), 1), -np.inf)
-        chosen = about + error >= least
-        if len(ids) > k and chosen.mean() > DENSE:
-            near = np.where(chosen, q @ units.T, -np.inf)
-            chosen = near >= -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] - 1e-9
-        at, of = np.nonzero(chosen)
-        exact = np.concatenate([np.einsum("ij,ij->i", q[at[i : i + 65536]], units[of[i : i + 65536]]) for i in range(0, len(at), 65536)] or [np.empty(0)])
-        order = np.lexsort((ids[of], -exact, at))
-        at, of, exact = at[order], of[order], exact[order]
-        best = np.arange(len(at)) - np.searchsorted(at, at) < k
-        found.append((np.bincount(at[best], minlength=len(q)), ids[of[best]], exact[best]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
+def _rotation(d: int, bits: int) -> np.ndarray:
+    """``bits`` rows and ``d`` orthonormal columns: a random rotation of the vector with zeros appended."""
+    q, r = np.linalg.qr(np.random.default_rng(11).standard_normal((bits, bits)))
+    return np.ascontiguousarray((q * np.sign(np.diag(r)))[:, :d])
+
+
+def encode(residuals: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed sign bits of the rotated residuals, their lengths, and the inner products of signs and residual at unit length."""
+    length = np.linalg.norm(residuals, axis=1)
+    y = residuals @ rotation.T / np.maximum(length, 1e-12)[:, None]
+    fit = np.abs(y).sum(1) / np.sqrt(len(rotation))
+    return np.packbits(y >= 0, axis=1, bitorder="little"), length, np.maximum(fit, 1e-6)
+
+
+class Codes:
+    """Codes of the rows of one cell, ready to meet queries."""
+
+    def __init__(self, code: np.ndarray, length: np.ndarray, fit: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> None:
+        bits = len(rotation)
+        signs = np.unpackbits(code, axis=1, count=bits, bitorder="little").astype("float32") * 2 - 1
+        self.signs = signs * (length / fit / np.sqrt(bits)).astype("float32")[:, None]
+        # <x, q> = <c, q> + <r, c> + <r, q - c>, and <r, c> follows from |x| = 1
+        own = (1 - centre @ centre - length**2) / 2
+        self.shift = (own - self.signs.astype("float64") @ (rotation @ centre)).astype("float32")
+        self.error = (EPSILON * length * np.sqrt(np.maximum(1 - fit**2, 0) / max(bits - 1, 1)) / fit).astype("float32")
+        self.centre = centre
+
+    def bounds(self, queries: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated cosine of every query and row, and its error bound, both without what depends on the query alone."""
+        about = rotated @ self.signs.T + self.shift
+        about += (queries @ self.centre).astype("float32")[:, None]
+        return about, np.linalg.norm(queries - self.centre, axis=1).astype("float32")[:, None] * self.error
+
+    def reaching(self, queries: np.ndarray, rotated: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs whose upper bound reaches ``least``: query, row, upper and lower bound. One product, one comparison."""
+        away, dot = np.linalg.norm(queries - self.centre, axis=1).astype("float32"), (queries @ self.centre).astype("float32")
+        upper = np.concatenate([rotated, np.ones((len(queries), 1), "float32"), away[:, None]], 1) @ np.concatenate([self.signs, self.shift[:, None], self.error[:, None]], 1).T
+        at, of = np.nonzero(upper >= (least - dot)[:, None])
+        up = upper[at, of] + dot[at]
+        return at, of, up, up - 2 * away[at] * self.error[of]
 
 
 def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -142,11 +129,6 @@ def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).T, -1, 1))
 
 
-def _can_hold(angles: np.ndarray, radius: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Whether a cell of that radius can hold a vector of a query's ``least`` cosine or more."""
-    return angles - radius <= np.arccos(np.clip(least, -1, 1))[:, None] + _SLACK
-
-
 def _groups(counts: np.ndarray, centres: np.ndarray, size: int) -> list[list[int]]:
     """The cells that have rows, close ones together, in groups of about ``size`` rows; a larger cell is a group."""
     close = (centres @ _centroids(centres, max(1, int(np.sqrt(len(centres))))).T).argmax(1)
@@ -162,154 +144,219 @@ def _groups(counts: np.ndarray, centres: np.ndarray, size: int) -> list[list[int
     return groups
 
 
-def _best(at: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best ``k`` of each query, by query. Ties go to the smaller id."""
-    order = np.lexsort((ids, -exact, at))
-    at, ids, exact = at[order], ids[order], exact[order]
-    best = np.arange(len(at)) - np.searchsorted(at, at) < k
-    return at[best], ids[best], exact[best]
-
-
-def block_better(ids: np.ndarray, units: np.ndarray, cells: np.ndarray, queries: np.ndarray, least: np.ndarray, known: np.ndarray, has: np.ndarray, centres: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the block, what reaches a query's ``least`` cosine and is not ``known`` to it, the best ``k``: how many, ids, cosines.
-
-    Row ``i`` of ``known`` begins with the ``has[i]`` ids that query ``i`` has already.
-    """
-    q, x = queries.astype("float32"), units.astype("float32")
-    reach = (least - (units.shape[1] + 8) * 2.0**-23).astype("float32")
-    found = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))]
+def _best(at: np.ndarray, ids: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are the best ``k`` of each query, by query and then value. Ties go to the smaller id."""
+    order = np.lexsort((ids, -value, at))
+    at = at[order]
+    return order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+
+
+def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact cosines of pairs, in one fixed way, so that ties are ties."""
+    return np.concatenate([np.einsum("ij,ij->i", a[i[lo : lo + 65536]], b[j[lo : lo + 65536]]) for lo in range(0, len(i), 65536)] or [np.empty(0)])
+
+
+def home_top(ids: np.ndarray, units: np.ndarray, cells: np.ndarray, code: np.ndarray, length: np.ndarray, fit: np.ndarray, asks: np.ndarray, centres: np.ndarray, rotation: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The best ``k`` of a block for each of its rows ``asks``: how many, ids, exact cosines; and how many were compared."""
+    held = [(rows, Codes(code[rows], length[rows], fit[rows], centres[c], rotation)) for c in np.unique(cells) for rows in [np.nonzero(cells == c)[0]]]
+    step, found, compared = max(1, _PAIRS_AT_ONCE // max(1, len(ids))), [], 0
+    for lo in range(0, len(asks), step):
+        own = asks[lo : lo + step]
+        q = units[own]
+        rotated = (q @ rotation.T).astype("float32")
+        about, error = np.empty((len(q), len(ids)), "float32"), np.empty((len(q), len(ids)), "float32")
+        for rows, codes in held:
+            about[:, rows], error[:, rows] = codes.bounds(q, rotated)
+        least = np.full(len(q), floor, "float32")
+        if len(ids) > k:
+            least = np.maximum(least, -np.partition(error - about, k - 1, axis=1)[:, k - 1])
+        at, of = np.nonzero(about + error >= least[:, None] - _SLACK)
+        exact = _dots(q, units, at, of)
+        compared += len(at)
+        good = exact >= floor
+        at, of, exact = at[good], of[good], exact[good]
+        best = _best(at, ids[of], exact, k)
+        found.append((np.bincount(at[best], minlength=len(q)), ids[of[best]], exact[best]))
+    sizes, others, cosines = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
+    return sizes, others, cosines, compared
+
+
+def code_candidates(cells: np.ndarray, angles: np.ndarray, homes: np.ndarray, code: np.ndarray, length: np.ndarray, fit: np.ndarray, queries: np.ndarray, off: np.ndarray, query_homes: np.ndarray, least: np.ndarray, centres: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of query and row of a block of codes whose upper bound reaches the query's ``least`` cosine and the k-th best
+    lower bound that it finds here; without rows of the query's own home, which it has seen. ``off`` is how far a query is
+    from the one it stands for."""
+    rotated, q, least = (queries @ rotation.T).astype("float32"), queries, least - off
+    wide = np.arccos(np.clip(least, -1, 1)) + off + _SLACK
+    found = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0, "float32"), np.empty(0, "float32"))]
+    order = np.lexsort((angles, cells))
     for c in np.unique(cells):
-        rows, centre = np.nonzero(cells == c)[0], centres[c : c + 1]
-        asks = np.nonzero(_can_hold(_angles(queries, centre), _angles(units[rows], centre).max(), least)[:, 0])[0]
-        step = max(1, _PAIRS_AT_ONCE // len(rows))
-        for lo in range(0, len(asks), step):
-            part = asks[lo : lo + step]
-            at, of = np.nonzero(q[part] @ x[rows].T >= reach[part][:, None])
-            at, of = part[at], rows[of]
-            new = ~((known[at] == ids[of][:, None]) & (np.arange(known.shape[1]) < has[at][:, None])).any(1)
-            at, of = at[new], of[new]
-            exact = np.concatenate([np.einsum("ij,ij->i", queries[at[i : i + 65536]], units[of[i : i + 65536]]) for i in range(0, len(at), 65536)] or [np.empty(0)])
-            ok = exact >= least[at]
-            found.append(_best(at[ok], ids[of[ok]], exact[ok], k))
-    at, others, exact = _best(*(np.concatenate(f) for f in zip(*found)), k)
-    return np.bincount(at, minlength=len(queries)), others, exact
-
-
-def most_similar(vectors: DataFrame, k: int = 5, probes: int = 24, cells: int | None = None, sample: int = 20_000, block: int = 2048, wide: int = 16_384, broadcast_rows: int = 200_000) -> DataFrame:
-    """``(vec_id, rank, other, cosine)``: for every vector its ``k`` most similar others, rank 1 first.
-
-    ``vectors`` is a result of :func:`all_vectors`. ``cells`` defaults to the root of their number, ``MAX_CELLS`` at most.
-    ``block`` is the rows of a block of the first step, ``wide`` the rows and the queries of a block of the second.
-    """
-    spark = vectors.sparkSession
-    schema = "vec_id long, rank int, other long, cosine double"
-    hashed = vectors.select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit("second"), "vector").alias("h2"))
-    classes = with_classes(hashed, ["vec_id"], broadcast_rows).select("vec_id", F.col("first.vec_id").alias("class_id"), "alone", "vector")
-    classes = materialize(classes.withColumn("salt", F.when(F.col("alone"), 0).otherwise(F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))), "vector-classes")
-    least = classes.where("not alone")  # the k + 1 smallest ids of a class: of each salt first, then of the class
+        rows = order[np.searchsorted(cells[order], c) : np.searchsorted(cells[order], c, "right")]
+        far = _angles(q, centres[c : c + 1])[:, 0]
+        for band in (rows[lo : lo + BAND] for lo in range(0, len(rows), BAND)):
+            asks = np.nonzero((far - angles[band[-1]] <= wide) & (angles[band[0]] - far <= wide))[0]
+            if not len(asks):
+                continue
+            codes = Codes(code[band], length[band], fit[band], centres[c], rotation)
+            step = max(1, _PAIRS_AT_ONCE // len(band))
+            for part in (asks[lo : lo + step] for lo in range(0, len(asks), step)):
+                at, of, upper, lower = codes.reaching(q[part], rotated[part], (least[part] - _SLACK).astype("float32"))
+                at, of = part[at], band[of]
+                new = query_homes[at] != homes[of]
+                found.append((at[new], of[new], upper[new], lower[new]))
+    at, of, upper, lower = (np.concatenate(x) for x in zip(*found))
+    kth = np.full(len(q), -np.inf)
+    best = _best(at, of, lower, k)
+    full = np.bincount(at[best], minlength=len(q)) == k
+    np.minimum.at(low := np.full(len(q), np.inf), at[best], lower[best])
+    kth[full] = low[full]
+    keep = upper >= kth[at] - 2 * off[at] - _SLACK
+    return at[keep], of[keep]
+
+
+def _index(vectors: DataFrame, k: int, asked: Column | None, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(vec_id, class_id, salt, nth)`` of the rows that have an equal one, ``nth`` of the ``k + 1`` smallest ids of a class
+    only; and ``(vec_id, asks, vector)`` of the rows that can be in a result."""
+    hashed = vectors.select("vec_id", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit("second"), "vector").alias("h2"))
+    shared = with_classes(hashed, ["vec_id"], broadcast_rows).where("not alone").select("vec_id", F.col("first.vec_id").alias("class_id"), F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    shared = materialize(shared, "vector-copies")
+    least = shared  # the k + 1 smallest ids of a class: of each salt first, then of the class
     for by in (["class_id", "salt"], ["class_id"]):
         least = least.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    index = materialize(classes.where("alone").withColumn("nth", F.lit(1)).unionByName(least).select("vec_id", "nth", "vector"), "vector-index")
-    n = index.count()
-    if not n:
-        return spark.createDataFrame([], schema)
-    some = index.where("nth = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
-    centres = _centroids(_units(some.column(0).combine_chunks()), cells or int(np.clip(np.sqrt(n), 1, MAX_CELLS)))
-    probes, rotation = min(probes, len(centres)), _rotation(centres.shape[1])
-
-    def place(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-        """Rows to their cell and, of each class, the query to its nearest cells; with the vectors as stored, or only counted."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            units, vec_id, nth = _units(b.column("vector")).astype("float32"), b.column("vec_id").to_numpy(), b.column("nth").to_numpy()
-            near = np.argpartition(-(units @ centres.T), probes - 1, 1)[:, :probes]
-            best = np.take_along_axis(near, np.einsum("ij,ikj->ik", units, centres[near]).argmax(1)[:, None], 1)[:, 0]
-            asks = np.nonzero(nth == 1)[0]
-            row = np.r_[np.arange(len(units)), np.repeat(asks, probes)]
-            cell = pa.array(np.r_[best, near[asks].reshape(-1)].astype("int32"))
-            query = pa.array(np.r_[np.zeros(len(units), bool), np.ones(len(asks) * probes, bool)])
-            more = [pa.array(vec_id[row]), b.column("vector").take(pa.array(row))] if whole else []
-            yield pa.RecordBatch.from_arrays([cell, query, *more], ["cell", "query", "vec_id", "vector"][: 2 + len(more)])
-
-    counts = index.mapInArrow(lambda b: place(b, False), "cell int, query boolean").groupBy("cell", "query").count().collect()
-    placed = index.mapInArrow(lambda b: place(b, True), "cell int, query boolean, vec_id long, vector array<float>")
-    rows = {(r["cell"], r["query"]): r["count"] for r in counts}
-    parts = spark.createDataFrame([(c, -(-rows.get((c, False), 0) // block), -(-rows.get((c, True), 0) // (4 * block))) for c in range(len(centres))], "cell int, row_blocks int, query_blocks int")
-    placed = placed.join(F.broadcast(parts.where("row_blocks > 0 and query_blocks > 0")), "cell")
-    own = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int")
-    others = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    data = placed.where("not query").select("cell", own("row_blocks").alias("rb"), others("query_blocks").alias("qb"), "vec_id", "vector")
-    asked = placed.where("query").select(F.col("cell").alias("q_cell"), others("row_blocks").alias("q_rb"), own("query_blocks").alias("q_qb"), F.col("vec_id").alias("asks"), F.col("vector").alias("asked"))
-
-    def listed(asks: np.ndarray, sizes: np.ndarray, others_: np.ndarray, cosines: np.ndarray) -> pa.Table:
-        structs = pa.StructArray.from_arrays([pa.array(-cosines), pa.array(others_)], ["far", "other"])
-        return pa.table({"class_id": pa.array(asks), "near": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), structs)})
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        asks, near = np.empty(0, "int64"), (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
-        if left.num_rows and right.num_rows:
-            asks, centre = right.column("asks").to_numpy(), centres[left.column("cell")[0].as_py()].astype("float64")
-            near = block_top(left.column("vec_id").to_numpy(), _units(left.column("vector").combine_chunks()), _units(right.column("asked").combine_chunks()), centre, rotation, k + 1)
-        return listed(asks, *near)
-
-    found = data.groupBy("cell", "rb", "qb").cogroup(asked.groupBy("q_cell", "q_rb", "q_qb")).applyInArrow(search, "class_id long, near array<struct<far:double,other:long>>")
-    best = lambda f: f.groupBy("class_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
-    near = materialize(best(found), "vector-near")
+    shared = materialize(shared.join(least.select("vec_id", "nth"), "vec_id", "left"), "vector-shared")
+    known, _ = broadcast_if_small(shared.select("vec_id", F.coalesce("nth", F.lit(0)).alias("nth")), broadcast_rows)
+    index = vectors.join(known, "vec_id", "left").where("nth is null or nth > 0")
+    asks = F.coalesce(F.col("nth"), F.lit(1)) == 1
+    if asked is not None:
+        also, _ = broadcast_if_small(materialize(shared.where(asked).select(F.col("class_id").alias("vec_id")).distinct().withColumn("also", F.lit(True)), "vector-asked"), broadcast_rows)
+        index = index.join(also, "vec_id", "left")
+        asks = F.when(F.col("nth").isNull(), asked).otherwise(F.col("also").isNotNull())
+    return shared, index.select("vec_id", asks.alias("asks"), "vector")
+
+
+def most_similar(vectors: DataFrame, k: int = 5, least: float | None = None, asked: Column | None = None, bits: int = 256, cells: int | None = None, home: int = 4096, wide: int | None = None, broadcast_rows: int = 200_000) -> DataFrame:
+    """``(vec_id, rank, other, cosine)``: for every vector its ``k`` most similar others, rank 1 first.
 
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with their cell and the angle to its centroid."""
-        step = max(1, _PAIRS_AT_ONCE // len(centres))
-        for b in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
+    ``vectors`` is a result of :func:`all_vectors`. ``least`` leaves out neighbours of a smaller cosine. ``asked`` is a
+    condition on ``vec_id`` for the vectors that ask; all are searched. ``bits`` is the length of a code (a multiple of 64,
+    as many as the dimensions at least), ``cells`` defaults to the root of the number of vectors, ``home`` and ``wide`` are
+    the rows of a block of vectors and of codes.
+    """
+    sizes = [r.d for r in vectors.select(F.size("vector").alias("d")).distinct().limit(MAX_LENGTHS + 1).collect()]
+    if len(sizes) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    parts = [_most_similar(vectors.where(F.size("vector") == d) if len(sizes) > 1 else vectors, d, k, least, asked, bits, cells, home, wide, broadcast_rows) for d in sorted(sizes)]
+    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], "vec_id long, rank int, other long, cosine double")
+
+
+def _most_similar(vectors: DataFrame, d: int, k: int, least: float | None, asked: Column | None, bits: int, cells: int | None, home: int, wide: int | None, broadcast_rows: int) -> DataFrame:
+    spark, floor, most = vectors.sparkSession, -2.0 if least is None else least, k + 1  # a query finds itself, too
+    bits = max(-(-bits // 64), -(-d // 64)) * 64
+    shared, index = _index(vectors, k, asked, broadcast_rows)
+    n = vectors.count()
+    cells = cells or int(np.clip(np.sqrt(n), 1, MAX_CELLS))
+    some = hash_sample(vectors, "vec_id", max(1000, A_CELL * cells), n).select("vector").toArrow()
+    centres = _centroids(_units(some.column(0).combine_chunks()), cells).astype("float64")
+    cells, rotation = len(centres), _rotation(d, bits)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = centres.astype("float32").T
+        for b in (b.slice(lo, 4096) for b in batches for lo in range(0, b.num_rows, 4096)):
             units = _units(b.column("vector"))
-            cell = (units.astype("float32") @ centres.T).argmax(1)
-            angle = np.arccos(np.clip(np.einsum("ij,ij->i", units, centres[cell].astype("float64")) / np.maximum(np.linalg.norm(centres[cell].astype("float64"), axis=1), 1e-12), -1, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype("int32")), pa.array(angle), b.column("vec_id"), b.column("vector")], ["cell", "angle", "vec_id", "vector"])
-
-    located = materialize(index.mapInArrow(locate, "cell int, angle double, vec_id long, vector array<float>"), "vector-cells")
-    size, radius = np.zeros(len(centres), "int64"), np.zeros(len(centres))
-    for r in located.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect():
-        size[r["cell"]], radius[r["cell"]] = r["n"], r["angle"]
-    groups = _groups(size, centres, wide)
-    pieces = np.array([-(-int(size[g].sum()) // wide) for g in groups])
-    first, order = np.cumsum(pieces) - pieces, np.concatenate(groups)
-    starts = np.cumsum([0, *(len(g) for g in groups)])[:-1]
-    asked_blocks = -(-n // wide)
+            cell = (units.astype("float32") @ near).argmax(1)
+            code, length, fit = encode(units - centres[cell], rotation)
+            angle = np.arccos(np.clip(np.einsum("ij,ij->i", units, centres[cell]) / np.maximum(np.linalg.norm(centres[cell], axis=1), 1e-12), -1, 1))
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits // 8), len(code), [None, pa.py_buffer(np.ascontiguousarray(code))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("asks"), b.column("vector"), pa.array(cell.astype("int32")), pa.array(angle), packed, pa.array(length), pa.array(fit)], ["vec_id", "asks", "vector", "cell", "angle", "code", "length", "fit"])
+
+    index = materialize(index.mapInArrow(coded, "vec_id long, asks boolean, vector array<float>, cell int, angle double, code binary, length double, fit double"), "vector-index")
+    count, radius, inner, queries = np.zeros(cells, "int64"), np.zeros(cells), np.zeros(cells), 0
+    for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("a"), F.min("angle").alias("b"), F.count_if("asks").alias("q")).collect():
+        count[r["cell"]], radius[r["cell"]], inner[r["cell"]], queries = r["n"], r["a"], r["b"], queries + r["q"]
+    wide = wide or int(np.clip(n // 8, 4096, 1 << 17))
+    places: dict[int, list[int]] = {}
+    blocks = 0
+    for size in (home, wide):
+        groups = _groups(count, centres.astype("float32"), size)
+        pieces = np.array([-(-int(count[g].sum()) // size) for g in groups])
+        first = np.cumsum(pieces) - pieces
+        for g, members in enumerate(groups):
+            for c in members:
+                places.setdefault(c, []).extend((int(first[g]), int(pieces[g])))
+        blocks, order, starts = int(pieces.sum()), np.concatenate(groups), np.cumsum([0, *(len(g) for g in groups)])[:-1]
+    placed = F.broadcast(spark.createDataFrame([(c, *p) for c, p in places.items()], "cell int, h0 int, hn int, b0 int, bn int"))
+    piece = lambda first, of: (F.col(first) + F.pmod(F.xxhash64("vec_id"), F.col(of))).cast("int")
+    index = index.join(placed, "cell").withColumns({"hb": piece("h0", "hn"), "rb": piece("b0", "bn")}).drop("h0", "hn", "b0", "bn")
+
+    def codes_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        code = np.frombuffer(b"".join(t.column("code").to_pylist()), "uint8").reshape(-1, bits // 8)
+        return t.column("cell").to_numpy(), code, t.column("length").to_numpy(), t.column("fit").to_numpy()
+
+    def at_home(t: pa.Table) -> pa.Table:
+        cell, code, length, fit = codes_of(t)
+        ids, units = t.column("vec_id").to_numpy(), _units(t.column("vector").combine_chunks())
+        asks = np.nonzero(t.column("asks").to_numpy(zero_copy_only=False))[0]
+        sizes, others, cosines, _ = home_top(ids, units, cell, code, length, fit, asks, centres, rotation, most, floor)
+        near = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), pa.StructArray.from_arrays([pa.array(-cosines), pa.array(others)], ["far", "other"]))
+        last = np.cumsum(sizes) - 1
+        kth = np.maximum(np.where(sizes == most, cosines[last] if len(cosines) else -2.0, -2.0), floor) if len(asks) else np.empty(0)
+        q = units[asks]
+        scale = np.abs(q).max(1, initial=0) / 127
+        byte = np.rint(q / np.maximum(scale, 1e-30)[:, None]).astype("int8")
+        off = np.linalg.norm(q - byte * scale[:, None], axis=1)
+        return pa.table({"asks": pa.array(ids[asks]), "hb": t.column("hb").take(pa.array(asks)), "near": near, "least": pa.array(kth), "query": pa.array([x.tobytes() for x in byte], pa.binary()), "scale": pa.array(scale), "off": pa.array(off)})
+
+    seen = index.groupBy("hb").applyInArrow(at_home, "asks long, hb int, near array<struct<far:double,other:long>>, least double, query binary, scale double, off double")
+    seen = materialize(seen, "vector-home")
+
+    def query_of(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column("query").to_pylist()), "int8").reshape(-1, d) * t.column("scale").to_numpy()[:, None]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries to every block with a cell that can hold something better than they have."""
-        step = max(1, _PAIRS_AT_ONCE // max(len(centres), 64 * int(pieces.sum())))
+        step = max(1, _PAIRS_AT_ONCE // max(cells, 64 * blocks))
         for b in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
-            can = _can_hold(_angles(_units(b.column("asked")), centres[order]), radius[order], b.column("least").to_numpy())
+            far = _angles(query_of(b), centres[order])
+            wide_ = (np.arccos(np.clip(b.column("least").to_numpy(), -1, 1)) + 2 * b.column("off").to_numpy() + _SLACK)[:, None]
+            can = (far - radius[order] <= wide_) & (inner[order] - far <= wide_)
             row, to = np.nonzero(np.repeat(np.logical_or.reduceat(can, starts, axis=1), pieces, axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(to.astype("int32")), *b.take(pa.array(row)).columns], ["q_rb", *b.schema.names])
 
-    blocks = spark.createDataFrame([(c, int(first[g]), int(pieces[g])) for g, members in enumerate(groups) for c in members], "cell int, first int, pieces int")
-    own_block = (F.col("first") + own("pieces")).alias("rb")
-    data = located.join(F.broadcast(blocks), "cell").select(own_block, F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("qb"), "cell", "vec_id", "vector")
-    asked = index.where("nth = 1").select(F.col("vec_id").alias("asks"), F.col("vector").alias("asked")).join(near, F.col("asks") == F.col("class_id"), "left")
-    least = F.when(F.size("near") > k, -F.element_at("near", k + 1)["far"]).otherwise(-1.0).alias("least")
-    asked = asked.select(F.pmod(F.xxhash64("asks"), F.lit(asked_blocks)).cast("int").alias("q_qb"), "asks", "asked", least, F.coalesce(F.col("near.other"), F.array().cast("array<long>")).alias("known"))
-    asked = asked.mapInArrow(route, "q_rb int, q_qb int, asks long, asked array<float>, least double, known array<long>")
-
-    def search_rest(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return listed(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
-        lists = right.column("known").combine_chunks()
-        has = lists.value_lengths().to_numpy()
-        known = np.zeros((len(lists), k + 1), "int64")
-        known[np.arange(k + 1) < has[:, None]] = lists.flatten().to_numpy()
-        rows, queries = _units(left.column("vector").combine_chunks()), _units(right.column("asked").combine_chunks())
-        sizes, others_, cosines = block_better(left.column("vec_id").to_numpy(), rows, left.column("cell").to_numpy(), queries, right.column("least").to_numpy(), known, has, centres, k + 1)
-        some = sizes > 0
-        return listed(right.column("asks").to_numpy()[some], sizes[some], others_, cosines)
-
-    more = data.groupBy("rb", "qb").cogroup(asked.groupBy("q_rb", "q_qb")).applyInArrow(search_rest, "class_id long, near array<struct<far:double,other:long>>")
-    near = best(near.unionByName(more))
-    salts = F.sequence(F.lit(0), F.when(F.col("copies"), SALTS - 1).otherwise(0))
-    copies = classes.where("not alone").select("class_id").distinct().withColumn("copies", F.lit(True))
-    near = near.join(copies, "class_id", "left").na.fill(False, ["copies"]).withColumn("salt", F.explode(salts)).drop("copies")
-    members = classes.select("vec_id", "class_id", "salt").join(near, ["class_id", "salt"])
+    query_blocks = max(1, -(-queries // wide))
+    data = index.select("rb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "vec_id", "hb", "cell", "angle", "code", "length", "fit")
+    asking = seen.select("asks", "hb", "least", "query", "scale", "off")
+    asking = asking.mapInArrow(route, "q_rb int, asks long, q_hb int, least double, query binary, scale double, off double") if blocks else asking
+    asking = asking.withColumn("q_qb", F.pmod(F.xxhash64("asks"), F.lit(query_blocks)).cast("int"))
+
+    def elsewhere(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = of = np.empty(0, "int64")
+        if left.num_rows and right.num_rows:
+            cell, code, length, fit = codes_of(left)
+            asked_for = [right.column(c).to_numpy() for c in ("off", "q_hb", "least")]
+            at, of = code_candidates(cell, left.column("angle").to_numpy(), left.column("hb").to_numpy(), code, length, fit, query_of(right), *asked_for, centres, rotation, most)
+        return pa.table({"asks": right.column("asks").to_numpy()[at] if right.num_rows else at, "other": left.column("vec_id").to_numpy()[of] if left.num_rows else of})
+
+    pairs = data.groupBy("rb", "qb").cogroup(asking.groupBy("q_rb", "q_qb")).applyInArrow(elsewhere, "asks long, other long")
+    pairs, _ = broadcast_if_small(materialize(pairs, "vector-candidates"), broadcast_rows)
+    half = index.select(F.col("vec_id").alias("asks"), F.col("vector").alias("a")).join(pairs, "asks")
+    both = index.select(F.col("vec_id").alias("other"), F.col("vector").alias("b")).join(half, "other").select("asks", "other", "a", "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                i = np.arange(b.num_rows)
+                cosine = _dots(_units(b.column("a")), _units(b.column("b")), i, i)
+                yield pa.RecordBatch.from_arrays([b.column("asks"), b.column("other"), pa.array(cosine)], ["asks", "other", "cosine"])
+
+    exact = both.mapInArrow(compare, "asks long, other long, cosine double").where(F.col("cosine") >= floor)
+    more = exact.groupBy("asks").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, most).alias("near"))
+    near = seen.select(F.col("asks").alias("class_id"), F.col("near").alias("here")).join(more.withColumnRenamed("asks", "class_id"), "class_id", "left")
+    near = near.select("class_id", F.when(F.col("near").isNull(), F.col("here")).otherwise(F.slice(F.array_sort(F.concat("here", "near")), 1, most)).alias("near"))
+    copies, _ = broadcast_if_small(shared.where("vec_id = class_id").select("class_id", F.lit(True).alias("copied")), broadcast_rows)
+    near = near.join(copies, "class_id", "left")
+    alone = near.where("copied is null").select(F.col("class_id").alias("vec_id"), "near")
+    salted = near.where("copied").select("class_id", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    wanted = shared if asked is None else shared.where(asked)
+    members = alone.unionByName(wanted.join(salted, ["class_id", "salt"]).select("vec_id", "near"))
     rest = F.slice(F.filter("near", lambda x: x["other"] != F.col("vec_id")), 1, k)
     out = members.select("vec_id", F.posexplode(rest).alias("at", "x"))
     return out.select("vec_id", (F.col("at") + 1).alias("rank"), F.col("x.other").alias("other"), (-F.col("x.far")).alias("cosine"))
