@@ -1,8 +1,8 @@
 """Problem 6: the k most similar vectors of every vector, by cosine.
 
 Method: randomly rotated one-bit codes. Vectors are brought to unit length and put into cells around centroids. Of a
-vector's residual to its centroid, rotated at random into ``bits`` dimensions, only the signs are kept, packed, with two
-correction scalars (the residual's length, and how well the signs fit it). They give an unbiased estimate of the inner
+vector's residual to its centroid, rotated at random, only the signs are kept, packed: one bit a dimension for each of a few
+independent rotations (``bits`` in all), with correction scalars (the residual's length, and how well the signs fit it). They give an unbiased estimate of the inner
 product with any query, and an error bound; only vectors whose upper bound reaches what a query has already are compared
 exactly. The estimates of many queries and vectors are one matrix product of rotated queries and unpacked signs.
 
@@ -81,46 +81,65 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def _rotation(d: int, bits: int) -> np.ndarray:
-    """``bits`` rows and ``d`` orthonormal columns: a random rotation of the vector with zeros appended."""
-    q, r = np.linalg.qr(np.random.default_rng(11).standard_normal((bits, bits)))
-    return np.ascontiguousarray((q * np.sign(np.diag(r)))[:, :d])
+def _rotations(d: int, bits: int) -> np.ndarray:
+    """Independent random rotations of the vector with zeros appended to a multiple of 64 places, ``bits`` rows in all; the
+    columns of each are orthonormal."""
+    rng, size = np.random.default_rng(11), -(-d // 64) * 64
+    out = []
+    for _ in range(max(1, bits // size)):
+        q, r = np.linalg.qr(rng.standard_normal((size, size)))
+        out.append((q * np.sign(np.diag(r)))[:, :d])
+    return np.stack(out)
 
 
-def encode(residuals: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits of the rotated residuals, their lengths, and the inner products of signs and residual at unit length."""
+def encode(residuals: np.ndarray, rotations: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed sign bits of the residuals under every rotation, their lengths, and for every rotation the inner product of signs
+    and residual, both at unit length."""
     length = np.linalg.norm(residuals, axis=1)
-    y = residuals @ rotation.T / np.maximum(length, 1e-12)[:, None]
-    fit = np.abs(y).sum(1) / np.sqrt(len(rotation))
-    return np.packbits(y >= 0, axis=1, bitorder="little"), length, np.maximum(fit, 1e-6)
+    y = np.einsum("nd,mbd->nmb", residuals / np.maximum(length, 1e-12)[:, None], rotations)
+    fit = np.abs(y).sum(2) / np.sqrt(y.shape[2])
+    return np.packbits(y.reshape(len(y), -1) >= 0, axis=1, bitorder="little"), length, np.maximum(fit, 1e-6)
+
+
+def _rotated(queries: np.ndarray, rotations: np.ndarray) -> np.ndarray:
+    return (queries @ rotations.reshape(-1, rotations.shape[2]).T).astype("float32")
 
 
 class Codes:
-    """Codes of the rows of one cell, ready to meet queries."""
+    """Codes of the rows of one cell, ready to meet queries. The estimate is the mean of those of the rotations, whose errors
+    are independent; the first rotation alone is the coarse estimate."""
 
-    def __init__(self, code: np.ndarray, length: np.ndarray, fit: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> None:
-        bits = len(rotation)
-        signs = np.unpackbits(code, axis=1, count=bits, bitorder="little").astype("float32") * 2 - 1
-        self.signs = signs * (length / fit / np.sqrt(bits)).astype("float32")[:, None]
+    def __init__(self, code: np.ndarray, length: np.ndarray, fit: np.ndarray, centre: np.ndarray, rotations: np.ndarray) -> None:
+        m, size, _ = rotations.shape
+        signs = np.unpackbits(code, axis=1, count=m * size, bitorder="little").astype("float32").reshape(-1, m, size) * 2 - 1
+        signs *= (length[:, None] / fit / np.sqrt(size)).astype("float32")[:, :, None]
         # <x, q> = <c, q> + <r, c> + <r, q - c>, and <r, c> follows from |x| = 1
-        own = (1 - centre @ centre - length**2) / 2
-        self.shift = (own - self.signs.astype("float64") @ (rotation @ centre)).astype("float32")
-        self.error = (EPSILON * length * np.sqrt(np.maximum(1 - fit**2, 0) / max(bits - 1, 1)) / fit).astype("float32")
-        self.centre = centre
+        own = (1 - centre @ centre - length.astype("float64") ** 2) / 2
+        turned = rotations @ centre
+        error = length[:, None] * np.sqrt(np.maximum(1 - fit**2, 0) / max(size - 1, 1)) / fit
+        self.centre, self.first, self.m = centre, np.ascontiguousarray(signs[:, 0]), m
+        self.first_shift, self.first_error = (own - self.first @ turned[0]).astype("float32"), (EPSILON * error[:, 0]).astype("float32")
+        self.signs = signs.reshape(len(signs), -1) / np.float32(m)
+        self.shift = (own - self.signs @ turned.reshape(-1)).astype("float32")
+        self.error = (EPSILON * np.sqrt((error**2).sum(1)) / m).astype("float32")
 
     def bounds(self, queries: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated cosine of every query and row, and its error bound, both without what depends on the query alone."""
+        """Estimated cosine of every query and row, and its error bound."""
         about = rotated @ self.signs.T + self.shift
         about += (queries @ self.centre).astype("float32")[:, None]
         return about, np.linalg.norm(queries - self.centre, axis=1).astype("float32")[:, None] * self.error
 
     def reaching(self, queries: np.ndarray, rotated: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs whose upper bound reaches ``least``: query, row, upper and lower bound. One product, one comparison."""
-        away, dot = np.linalg.norm(queries - self.centre, axis=1).astype("float32"), (queries @ self.centre).astype("float32")
-        upper = np.concatenate([rotated, np.ones((len(queries), 1), "float32"), away[:, None]], 1) @ np.concatenate([self.signs, self.shift[:, None], self.error[:, None]], 1).T
-        at, of = np.nonzero(upper >= (least - dot)[:, None])
-        up = upper[at, of] + dot[at]
-        return at, of, up, up - 2 * away[at] * self.error[of]
+        """The pairs whose upper bound reaches ``least``: query, row, upper and lower bound. The coarse estimates are one product
+        and one comparison; what is left of them is estimated by all rotations."""
+        away, dot, size = np.linalg.norm(queries - self.centre, axis=1).astype("float32"), (queries @ self.centre).astype("float32"), self.first.shape[1]
+        asked = np.concatenate([rotated[:, :size], np.ones((len(queries), 1), "float32"), away[:, None]], 1)
+        upper = asked @ np.concatenate([self.first, self.first_shift[:, None], self.first_error[:, None]], 1).T
+        at, of = np.divmod(np.flatnonzero(upper >= (least - dot)[:, None]), upper.shape[1])  # much faster than in two dimensions
+        about = dot[at] + self.shift[of] + _dots(rotated, self.signs, at, of)
+        error = away[at] * self.error[of]
+        keep = about + error >= least[at]
+        return at[keep], of[keep], (about + error)[keep], (about - error)[keep]
 
 
 def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -156,21 +175,21 @@ def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
     return np.concatenate([np.einsum("ij,ij->i", a[i[lo : lo + 65536]], b[j[lo : lo + 65536]]) for lo in range(0, len(i), 65536)] or [np.empty(0)])
 
 
-def home_top(ids: np.ndarray, units: np.ndarray, cells: np.ndarray, code: np.ndarray, length: np.ndarray, fit: np.ndarray, asks: np.ndarray, centres: np.ndarray, rotation: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def home_top(ids: np.ndarray, units: np.ndarray, cells: np.ndarray, code: np.ndarray, length: np.ndarray, fit: np.ndarray, asks: np.ndarray, centres: np.ndarray, rotations: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The best ``k`` of a block for each of its rows ``asks``: how many, ids, exact cosines; and how many were compared."""
-    held = [(rows, Codes(code[rows], length[rows], fit[rows], centres[c], rotation)) for c in np.unique(cells) for rows in [np.nonzero(cells == c)[0]]]
+    held = [(rows, Codes(code[rows], length[rows], fit[rows], centres[c], rotations)) for c in np.unique(cells) for rows in [np.nonzero(cells == c)[0]]]
     step, found, compared = max(1, _PAIRS_AT_ONCE // max(1, len(ids))), [], 0
     for lo in range(0, len(asks), step):
         own = asks[lo : lo + step]
         q = units[own]
-        rotated = (q @ rotation.T).astype("float32")
+        rotated = _rotated(q, rotations)
         about, error = np.empty((len(q), len(ids)), "float32"), np.empty((len(q), len(ids)), "float32")
         for rows, codes in held:
             about[:, rows], error[:, rows] = codes.bounds(q, rotated)
         least = np.full(len(q), floor, "float32")
         if len(ids) > k:
             least = np.maximum(least, -np.partition(error - about, k - 1, axis=1)[:, k - 1])
-        at, of = np.nonzero(about + error >= least[:, None] - _SLACK)
+        at, of = np.divmod(np.flatnonzero(about + error >= least[:, None] - _SLACK), len(ids))
         exact = _dots(q, units, at, of)
         compared += len(at)
         good = exact >= floor
@@ -181,11 +200,11 @@ def home_top(ids: np.ndarray, units: np.ndarray, cells: np.ndarray, code: np.nda
     return sizes, others, cosines, compared
 
 
-def code_candidates(cells: np.ndarray, angles: np.ndarray, homes: np.ndarray, code: np.ndarray, length: np.ndarray, fit: np.ndarray, queries: np.ndarray, off: np.ndarray, query_homes: np.ndarray, least: np.ndarray, centres: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def code_candidates(cells: np.ndarray, angles: np.ndarray, homes: np.ndarray, code: np.ndarray, length: np.ndarray, fit: np.ndarray, queries: np.ndarray, off: np.ndarray, query_homes: np.ndarray, least: np.ndarray, centres: np.ndarray, rotations: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of query and row of a block of codes whose upper bound reaches the query's ``least`` cosine and the k-th best
     lower bound that it finds here; without rows of the query's own home, which it has seen. ``off`` is how far a query is
     from the one it stands for."""
-    rotated, q, least = (queries @ rotation.T).astype("float32"), queries, least - off
+    rotated, q, least = _rotated(queries, rotations), queries, least - off
     wide = np.arccos(np.clip(least, -1, 1)) + off + _SLACK
     found = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0, "float32"), np.empty(0, "float32"))]
     order = np.lexsort((angles, cells))
@@ -196,7 +215,7 @@ def code_candidates(cells: np.ndarray, angles: np.ndarray, homes: np.ndarray, co
             asks = np.nonzero((far - angles[band[-1]] <= wide) & (angles[band[0]] - far <= wide))[0]
             if not len(asks):
                 continue
-            codes = Codes(code[band], length[band], fit[band], centres[c], rotation)
+            codes = Codes(code[band], length[band], fit[band], centres[c], rotations)
             step = max(1, _PAIRS_AT_ONCE // len(band))
             for part in (asks[lo : lo + step] for lo in range(0, len(asks), step)):
                 at, of, upper, lower = codes.reaching(q[part], rotated[part], (least[part] - _SLACK).astype("float32"))
@@ -237,8 +256,8 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float | None = None, ask
     """``(vec_id, rank, other, cosine)``: for every vector its ``k`` most similar others, rank 1 first.
 
     ``vectors`` is a result of :func:`all_vectors`. ``least`` leaves out neighbours of a smaller cosine. ``asked`` is a
-    condition on ``vec_id`` for the vectors that ask; all are searched. ``bits`` is the length of a code (a multiple of 64,
-    as many as the dimensions at least), ``cells`` defaults to the root of the number of vectors, ``home`` and ``wide`` are
+    condition on ``vec_id`` for the vectors that ask; all are searched. ``bits`` is the length of a code (a rotation takes
+    as many as the dimensions, rounded up to a multiple of 64; there is one at least), ``cells`` defaults to the root of the number of vectors, ``home`` and ``wide`` are
     the rows of a block of vectors and of codes.
     """
     sizes = [r.d for r in vectors.select(F.size("vector").alias("d")).distinct().limit(MAX_LENGTHS + 1).collect()]
@@ -250,29 +269,29 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float | None = None, ask
 
 def _most_similar(vectors: DataFrame, d: int, k: int, least: float | None, asked: Column | None, bits: int, cells: int | None, home: int, wide: int | None, broadcast_rows: int) -> DataFrame:
     spark, floor, most = vectors.sparkSession, -2.0 if least is None else least, k + 1  # a query finds itself, too
-    bits = max(-(-bits // 64), -(-d // 64)) * 64
     shared, index = _index(vectors, k, asked, broadcast_rows)
     n = vectors.count()
     cells = cells or int(np.clip(np.sqrt(n), 1, MAX_CELLS))
     some = hash_sample(vectors, "vec_id", max(1000, A_CELL * cells), n).select("vector").toArrow()
     centres = _centroids(_units(some.column(0).combine_chunks()), cells).astype("float64")
-    cells, rotation = len(centres), _rotation(d, bits)
+    cells, rotations = len(centres), _rotations(d, bits)
+    bits, turns = rotations.shape[0] * rotations.shape[1], len(rotations)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = centres.astype("float32").T
         for b in (b.slice(lo, 4096) for b in batches for lo in range(0, b.num_rows, 4096)):
             units = _units(b.column("vector"))
             cell = (units.astype("float32") @ near).argmax(1)
-            code, length, fit = encode(units - centres[cell], rotation)
+            code, length, fit = encode(units - centres[cell], rotations)
             angle = np.arccos(np.clip(np.einsum("ij,ij->i", units, centres[cell]) / np.maximum(np.linalg.norm(centres[cell], axis=1), 1e-12), -1, 1))
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits // 8), len(code), [None, pa.py_buffer(np.ascontiguousarray(code))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("asks"), b.column("vector"), pa.array(cell.astype("int32")), pa.array(angle), packed, pa.array(length), pa.array(fit)], ["vec_id", "asks", "vector", "cell", "angle", "code", "length", "fit"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("asks"), b.column("vector"), pa.array(cell.astype("int32")), pa.array(angle.astype("float32")), packed, pa.array(length.astype("float32")), pa.array([x.tobytes() for x in fit.astype("float32")], pa.binary())], ["vec_id", "asks", "vector", "cell", "angle", "code", "length", "fit"])
 
-    index = materialize(index.mapInArrow(coded, "vec_id long, asks boolean, vector array<float>, cell int, angle double, code binary, length double, fit double"), "vector-index")
+    index = materialize(index.mapInArrow(coded, "vec_id long, asks boolean, vector array<float>, cell int, angle float, code binary, length float, fit binary"), "vector-index")
     count, radius, inner, queries = np.zeros(cells, "int64"), np.zeros(cells), np.zeros(cells), 0
     for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("a"), F.min("angle").alias("b"), F.count_if("asks").alias("q")).collect():
         count[r["cell"]], radius[r["cell"]], inner[r["cell"]], queries = r["n"], r["a"], r["b"], queries + r["q"]
-    wide = wide or int(np.clip(n // 8, 4096, 1 << 17))
+    wide = wide or int(np.clip(n // 5, 4096, 1 << 17))
     places: dict[int, list[int]] = {}
     blocks = 0
     for size in (home, wide):
@@ -289,13 +308,14 @@ def _most_similar(vectors: DataFrame, d: int, k: int, least: float | None, asked
 
     def codes_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         code = np.frombuffer(b"".join(t.column("code").to_pylist()), "uint8").reshape(-1, bits // 8)
-        return t.column("cell").to_numpy(), code, t.column("length").to_numpy(), t.column("fit").to_numpy()
+        fit = np.frombuffer(b"".join(t.column("fit").to_pylist()), "float32").reshape(-1, turns)
+        return t.column("cell").to_numpy(), code, t.column("length").to_numpy(), fit
 
     def at_home(t: pa.Table) -> pa.Table:
         cell, code, length, fit = codes_of(t)
         ids, units = t.column("vec_id").to_numpy(), _units(t.column("vector").combine_chunks())
         asks = np.nonzero(t.column("asks").to_numpy(zero_copy_only=False))[0]
-        sizes, others, cosines, _ = home_top(ids, units, cell, code, length, fit, asks, centres, rotation, most, floor)
+        sizes, others, cosines, _ = home_top(ids, units, cell, code, length, fit, asks, centres, rotations, most, floor)
         near = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), pa.StructArray.from_arrays([pa.array(-cosines), pa.array(others)], ["far", "other"]))
         last = np.cumsum(sizes) - 1
         kth = np.maximum(np.where(sizes == most, cosines[last] if len(cosines) else -2.0, -2.0), floor) if len(asks) else np.empty(0)
@@ -332,7 +352,7 @@ def _most_similar(vectors: DataFrame, d: int, k: int, least: float | None, asked
         if left.num_rows and right.num_rows:
             cell, code, length, fit = codes_of(left)
             asked_for = [right.column(c).to_numpy() for c in ("off", "q_hb", "least")]
-            at, of = code_candidates(cell, left.column("angle").to_numpy(), left.column("hb").to_numpy(), code, length, fit, query_of(right), *asked_for, centres, rotation, most)
+            at, of = code_candidates(cell, left.column("angle").to_numpy(), left.column("hb").to_numpy(), code, length, fit, query_of(right), *asked_for, centres, rotations, most)
         return pa.table({"asks": right.column("asks").to_numpy()[at] if right.num_rows else at, "other": left.column("vec_id").to_numpy()[of] if left.num_rows else of})
 
     pairs = data.groupBy("rb", "qb").cogroup(asking.groupBy("q_rb", "q_qb")).applyInArrow(elsewhere, "asks long, other long")

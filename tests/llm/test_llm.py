@@ -351,17 +351,17 @@ def test_codes_decide_what_is_compared():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 64)) + 2 * rng.normal(size=(150, 64)).repeat(10, 0)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ids, centres, rotation = np.arange(len(x)), x[:40], similar_vectors._rotation(64, 256)
+    ids, centres, rotations = np.arange(len(x)), x[:40], similar_vectors._rotations(64, 256)
     cells = (x @ centres.T).argmax(1)
-    code = similar_vectors.encode(x - centres[cells], rotation)
-    sizes, others, _, compared = similar_vectors.home_top(ids, x, cells, *code, ids, centres, rotation, 6, -2.0)
+    code = similar_vectors.encode(x - centres[cells], rotations)
+    sizes, others, _, compared = similar_vectors.home_top(ids, x, cells, *code, ids, centres, rotations, 6, -2.0)
     best = np.argsort(-(x @ x.T), 1, "stable")[:, :6]
     assert (sizes == 6).all() and (others.reshape(-1, 6) == best).mean() > 0.999 and compared < 0.15 * len(x) ** 2
     homes = ids % 3  # what is not at home is found by codes alone
     s = np.where(homes[:, None] == homes, x @ x.T, -2)
     least = -np.sort(-s, 1)[:, 5]
     angles = np.arccos(np.clip((x * centres[cells]).sum(1), -1, 1))
-    at, of = similar_vectors.code_candidates(cells, angles, homes, *code, x, np.zeros(len(x)), homes, least, centres, rotation, 6)
+    at, of = similar_vectors.code_candidates(cells, angles, homes, *code, x, np.zeros(len(x)), homes, least, centres, rotations, 6)
     found = set(zip(at.tolist(), of.tolist()))
     assert len(found) < 0.15 * len(x) ** 2
     assert sum((i, j) not in found for i in range(len(x)) for j in best[i] if homes[i] != homes[j]) <= 3
@@ -399,10 +399,10 @@ def test_code_estimates_hold_their_bound(bits):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    centre, rotation = x.mean(0), similar_vectors._rotation(64, bits)
-    assert np.allclose(rotation.T @ rotation, np.eye(64))
-    codes = similar_vectors.Codes(*similar_vectors.encode(x - centre, rotation), centre, rotation)
-    about, error = codes.bounds(x[:50], (x[:50] @ rotation.T).astype("float32"))
+    centre, rotations = x.mean(0), similar_vectors._rotations(64, bits)
+    assert all(np.allclose(r.T @ r, np.eye(64)) for r in rotations) and rotations.size == bits * 64
+    codes = similar_vectors.Codes(*similar_vectors.encode(x - centre, rotations), centre, rotations)
+    about, error = codes.bounds(x[:50], similar_vectors._rotated(x[:50], rotations))
     off = np.abs(about - x[:50] @ x.T)
     assert (off <= error + 1e-5).mean() > 0.995 and abs(float((about - x[:50] @ x.T).mean())) < 0.01
 
