@@ -122,3 +122,10 @@ def md5_buckets(df: DataFrame, phrase: str, dim: int = 64, n: int = 3) -> DataFr
     number = F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("long")
     sign = F.when(F.conv(F.substring(F.md5("g"), 9, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
     return rows.groupBy(phrase, (number % dim).alias("bucket")).agg(F.sum(sign).alias("weight")).where("weight <> 0")
+
+
+def md5_vectors(phrases: DataFrame, phrase: str, dim: int = 64, n: int = 3) -> DataFrame:
+    """``(phrase, vector)``: :func:`md5_buckets` with its zeros; a phrase without n-grams has zeros only."""
+    of = md5_buckets(phrases, phrase, dim, n).groupBy(phrase).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("__of"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda k: F.coalesce(F.element_at("__of", k), F.lit(0)).cast("float"))
+    return phrases.join(of, phrase, "left").select(phrase, dense.alias("vector"))

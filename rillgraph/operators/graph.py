@@ -109,6 +109,18 @@ def components(nodes: DataFrame, edges: DataFrame, by: str = "subject_idx", most
     return nodes.select(by, "node").distinct().join(links.select(by, F.col("u").alias("node"), "v"), [by, "node"], "left").select(by, "node", F.coalesce("v", "node").alias("component"))
 
 
+def modularity(members: DataFrame, pairs: DataFrame, cluster: str, by: str = "subject_idx") -> DataFrame:
+    """``(by, modularity)`` of the clusters in the column ``cluster`` of ``(by, node)``, over weights above 0."""
+    pairs = pairs.where("weight > 0 and a <> b")
+    ends = pairs.select(by, F.explode(F.array("a", "b")).alias("node"), "weight").groupBy(by, "node").agg(F.sum("weight").alias("degree"))
+    degree = members.join(ends, [by, "node"]).groupBy(by, cluster).agg(F.sum("degree").alias("degree"))
+    side = lambda c: members.select(by, F.col("node").alias(c), F.col(cluster).alias(f"__{c}"))
+    inside = pairs.join(side("a"), [by, "a"]).join(side("b"), [by, "b"]).where("__a = __b").groupBy(by, F.col("__a").alias(cluster)).agg((2 * F.sum("weight")).alias("inside"))
+    parts = degree.join(inside, [by, cluster], "left").withColumn("total", F.sum("degree").over(Window.partitionBy(by)))
+    part = F.coalesce("inside", F.lit(0.0)) / F.col("total") - (F.col("degree") / F.col("total")) ** 2
+    return parts.groupBy(by).agg(F.sum(part).alias("modularity"))
+
+
 def forgetting_fold(found: DataFrame, windows: DataFrame, seconds: float = 60, wmin: float = 0.1, wmax: float = 1.0, t_d: float = 1.2, forget_every: int = 1) -> DataFrame:
     """``(entity, window, n, t1, score)`` after each window in which the entity lives and survives.
 

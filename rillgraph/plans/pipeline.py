@@ -50,7 +50,7 @@ def run(posts: DataFrame, classifier: subjects.SubjectClassifier, options: Optio
     assigned = materialize(assigned_subjects(posts, classifier, o), "assigned")
     kept = subjects.labelled_posts(posts, assigned)
     todo = kgstore.missing(kept, store) if store is not None else kept
-    graphs = triples.extract(todo, o.kg_backend, ask).select("pid", "triples") if o.kg_backend != "heuristic" else triples.extract(todo, most=o.kg_max_triples_per_post).select("pid", "triples")
+    graphs = triples.extract(todo, o.kg_backend, ask, most=o.kg_max_triples_per_post).where("status = 'ok'").select("pid", "triples")
     if store is not None:
         graphs = graphs.unionByName(kgstore.graphs(store))
     placed = graph.placed_triples(kept, assigned, graphs).join(posts.select("pid", "window"), "pid")

@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillgraph.plans.files import exists
+
 EMBEDDING_FORMAT = "raw-v2"
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # no table yet
-        return None
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
 def cached_scores(posts: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:

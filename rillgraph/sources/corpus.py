@@ -31,8 +31,9 @@ def from_nested(windows: DataFrame) -> DataFrame:
 
 
 class NumpyCorpus(DataSource):
-    """``spark.read.format("npy_corpus").option("path", ...).option("trusted", "true")``: the seven-part object array, one
-    partition per window. Reading object arrays runs code of the file, so the option ``trusted`` must be set."""
+    """``spark.read.format("npy_corpus").option("path", ...).option("trusted", "true")``: the seven-part object array. The
+    file is one pickle, which cannot be read in parts: it is one task, which loads it once and yields a batch per window.
+    Reading object arrays runs code of the file, so the option ``trusted`` must be set."""
 
     @classmethod
     def name(cls) -> str:
@@ -51,21 +52,16 @@ class _NumpyReader(DataSourceReader):
     def __init__(self, path: str) -> None:
         self.path = path
 
-    def _parts(self) -> list:
-        import numpy as np
-
-        return list(np.load(self.path, allow_pickle=True))
-
     def partitions(self) -> list:
-        return [InputPartition(i) for i in range(len(self._parts()[0]))] or [InputPartition(-1)]
+        return [InputPartition(0)]
 
     def read(self, partition) -> Iterator[tuple]:  # noqa: ANN001
-        if partition.value < 0:
-            return
-        ids, tokens, types, deleted, dts, users, numbers = (p[partition.value] for p in self._parts())
-        number = int(numbers) if not hasattr(numbers, "__len__") else int(numbers[0])
-        for k, pid in enumerate(ids):
-            yield int(pid), [str(t) for t in tokens[k]], [str(t) for t in types[k]], dts[k], int(users[k]), number, str(deleted[k])
+        import numpy as np
+
+        for ids, tokens, types, deleted, dts, users, numbers in zip(*np.load(self.path, allow_pickle=True)):
+            number = int(numbers) if not hasattr(numbers, "__len__") else int(numbers[0])
+            for k, pid in enumerate(ids):
+                yield int(pid), [str(t) for t in tokens[k]], [str(t) for t in types[k]], dts[k], int(users[k]), number, str(deleted[k])
 
 
 def register(spark: SparkSession) -> None:

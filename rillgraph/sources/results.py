@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillgraph.config import SUBJECTS, parse_stamp
 from rillgraph.functions.text import joined_nonempty
 from rillgraph.operators.evaluate import first_number
+from rillgraph.plans.files import children
 
 
 def topics(events: DataFrame) -> DataFrame:
@@ -60,6 +61,18 @@ def paired_runs(topic_files: DataFrame, assignment_files: DataFrame) -> DataFram
     return topic_files.select("stamp", F.col("path").alias("topics")).join(assignment_files.select("stamp", F.col("path").alias("assignments")), "stamp")
 
 
+def stamped(spark: SparkSession, out_dir: str, base: str) -> DataFrame:
+    """``(stamp, path)`` of the results of one kind that lie in a folder."""
+    head = f"{base}_"
+    rows = [(n[len(head) :], f"{out_dir.rstrip('/')}/{n}") for n in children(spark, out_dir) if n.startswith(head)]
+    return spark.createDataFrame(rows, "stamp string, path string")
+
+
+def runs(spark: SparkSession, out_dir: str) -> DataFrame:
+    """``(stamp, topics, assignments)`` of the parameter sets with both results in a folder."""
+    return paired_runs(stamped(spark, out_dir, "topics"), stamped(spark, out_dir, "assignments"))
+
+
 def evaluation_report(figures: DataFrame, stamp: str) -> DataFrame:
     """The figures of one run with the parameters of its stamp as columns in front."""
     return figures.select(*(F.lit(v).alias(k) for k, v in parse_stamp(stamp).items()), "*")
