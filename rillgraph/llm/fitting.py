@@ -47,6 +47,7 @@ class BoostedTrees:
     bins: int = 32
     l2: float = 1.0
     least: int = 8
+    columns: float = 1.0  # share of the features that a tree may split on, drawn anew for each
     edges: list[np.ndarray] = field(default_factory=list)
     base: float = 0.0
     grown: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
@@ -59,15 +60,16 @@ class BoostedTrees:
         self.edges = [np.unique(np.r_[np.quantile(c, inner), c.min() + inner * (c.max() - c.min())]) for c in x.T]
         b, share = self._binned(x), float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         self.base, self.grown = float(np.log(share / (1 - share))), []
-        score = np.full(len(y), self.base)
+        score, rng = np.full(len(y), self.base), np.random.default_rng(3)
         for _ in range(self.trees):
             p = sigmoid(score)
-            tree = self._grow(b, p - y, p * (1 - p))
+            drawn = rng.choice(b.shape[1], max(1, round(self.columns * b.shape[1])), replace=False)
+            tree = self._grow(b, p - y, p * (1 - p), sorted(drawn.tolist()))
             self.grown.append(tree)
             score += self._leaf(tree, b)
         return self
 
-    def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray, columns: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A full binary tree in arrays: feature (-1 in a leaf), bin (right if above), value."""
         nodes = 2 ** (self.depth + 1) - 1
         feature, cut, value = np.full(nodes, -1), np.zeros(nodes, int), np.zeros(nodes)
@@ -80,7 +82,7 @@ class BoostedTrees:
             if 2 * node + 2 >= nodes or len(r) < 2 * self.least:
                 continue
             best = (1e-6, -1, 0)
-            for k in range(b.shape[1]):
+            for k in columns:
                 width = len(self.edges[k]) + 1
                 gl, hl, n = (np.cumsum(np.bincount(b[r, k], w, width))[:-1] for w in (g[r], h[r], None))
                 if not len(gl):

@@ -69,6 +69,14 @@ us as materialized (select vec_id, list_transform(v, lambda x: cast(x as double)
 sims as (select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.v, b.v), 12) s from us a join us b on a.vec_id <> b.vec_id),
 top as (select *, row_number() over (partition by a order by s desc, b) k from sims)"""
 
+_BLANK = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{200c}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{ad}\x{200b}\x{200d}-\x{200f}\x{2060}\x{feff}"
+QUALITY = rf"""known as (select distinct lower({consistent_sql("word")}) w from common_words where word is not null),
+texts as (select doc_id, coalesce(text, '') t from documents),
+parts as (select doc_id, t, length(regexp_replace(t, '[{_BLANK}]', '', 'g')) shown, regexp_extract_all(t, '\p{{L}}+') ws, length(regexp_replace(t, '[^\p{{Nd}}]', '', 'g')) digits,
+  list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '[{_BLANK}]+$', '')), lambda x: x <> '' and regexp_matches(x, '[^{_BLANK}]')) ls from texts),
+sums as (select *, len(ws) n, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) letters, len(ls) k, len(list_filter(ls, lambda x: right(x, 1) in ('.', '!', '?', '؟', '…', ':', '"', '»', ')'))) closed from parts),
+hits as (select doc_id, count(*) common from (select doc_id, lower(translate(unnest(ws), 'يىكڪہەھ', 'ییککههه')) w from parts) where w in (select w from known) group by 1)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": f"with {LINES} select distinct pid, line_no::integer line_no from repeated",
     "p2_found": f"with {COUNTS} select field_name, term, verdict from freq where verdict is not null",
@@ -83,4 +91,7 @@ links as (select a.rep r, count(distinct b.rep) n from (select x, y from pairs u
 select pid, rep class_id, n_copies, coalesce(n, 0) n_links from of left join links on r = rep""",
     "p6_found": f"with {VECTORS} select distinct least(a, b) vec_a, greatest(a, b) vec_b from top where k <= 5 and s >= 0.9",
     "p6_similar": f"with {VECTORS} select a vec_id, k::integer as rank, b other, round(s, 6) cosine from top where k <= 5 and a % 100 = 0",
+    "p9_statistics": f"""with {QUALITY} select doc_id, case when shown = 0 then 0.0 else length(t)::double end n_chars, n::double n_words, k::double n_lines, round(letters / greatest(n, 1), 6) mean_word_length,
+round(case when shown = 0 then 0.0 else greatest(0.0, 1 - digits / shown - letters / shown) end, 6) symbol_ratio, round(digits / greatest(shown, 1), 6) digit_ratio, round(letters / greatest(shown, 1), 6) letter_ratio,
+round(closed / greatest(k, 1), 6) punctuated_lines, round(coalesce(common, 0) / greatest(n, 1), 6) common_words from sums left join hits using (doc_id)""",
 }

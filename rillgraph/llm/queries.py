@@ -116,7 +116,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of every document, and whether it is prose."""
+    """Counts and ratios of every document."""
+    common = quality.common_words_of(_read(spark, sf_dir, "common_words"))
+    measured = quality.with_statistics(_read(spark, sf_dir, "documents"), common)
+    return measured.select("doc_id", *(F.round(c, 6).alias(c) for c in quality.PLAIN))
+
+
+def p9_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of every document, its probability of being prose, and the verdict."""
     return _quality(spark, sf_dir)
 
 
@@ -125,5 +132,5 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_clean_posts, p2_found, p2_frequencies, p3_found, p3_consistent_posts, p4_found, p4_classes, p5_found, p5_composition, p6_found, p6_similar, p7_pack, p7_report, p8_mix, p8_report, p9_found, p9_statistics)
+    f.__name__: f for f in (p1_found, p1_clean_posts, p2_found, p2_frequencies, p3_found, p3_consistent_posts, p4_found, p4_classes, p5_found, p5_composition, p6_found, p6_similar, p7_pack, p7_report, p8_mix, p8_report, p9_found, p9_statistics, p9_judged)
 }

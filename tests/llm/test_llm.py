@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import re
 import unicodedata
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -503,8 +505,12 @@ def test_mix_beyond_what_there_is(spark):
 COMMON = {"the", "of", "and", "to", "a", "in", "is", "was", "it", "for"}
 
 
+def measured(texts, common=COMMON):
+    return quality.statistics(pa.array(texts, pa.string()), quality.word_hashes(sorted(common)))
+
+
 def statistic(text, name):
-    return quality.statistics(text, COMMON)[quality.STATISTICS.index(name)]
+    return measured([text])[0, quality.STATISTICS.index(name)]
 
 
 def test_statistics():
@@ -515,8 +521,29 @@ def test_statistics():
     assert statistic("Buy it in the shop now.\n" * 10, "repeated_share") > 0.8 and statistic("Buy it in the shop now.\n" * 10, "sentence_share") < 0.15
     assert statistic("ab cd", "mean_word_length") == 2.0
     for empty in (None, "", "  \n "):
-        assert quality.statistics(empty, COMMON) == [0.0] * len(quality.STATISTICS)
-    assert all(np.isfinite(quality.statistics("x" * 300_000 + " the. " * 20_000, COMMON)))
+        assert not measured([empty]).any()
+    assert np.isfinite(measured(["x" * 300_000 + " the. " * 20_000])).all()
+    assert statistic("A line of the text that goes on over the end\nof the line and stops in the middle.", "sentence_share") > 0.95
+    assert statistic("• in the shop\n• it was red\nThe end of it was near, and it was for the best.", "bullet_share") > 0.2
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aBé ۱2.,;!\n-•ی\u200c\U0001f539\t\"|", max_size=40)), max_size=12), st.integers(1, 30))
+@settings(max_examples=150, deadline=None)
+def test_statistics_do_not_depend_on_the_batch(texts, at_once):
+    """Texts measured together, one by one, or in other groups have the same statistics; plain ones against plain Python."""
+    every, before = measured(texts), quality._AT_ONCE
+    try:
+        quality._AT_ONCE = at_once
+        assert (measured(texts) == every).all()
+    finally:
+        quality._AT_ONCE = before
+    for t, x in zip(texts, every):
+        of = dict(zip(quality.STATISTICS, x))
+        words = re.findall(r"[^\W\d_]+", t or "")
+        if (t or "").strip(" \n\t\u200c"):
+            assert (of["n_chars"], of["n_words"]) == (len(t), len(words)) and of["n_lines"] == sum(bool(y.strip(" \t\u200c")) for y in t.split("\n"))
+            assert abs(of["mean_word_length"] - sum(map(len, words)) / max(1, len(words))) < 1e-12
+            assert abs(of["distinct_words"] - len({w.lower() for w in words}) / max(1, len(words))) < 1e-12
 
 
 def test_quality_of_the_holdout():
@@ -529,13 +556,15 @@ def test_quality_of_the_holdout():
     common = {canonical.consistent_form(w).lower() for (w,) in duckdb.sql(f"select word from '{DATA}/sf0.1/common_words.parquet'").fetchall() if w}
     checked = {**dict.fromkeys(holdout.PROSE, 1.0), **dict.fromkeys(holdout.NOT_PROSE, 0.0)}
     own = [(i, t) for i, t in rows if i in checked]
-    rest = np.array([quality.statistics(t, common) for i, t in rows[::4] if i not in checked])
-    x, y = np.array([quality.statistics(t, common) for _, t in own]), np.array([checked[i] for i, _ in own])
+    rest = measured([t for i, t in rows if i not in checked], common)
+    x, y = measured([t for _, t in own], common), np.array([checked[i] for i, _ in own])
     model = quality.ProseModel.fit(rest)
-    assert len(own) == len(checked) and ((model.probability(x) >= 0.5) == y).mean() >= 0.98
-    platt = fitting.Logistic().fit(model.trees.score(x)[:, None], y)
-    slope = platt.weights[0] / platt.scale[0]
-    assert abs(slope - quality.CALIBRATION[0]) < 0.1 and abs(platt.weights[1] - slope * platt.mean[0] - quality.CALIBRATION[1]) < 0.5
+    p = model.probability(x)
+    assert len(own) == len(checked) and ((p >= 0.5) == y).mean() >= 0.95 and np.mean((p - y) ** 2) < 0.05
+    splits = Counter(f for tree in model.trees.grown for f in tree[0] if f >= 0)
+    assert max(splits.values()) < 0.5 * sum(splits.values()) and len(splits) >= 10
+    # no document is labelled by one rule alone
+    assert (np.abs(quality.votes(rest)[~np.isnan(quality.weak_labels(rest))]).sum(1) >= 2).all()
 
 
 def test_quality_columns(spark):
