@@ -144,6 +144,30 @@ def test_bitmaps_merge_by_union(spark):
     assert key(term_frequency.merge_bitmaps(*parts)) == key(term_frequency.term_bitmaps(posts_of(spark, rows)))
 
 
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 200), st.integers(1, 70_000)), max_size=60), st.booleans())
+@settings(max_examples=80, deadline=None)
+def test_bitmaps_round_trip(rows, dense):
+    of = {(g, p): c for g, p, c in rows} | ({(1, p): 1 + p % 2 for p in range(0, 60_000, 7)} if dense else {}) | {(g, 0): 1 for g in range(4)}
+    keys = sorted(of)
+    group, place, count = np.array([g for g, _ in keys]), np.array([p for _, p in keys]), np.array([of[k] for k in keys])
+    packed = term_frequency.pack_bitmaps(group, place, count)
+    assert all((a == b).all() for a, b in zip(term_frequency.unpack_bitmaps(*packed), (group, place, count)))
+    assert max(len(x) for x in packed[0].to_pylist()) <= term_frequency.CHUNK // 8
+    part = [x.slice(1, 2) for x in packed]  # of a slice, too
+    inside = (group >= 1) & (group < 3)
+    assert all((a == b).all() for a, b in zip(term_frequency.unpack_bitmaps(*part), (group[inside] - 1, place[inside], count[inside])))
+
+
+def test_bitmaps_of_many_batches():
+    """Deliveries in other batches and tasks, and a term whose bitmaps fill many batches, count once."""
+    table = pa.table({"pid": pa.array(np.arange(5000) % 2500), "tokens": [["a", "a", f"w{i % 2500}"] for i in range(5000)], "types": [["x"]] * 5000})
+    built = [b for lo in (0, 2000, 4000) for b in term_frequency._build(iter(table.slice(lo, 2000).combine_chunks().to_batches(300)))]
+    rows = pa.Table.from_batches(built).sort_by([("field_name", "ascending"), ("term", "ascending"), ("chunk", "ascending")])
+    for size in (1, 2, 1000):
+        got = {(f, t): (p, o) for b in term_frequency._union(iter(rows.combine_chunks().to_batches(size))) for f, t, p, o in zip(*(b.column(c).to_pylist() for c in ("field_name", "term", "posts", "occurrences")))}
+        assert got == {("tokens", "a"): (2500, 5000), ("types", "x"): (2500, 2500), ("posts", ""): (2500, 2500)} | {("tokens", f"w{i}"): (1, 1) for i in range(2500)}
+
+
 # -- near duplicates
 
 
