@@ -79,6 +79,8 @@ hits as (select doc_id, count(*) common from (select doc_id, lower(translate(unn
 
 ORACLE: dict[str, str] = {
     "p1_found": f"with {LINES} select distinct pid, line_no::integer line_no from repeated",
+    "p1_clean_posts": f"""with {LINES}, cut as (select pid, list(line_no) ls from repeated group by 1), ends as (select pid, tokens, coalesce(ls, []) ls, case when len(line_starts) > 0 then line_starts else [0] end ss from posts left join cut using (pid))
+select pid, case when len(ls) = 0 then tokens else list_concat(tokens[1:ss[1]], flatten(list_transform(list_filter(range(len(ss)), lambda i: not list_contains(ls, i)), lambda i: tokens[ss[i + 1] + 1:coalesce(ss[i + 2], len(tokens))]))) end tokens, len(ls)::integer removed_lines from ends""",
     "p2_found": f"with {COUNTS} select field_name, term, verdict from freq where verdict is not null",
     "p2_frequencies": f"with {COUNTS} select * from freq",
     "p3_found": f"""with {TOKENS}, bad as (

@@ -109,19 +109,40 @@ def test_repeated_lines(spark):
 def test_repeated_lines_without_broadcast(spark):
     rows = [(i, ["w%d" % i, "join", "us"], 5 + i % 2, [0, 1]) for i in range(40)]
     a = repeated_lines.repeated_lines(posts_of(spark, rows))[1]
-    b = repeated_lines.repeated_lines(posts_of(spark, rows), broadcast_rows=0, summary_bits=2)[1]
+    b = repeated_lines.repeated_lines(posts_of(spark, rows), broadcast_rows=0)[1]
     key = lambda d: sorted((r.pid, r.line_no) for r in d.collect())
     assert key(a) == key(b) == [(i, 1) for i in range(40)]
+    c, d = (sorted((r.pid, r.tokens) for r in repeated_lines.remove_repeated_lines(posts_of(spark, rows), broadcast_rows=n).collect()) for n in (200_000, 0))
+    assert c == d == [(i, ["w%d" % i]) for i in range(40)]
 
 
-def test_summaries_merge_and_never_undercount(spark):
-    rng = random.Random(3)
-    rows = [(i, [rng.choice("abcdefgh"), "x"], 1, [0, 1]) for i in range(60)]
-    parts = [posts_of(spark, rows[:30]), posts_of(spark, rows[30:])]
-    merged = repeated_lines.heavy_hitter_summary(repeated_lines.line_keys(parts[0]), 3).unionByName(repeated_lines.heavy_hitter_summary(repeated_lines.line_keys(parts[1]), 3))
-    merged = {(r.user_id, r.counter): r.n for r in merged.groupBy("user_id", "counter").agg(F.sum("n").alias("n")).collect()}
-    whole = {(r.user_id, r.counter): r.n for r in repeated_lines.heavy_hitter_summary(repeated_lines.line_keys(posts_of(spark, rows)), 3).collect()}
-    assert merged == whole and max(whole.values()) >= 60
+def test_removed_lines_leave_rows_that_agree(spark):
+    rows = [(i, ["w%d" % i, "join", "us", "z", "end"], 5, [1, 3, 4], ["A", "B", "C", "D", "E"]) for i in range(8)]
+    posts = posts_of(spark, rows).withColumn("text", F.array_join("tokens", " "))
+    r = repeated_lines.remove_repeated_lines(posts).where("pid = 3").first()
+    assert (r.tokens, r.types, r.line_starts, r.text, r.removed_lines) == (["w3"], ["A"], [], "w3", 3)
+    rows = [(i, ["w%d" % i, "join", "us", "z%d" % i], 5, [0, 1, 3], ["A", "B", "C"]) for i in range(8)]
+    r = repeated_lines.remove_repeated_lines(posts_of(spark, rows)).where("pid = 3").first()
+    assert (r.tokens, r.types, r.line_starts, r.removed_lines) == (["w3", "z3"], ["A", "B", "C"], [0, 1], 1)
+
+
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 12)), min_size=1, max_size=200), st.integers(2, 9), st.integers(1, 3), st.integers(1, 5))
+@settings(max_examples=150, deadline=None)
+def test_summaries_merge_and_keep_what_is_heavy(lines, least, shards, parts):
+    """Summaries of parts, merged in any batches, are bounded and hold every heavy line, too low by less than ``least``."""
+    table = [pa.RecordBatch.from_arrays([pa.array([u for u, _ in lines[k::parts]], pa.int64()), pa.array([[x * 7919 - 40] for _, x in lines[k::parts]], pa.list_(pa.int64()))], ["user_id", "lines"]) for k in range(parts)]
+    local = [np.stack([c.to_numpy() for c in b.columns], 1) for t in table for b in repeated_lines._local(least, shards)(iter([t]))]
+    rows = np.concatenate(local)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    for size in (3, 1000):
+        batches = [repeated_lines._rows(rows[i : i + size]) for i in range(0, len(rows), size)]
+        out = np.concatenate([np.stack([c.to_numpy() for c in b.columns], 1) for b in repeated_lines.merge_summaries(least)(iter(batches))])
+        left = {(u, line): n for u, _, kind, line, n in out.tolist() if kind}
+        for (u, x), n in Counter(lines).items():
+            assert n - least < left.get((u, x * 7919 - 40), 0) <= n
+        for u, shard in {(u, s) for u, s, *_ in out.tolist()}:
+            own = [r for r in out.tolist() if r[:2] == [u, shard]]
+            assert sum(r[2] for r in own) <= sum(r[4] for r in own if not r[2]) // least + 1
 
 
 # -- term frequencies
