@@ -1,12 +1,14 @@
 """Problem 4: near-duplicate records with small edits, by Jaccard similarity of token sets.
 
 Method: multiple global orders. Two sets of enough similarity share a token in their prefixes under every total order of
-the tokens. Three orders are used: rarest first, ascending and descending fingerprint. The first generates candidates; a
-pair must then share prefix tokens under the other two as well before it is verified exactly.
+the tokens. Three orders are used: rarest first, ascending and descending fingerprint. The first generates candidates; its
+keys carry the prefixes under the other two as 64-bit sets, and only pairs that can share a token in both of these, too, are
+candidates. Sets are fetched after that; then the prefixes are intersected exactly, and the sets themselves.
 
 Under the first order a prefix one token longer must share two tokens, two tokens longer three. So a token in at most
 ``light`` sets is a key alone, heavier tokens are keys only in twos, and twos expected in more than ``crowd`` sets only in
-threes: posting lists stay short however common a token is, and no pair is lost. Keys are shuffled, never the sets; a
+threes: posting lists stay short where tokens are independent, and no pair is lost. Where they are not (texts of one template),
+lists longer than ``hot`` rows are met in blocks against blocks, each a group of its own. Keys are shuffled, never the sets; a
 64-bit parity sketch beside each key drops pairs whose symmetric difference is surely too large.
 
 Sets that are equal are one class, represented by its smallest ``pid``; only representatives are compared. Sets are kept as
@@ -21,16 +23,17 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillgraph.llm.canonical import with_consistent_array
-from rillgraph.llm.classes import with_classes
+from rillgraph.llm.classes import SALTS, with_classes
 from rillgraph.plans.materialize import broadcast_if_small, materialize
 
 #: Bound of the table of token frequencies that every task gets: 16 bytes a row. Tokens beyond it count as rare.
 FREQUENCY_ROWS = 1 << 18
 _PAIRS_AT_ONCE = 1 << 20
+_SAMPLED = 64  # one set in so many shows which keys are hot
 
 
 def token_sets(posts: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
@@ -46,11 +49,16 @@ def token_sets(posts: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
 
 def _frequencies(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Fingerprints and numbers of sets of the tokens in two sets or more, and the number for tokens not among them."""
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1")
-    top = counts.orderBy(F.desc("count"), "token").limit(rows).toPandas()
+    counts = materialize(sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1"), "near-frequencies")
+    unknown = 1
+    if counts.count() > rows:  # only counts of which all tokens fit are gathered, so no task sends more than that
+        upto = counts.groupBy("count").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("count"))))
+        unknown = int(upto.where(F.col("upto") > rows).agg(F.max("count")).first()[0])
+        counts = counts.where(F.col("count") > unknown)
+    top = counts.toPandas()
     token, count = top["token"].to_numpy("int64"), top["count"].to_numpy("int64")
     order = np.argsort(token)
-    return token[order], count[order], 1 if len(top) < rows else max(2, int(count.min()))
+    return token[order], count[order], unknown
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,7 +91,7 @@ def _keys_of_size(tok: np.ndarray, df: np.ndarray, n: int, at_least: Fraction, t
         yield _mix(_mix(tok[r, i[a]], tok[r, j[a]]), tok[r, last]), r, np.full(len(r), last < index + 3)
 
 
-KEYS = "key long, rep long, n int, small boolean, sketch long"
+KEYS = "key long, rep long, n int, small boolean, sketch long, up long, down long"
 
 
 def _key_batches(token: np.ndarray, count: np.ndarray, unknown: int, at_least: Fraction, total: int, light: int, crowd: int):
@@ -98,27 +106,32 @@ def _key_batches(token: np.ndarray, count: np.ndarray, unknown: int, at_least: F
             at = np.minimum(np.searchsorted(token, flat), max(len(token) - 1, 0))
             df = np.where(token[at] == flat, count[at], unknown) if len(token) else np.full(len(flat), unknown)
             sketch = np.bitwise_xor.reduceat(np.uint64(1) << (flat.view("uint64") >> np.uint64(58)), np.cumsum(n) - n).view("int64")
+            start = np.cumsum(n) - n
+            bit = np.uint64(1) << ((flat.view("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+            place, reach = np.arange(len(flat)) - np.repeat(start, n), np.repeat(n - _ceil(at_least, n) + 1, n)
+            up, down = (np.bitwise_or.reduceat(np.where(inside, bit, np.uint64(0)), start).view("int64") for inside in (place < reach, place >= np.repeat(n, n) - reach))
             order = np.lexsort((flat, df, of))
-            flat, df, start = flat[order], df[order], np.cumsum(n) - n
+            flat, df = flat[order], df[order]
             for size in np.unique(n):
                 rows = np.nonzero(n == size)[0]
                 where = start[rows][:, None] + np.arange(size)
                 for key, row, small in _keys_of_size(flat[where], df[where], int(size), at_least, total, light, crowd):
                     r = rows[row]
                     if len(r):
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep[r]), pa.array(n[r].astype("int32")), pa.array(small), pa.array(sketch[r])], ["key", "rep", "n", "small", "sketch"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep[r]), pa.array(n[r].astype("int32")), pa.array(small), pa.array(sketch[r]), pa.array(up[r]), pa.array(down[r])], ["key", "rep", "n", "small", "sketch", "up", "down"])
 
     return run
 
 
 def _meeting(cols: list[np.ndarray], at_least: Fraction) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows under one key that pass the size and sketch filters. Rows are sorted by key."""
-    key, rep, n, small, sketch = cols
+    """Pairs of rows under one key that pass the filters of sizes, of the other two orders, and of sketches; each pair once for
+    many keys. Rows are sorted by key."""
+    key, rep, n, small, sketch, up, down = cols
     if not len(key):
         return
     group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
     order = np.lexsort((n, group))
-    rep, small, sketch, n = rep[order], small[order], sketch[order], n[order].astype("int64")
+    rep, small, sketch, up, down, n = rep[order], small[order], sketch[order], up[order], down[order], n[order].astype("int64")
     widest = int(n.max()) + 1
     at = group[order] * widest + n  # by group, then size: a row is met with later rows that are not too large for it
     reach = group[order] * widest + np.minimum(n * at_least.denominator // at_least.numerator, widest - 1)
@@ -132,13 +145,19 @@ def _meeting(cols: list[np.ndarray], at_least: Fraction) -> Iterator[pa.RecordBa
         a = np.repeat(part, later[part])
         b = a + 1 + np.arange(len(a)) - np.repeat(done[lo:hi] - done[lo], later[part])
         lo = hi
+        ok = ((up[a] & up[b]) != 0) & ((down[a] & down[b]) != 0)
+        a, b = a[ok], b[ok]
         both = n[a] + n[b]
         ok = np.bitwise_count((sketch[a] ^ sketch[b]).view("uint64")) <= both - 2 * _ceil(at_least / (1 + at_least), both)
         a, b = a[ok], b[ok]
         ok = (rep[a] != rep[b]) & (small[b] | (n[a] < n[b]))
         if ok.any():
             a, b = rep[a[ok]], rep[b[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["rep_a", "rep_b"])
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["rep_a", "rep_b"])
 
 
 def _meet_batches(at_least: Fraction):
@@ -147,7 +166,7 @@ def _meet_batches(at_least: Fraction):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
             if held and held[0][0][0] == cols[0][-1]:  # still one key
                 held.append(cols)
                 continue
@@ -161,7 +180,21 @@ def _meet_batches(at_least: Fraction):
     return run
 
 
-def similar_classes(sets: DataFrame, threshold: float = 0.7, light: int = 1000, crowd: int = 400, frequency_rows: int = FREQUENCY_ROWS, broadcast_rows: int = 200_000) -> DataFrame:
+def _in_blocks(keys: DataFrame, some: DataFrame, share: int, hot: int, broadcast_rows: int) -> DataFrame:
+    """``keys`` with those of more than about ``hot`` rows, by the counts in ``some`` (one in ``share`` of the sets), replaced by
+    one key for every two blocks of their rows; which keys are split changes no pair."""
+    counts = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, hot // share))
+    split = materialize(counts.select("key", F.ceil(F.col("n") * share / hot).cast("int").alias("blocks")), "near-hot")
+    if split.isEmpty():
+        return keys
+    split, _ = broadcast_if_small(split, broadcast_rows)
+    rows = keys.join(split, "key", "left")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    return rows.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(each)).alias("key"), *(c for c in keys.columns if c != "key"))
+
+
+def similar_classes(sets: DataFrame, threshold: float = 0.7, light: int = 1000, crowd: int = 400, frequency_rows: int = FREQUENCY_ROWS, hot: int = 20_000, broadcast_rows: int = 200_000) -> DataFrame:
     """``(rep_a, rep_b, shared, size_a, size_b)``: every two representatives of at least that similarity, smaller first.
 
     ``sets`` is a result of :func:`token_sets`. ``frequency_rows`` bounds the table of frequencies on the driver;
@@ -173,7 +206,9 @@ def similar_classes(sets: DataFrame, threshold: float = 0.7, light: int = 1000,
     reps = sets.where("tokens is not null").select("rep", "tokens")
     token, count, unknown = _frequencies(reps, frequency_rows)
     total = max(1, reps.count())
-    keys = reps.mapInArrow(_key_batches(token, count, unknown, at_least, total, light, crowd), KEYS)
+    keyed = _key_batches(token, count, unknown, at_least, total, light, crowd)
+    some = reps.where(F.pmod(F.xxhash64("rep"), F.lit(_SAMPLED)) == 0).mapInArrow(keyed, KEYS)
+    keys = _in_blocks(reps.mapInArrow(keyed, KEYS), some, _SAMPLED, hot, broadcast_rows)
     pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_meet_batches(at_least), "rep_a long, rep_b long")
     pairs, _ = broadcast_if_small(materialize(pairs.distinct(), "near-candidates"), broadcast_rows)
     a = reps.select(F.col("rep").alias("rep_a"), F.col("tokens").alias("a"))
@@ -195,25 +230,28 @@ def near_duplicate_links(posts: DataFrame, threshold: float = 0.7, **options) ->
     return similar_classes(sets, threshold, **options), sets.select("pid", "rep").distinct()
 
 
-def near_duplicate_pairs(posts: DataFrame, threshold: float = 0.7, expand: int = 64, **options) -> DataFrame:
+def near_duplicate_pairs(posts: DataFrame, threshold: float = 0.7, copies: int = 16, **options) -> DataFrame:
     """``(pid_a, pid_b)``, smaller first: the posts of at least that similarity.
 
-    Equal sets in classes of up to ``expand`` posts are given as all their pairs. A larger class is given as the pairs of
-    its representative with each member, and its links to other texts as links of the representative: no link between
-    different texts is lost, and the result stays in proportion to the input.
+    Of equal sets, each post is given with the ``copies`` smallest of its class (all pairs, where there are no more); of two
+    similar classes, the ``copies`` smallest of one with those of the other. A class of a third of all posts so gives a
+    result in proportion to it, and no link between different texts is lost.
     """
     links, members = near_duplicate_links(posts, threshold, **options)
-    sizes = members.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1")
-    copies = materialize(members.join(sizes, "rep"), "near-copies")
-    small = copies.where(F.col("size") <= expand).select("rep", "pid")
-    inside = small.alias("x").join(small.alias("y"), F.expr("x.rep = y.rep and x.pid < y.pid")).select(F.col("x.pid").alias("pid_a"), F.col("y.pid").alias("pid_b"))
-    star = copies.where((F.col("size") > expand) & (F.col("pid") != F.col("rep"))).select(F.col("rep").alias("pid_a"), F.col("pid").alias("pid_b"))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1").select("rep")
+    known, _ = broadcast_if_small(materialize(sizes, "near-shared"), options.get("broadcast_rows", 200_000))
+    equal = materialize(members.join(known, "rep").withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(SALTS)).cast("int")), "near-copies")
+    first = equal
+    for by in (["rep", "salt"], ["rep"]):
+        first = first.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("pid"))).where(F.col("nth") <= copies)
+    first = materialize(first.select("rep", F.col("pid").alias("pid_a")), "near-first")
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    inside = equal.join(salted, ["rep", "salt"]).where("pid_a < pid").select("pid_a", F.col("pid").alias("pid_b"))
     across = links.select("rep_a", "rep_b")
     for side in ("a", "b"):
-        across = across.join(small.select(F.col("rep").alias(f"rep_{side}"), F.col("pid").alias(f"pid_{side}")), f"rep_{side}", "left")
+        across = across.join(first.select(F.col("rep").alias(f"rep_{side}"), F.col("pid_a").alias(f"pid_{side}")), f"rep_{side}", "left")
         across = across.withColumn(f"pid_{side}", F.coalesce(f"pid_{side}", f"rep_{side}"))
-    across = across.select(F.least("pid_a", "pid_b").alias("pid_a"), F.greatest("pid_a", "pid_b").alias("pid_b"))
-    return inside.unionByName(star).unionByName(across)
+    return inside.unionByName(across.select(F.least("pid_a", "pid_b").alias("pid_a"), F.greatest("pid_a", "pid_b").alias("pid_b")))
 
 
 def near_duplicate_degrees(posts: DataFrame, threshold: float = 0.7, **options) -> DataFrame:

@@ -87,7 +87,8 @@ select pid, case when len(ls) = 0 then tokens else list_concat(tokens[1:ss[1]],
   select 'token' place, pid rec_id, unnest(range(len(tokens))) pos, -1 slot, unnest(tokens) v from once union all
   select 'triple', seq, pos, unnest(range(len(m))), unnest(m) from (select seq, unnest(range(len(triples))) pos, unnest(triples) m from kg_store))
 select place, rec_id, pos::integer pos, slot::integer slot from (select *, {consistent_sql("v")} c from bad) where v <> c""",
-    "p4_found": f"with {SETS} select x pid_a, y pid_b from pairs",
+    "p4_found": f"""with {SETS}, nth as (select pid, body, row_number() over (partition by body order by pid) k from sizes)
+select x pid_a, y pid_b from pairs join nth a on a.pid = x join nth b on b.pid = y where a.k <= 16 and (b.k <= 16 or a.body = b.body)""",
     "p4_classes": f"""with {SETS}, reps as (select body, min(pid) rep, count(*) n_copies from sizes group by 1), of as (select pid, rep, n_copies from sizes join reps using (body)),
 links as (select a.rep r, count(distinct b.rep) n from (select x, y from pairs union all select y, x from pairs) join of a on a.pid = x join of b on b.pid = y where a.rep <> b.rep group by 1)
 select pid, rep class_id, n_copies, coalesce(n, 0) n_links from of left join links on r = rep""",

@@ -223,8 +223,9 @@ def test_near_duplicate_classes(spark):
     rows = [(i, ["a", "b", "c", "d"]) for i in range(5)] + [(10, ["a", "b", "c", "d", "e"]), (11, ["z"])]
     got = {r.pid: (r.class_id, r.n_copies, r.n_links) for r in near_duplicates.near_duplicate_degrees(posts_of(spark, rows)).collect()}
     assert got == {**{i: (0, 5, 1) for i in range(5)}, 10: (10, 1, 1), 11: (11, 1, 0)}
-    star = {(r.pid_a, r.pid_b) for r in near_duplicates.near_duplicate_pairs(posts_of(spark, rows), expand=3).collect()}
-    assert star == {(0, 1), (0, 2), (0, 3), (0, 4), (0, 10)}
+    for bound in (200_000, 0):
+        star = sorted((r.pid_a, r.pid_b) for r in near_duplicates.near_duplicate_pairs(posts_of(spark, rows), copies=2, broadcast_rows=bound).collect())
+        assert star == sorted({(0, i) for i in range(1, 5)} | {(1, i) for i in range(2, 5)} | {(0, 10), (1, 10)})
     assert near_duplicates.near_duplicate_pairs(posts_of(spark, rows).limit(0)).count() == 0
     with pytest.raises(ValueError):
         near_duplicates.near_duplicate_pairs(posts_of(spark, rows), threshold=0.5)
@@ -238,8 +239,8 @@ def test_near_duplicates_of_a_single_key(spark):
 @pytest.mark.parametrize("size", [1, 2, 4, 9])
 def test_a_key_larger_than_a_batch(size):
     keys, reps = [5] * 5 + [6] * 2, range(7)
-    columns = [pa.array(keys, "int64"), pa.array(reps, "int64"), pa.array([4] * 7, "int32"), pa.array([True] * 7), pa.array([0] * 7, "int64")]
-    rows = pa.RecordBatch.from_arrays(columns, ["key", "rep", "n", "small", "sketch"])
+    columns = [pa.array(keys, "int64"), pa.array(reps, "int64"), pa.array([4] * 7, "int32"), pa.array([True] * 7), *(pa.array([x] * 7, "int64") for x in (0, 1, 1))]
+    rows = pa.RecordBatch.from_arrays(columns, ["key", "rep", "n", "small", "sketch", "up", "down"])
     met = near_duplicates._meet_batches(near_duplicates.Fraction(7, 10))(rows.slice(i, size) for i in range(0, 7, size))
     pairs = [(a, b) for m in met for a, b in zip(m.column(0).to_pylist(), m.column(1).to_pylist())]
     assert sorted(pairs) == sorted((a, b) for a in reps for b in reps if a < b and keys[a] == keys[b])
@@ -259,6 +260,18 @@ def test_frequency_bound_does_not_change_pairs(spark):
     assert key() == key(frequency_rows=3) == key(frequency_rows=3, light=1, crowd=0)
 
 
+def test_texts_of_one_template(spark, monkeypatch):
+    """Keys that hold a third of all rows and more are met in blocks; every link is found, each once."""
+    monkeypatch.setattr(near_duplicates, "_SAMPLED", 2)
+    rng = random.Random(9)
+    words = [f"t{k}" for k in range(20)]
+    rows = [(i, [*words, f"own{i}"]) for i in range(150)] + [(1000 + i, rng.sample([f"w{k}" for k in range(400)], 9)) for i in range(200)]
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150)}
+    for options in ({"hot": 40}, {"hot": 40, "light": 0, "crowd": 0, "broadcast_rows": 0}):
+        got = [(r.pid_a, r.pid_b) for r in near_duplicates.near_duplicate_pairs(posts_of(spark, rows), **options).collect()]
+        assert len(got) == len(set(got)) and {p for p in got if p[1] < 1000} == want
+
+
 # -- subjects
 
 
@@ -675,7 +688,7 @@ def test_a_third_of_all_rows_are_copies(spark):
     rows = [(i, ["copy", "of", "one", "text", "here"]) for i in range(400)] + [(1000 + i, rng.sample([f"w{k}" for k in range(500)], 8)) for i in range(800)] + [(5000, ["copy", "of", "one", "text", "here", "x"])]
     for bound in (200_000, 0):
         got = {(r.pid_a, r.pid_b) for r in near_duplicates.near_duplicate_pairs(posts_of(spark, rows), broadcast_rows=bound).collect()}
-        assert {(0, i) for i in range(1, 400)} | {(0, 5000)} == {p for p in got if p[0] < 1000}
+        assert {(k, i) for k in range(16) for i in range(k + 1, 400)} | {(k, 5000) for k in range(16)} == {p for p in got if p[0] < 1000}
     same = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(1000 + i, [rng.random(), rng.random(), rng.random()]) for i in range(100)]
     for bound in (200_000, 0):
         got = {}
