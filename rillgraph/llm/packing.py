@@ -50,9 +50,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return slots
 
 
-def pack(documents: DataFrame, specs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+def pack(documents: DataFrame, specs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, slot_rows: int = 200_000) -> DataFrame:
     """``(spec_id, container, doc_id, piece, start, n_tokens)``: where each document's tokens lie; ``start`` is the piece's
-    first token in its document."""
+    first token in its document. A plan of more than ``slot_rows`` rows (40 bytes each) is not broadcast."""
     spark = documents.sparkSession
     wanted = {(r.spec_id, r.capacity) for r in specs.where("capacity >= 1").select("spec_id", "capacity").distinct().limit(MAX_SPECS + 1).collect()}
     if len(wanted) > MAX_SPECS:
@@ -70,9 +70,10 @@ def pack(documents: DataFrame, specs: DataFrame, tokenizer: str = DEFAULT_TOKENI
         slots += [(spec_id, capacity, *s) for s in plan({n: c for n, c in counts.items() if n}, capacity)]
         slots.append((spec_id, capacity, 0, 0, counts.get(0, 0), 0, max(1, counts.get(0, 0))))
     kind = dict(specs.dtypes)["spec_id"]
+    n_slots = len(slots)
     slots = spark.createDataFrame(slots, f"spec_id {kind}, capacity int, size int, first long, end long, base long, uses long")
     ranked = _ranked(pieces, salts)
-    out = ranked.join(F.broadcast(slots), ["spec_id", "capacity", "size"]).where("rank >= first and rank < end")
+    out = ranked.join(F.broadcast(slots) if n_slots <= slot_rows else slots, ["spec_id", "capacity", "size"]).where("rank >= first and rank < end")
     return out.select("spec_id", F.expr("base + (rank - first) div uses").alias("container"), "doc_id", "piece", "start", F.col("size").cast("long").alias("n_tokens"))
 
 
@@ -90,6 +91,20 @@ def _ranked(pieces: DataFrame, salts: int) -> DataFrame:
     return pieces.withColumn("within", within).join(offsets, [*by, "salt"]).withColumn("rank", F.col("within") + F.col("offset"))
 
 
+def packing_faults(packed: DataFrame, documents: DataFrame, specs: DataFrame) -> DataFrame:
+    """``(spec_id, documents, overfull, split, broken, wasted)`` of each spec: documents placed; containers beyond their capacity;
+    documents in more pieces than they need; documents whose pieces leave out or repeat tokens; and the share of containers
+    beyond the fewest that could do."""
+    specs = specs.where("capacity >= 1").select("spec_id", "capacity").distinct()
+    load = packed.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(specs), "spec_id")
+    full = load.groupBy("spec_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"), F.count_if(F.col("n") > 0).alias("used"), F.sum("n").alias("tokens"))
+    pieces = packed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"), F.max(F.col("start") + F.col("n_tokens")).alias("end")).join(F.broadcast(specs), "spec_id")
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity")))
+    per = pieces.groupBy("spec_id").agg(F.count("*").alias("documents"), F.count_if(F.col("k") > needed).alias("split"), F.count_if(F.col("end") != F.col("n")).alias("broken"))
+    wasted = F.col("used") / F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity"))) - 1
+    return per.join(full, "spec_id").join(F.broadcast(specs), "spec_id").select("spec_id", "documents", "overfull", "split", "broken", wasted.alias("wasted"))
+
+
 def packing_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """``(spec_id, capacity, containers, tokens, filled)`` of each spec; ``filled`` is the share of room in use."""
     sums = packed.where("n_tokens > 0").groupBy("spec_id").agg((F.max("container") + 1).alias("containers"), F.sum("n_tokens").alias("tokens"))

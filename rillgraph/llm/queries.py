@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillgraph.llm import canonical, mixing, near_duplicates, packing, quality, repeated_lines, similar_vectors, subjects, term_frequency
+from rillgraph.plans.materialize import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +100,21 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(packing.pack(_read(spark, sf_dir, "documents"), specs), specs)
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each capacity: the documents placed, and what the packing must not have."""
+    documents, specs = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pack_specs")
+    faults = packing.packing_faults(materialize(packing.pack(documents, specs), "packed"), documents, specs)
+    return faults.select("spec_id", "documents", "overfull", "split", "broken", (F.col("wasted") > 0.01).alias("wasteful"))
+
+
+def p8_mix_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture by characters in place of tokens, which SQL can count."""
+    documents = _read(spark, sf_dir, "documents")
+    sizes = documents.select("doc_id", "source", F.length("text").cast("long").alias("n_tokens"))
+    mixed = mixing.mix(documents, _read(spark, sf_dir, "mix_targets"), sizes=sizes)
+    return mixed.withColumn("finish_time", F.round("finish_time", 2))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mixture, in its order."""
     return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))
@@ -132,5 +148,5 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_clean_posts, p2_found, p2_frequencies, p3_found, p3_consistent_posts, p4_found, p4_classes, p5_found, p5_composition, p6_found, p6_similar, p7_pack, p7_report, p8_mix, p8_report, p9_found, p9_statistics, p9_judged)
+    f.__name__: f for f in (p1_found, p1_clean_posts, p2_found, p2_frequencies, p3_found, p3_consistent_posts, p4_found, p4_classes, p5_found, p5_composition, p6_found, p6_similar, p7_pack, p7_report, p7_checked, p8_mix, p8_mix_characters, p8_report, p9_found, p9_statistics, p9_judged)
 }

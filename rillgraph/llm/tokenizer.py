@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+# Fixed value: the public split pattern that goes with the .tiktoken vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(2)
@@ -23,7 +27,6 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
     if path.endswith(".tiktoken"):
         import tiktoken
-        from public_tokenizers import PATTERN
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -37,11 +40,14 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
 
 
 def with_token_counts(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``n_tokens`` of each whole text; a null text has none."""
+    """The columns ``keep`` and ``n_tokens`` of each whole text; a null text has none. Executors get the vocabulary file from
+    the driver; where the driver has none, the path must be one of theirs."""
     fields = documents.select(*keep).schema
+    if shipped := os.path.isfile(tokenizer):
+        documents.sparkSession.sparkContext.addFile(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        count = counter(SparkFiles.get(os.path.basename(tokenizer)) if shipped else tokenizer)
         for b in batches:
             texts = b.column("text").fill_null("").to_pylist()
             n = np.array([m for i in range(0, len(texts), 256) for m in count(texts[i : i + 256])], "int64")

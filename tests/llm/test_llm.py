@@ -518,6 +518,10 @@ def test_pack(spark, monkeypatch, at_once):
             parts.sort()
             assert sum(n for _, n in parts) == sizes[doc] and [a for a, _ in parts] == [k * capacity for k in range(len(parts))]
             assert len(parts) == max(1, -(-sizes[doc] // capacity))
+    faults = packing.packing_faults(packed, documents, specs).collect()
+    assert {r.spec_id: (r.documents, r.overfull, r.split, r.broken) for r in faults} == {k: (len(sizes), 0, 0, 0) for k in (1, 2)} and max(r.wasted for r in faults) < 0.1
+    broken = packing.packing_faults(packed.withColumn("container", F.lit(0).cast("long")).where("piece = 0"), documents, specs).collect()
+    assert all(r.overfull == 1 for r in broken)
     report = {r.spec_id: r.filled for r in packing.packing_report(packed, specs).collect()}
     assert report.keys() == {1, 2} and min(report.values()) > 0.9
     assert packing.pack(documents.limit(0), specs).count() == 0 and packing.pack(documents, specs.limit(0)).count() == 0
