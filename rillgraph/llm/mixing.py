@@ -11,7 +11,8 @@ The budget defaults to the largest total at which every source can keep its shar
 ``total_tokens`` sources run out and the actual shares show it. Shares are scaled to sum to 1. Sources that are not listed,
 or listed with a null, zero or negative share or fewer than one repeat, are not wanted; a source listed twice counts once
 (its largest share). Listed sources without tokens cannot contribute and do not limit the budget. Documents without tokens
-(null and empty texts) are left out. Ties of time go by source, id and repeat. No documents or targets give no rows.
+(null and empty texts) are left out. Times are rounded to 6 places, so that the
+order of additions decides nothing; ties go by source, id and repeat. No documents or targets give no rows.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     rows = sized.withColumn("key", _shuffled(seed)).withColumn("bucket", F.floor(F.col("key") * (buckets / 2.0**52)))
     rows = _running(rows, ["source"], "bucket", ["key", "doc_id"], "n_tokens", "upto").join(F.broadcast(known_rows), "source")
     rows = rows.withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
-    rows = rows.withColumn("finish_time", F.expr("(repeat_no * tokens + upto) / share")).where(F.col("finish_time") <= last)
+    rows = rows.withColumn("finish_time", F.round(F.expr("(repeat_no * tokens + upto) / share"), 6)).where(F.col("finish_time") <= last)
     at = F.least(F.floor(F.col("finish_time") / last * buckets), F.lit(buckets - 1))
     rows = rows.select("source", "doc_id", "repeat_no", "n_tokens", "finish_time", at.alias("bucket"))
     rows = _running(rows, [], "bucket", ["finish_time", "source", "doc_id", "repeat_no"], "n_tokens", "total").where(F.col("total") <= budget)

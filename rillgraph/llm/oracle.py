@@ -100,7 +100,7 @@ t as (select source, share / sum(share) over () share, repeats from t0), d as (s
 k as (select *, concat('0x', substr(md5('0-' || doc_id), 1, 13))::bigint as key from d), s as (select source, sum(n) tokens from d group by 1),
 upto as (select *, sum(n) over (partition by source order by key, doc_id rows unbounded preceding) upto from k),
 r as (select *, unnest(range(repeats)) repeat_no from upto join s using (source) join t using (source)),
-f as (select source, doc_id, repeat_no, n, (repeat_no * tokens + upto) / share as finish from r),
+f as (select source, doc_id, repeat_no, n, round((repeat_no * tokens + upto) / share, 6) as finish from r),
 g as (select *, sum(n) over (order by finish, source, doc_id, repeat_no rows unbounded preceding) total from f)
 select source, doc_id, repeat_no::integer repeat_no, n::bigint n_tokens, round(finish, 2) finish_time, total::bigint total from g where total <= (select min(repeats * tokens / share) from s join t using (source))""",
     "p9_statistics": f"""with {QUALITY} select doc_id, case when shown = 0 then 0.0 else length(t)::double end n_chars, n::double n_words, k::double n_lines, round(letters / greatest(n, 1), 6) mean_word_length,
