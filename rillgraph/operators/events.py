@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from rillgraph.config import Options
 from rillgraph.functions.text import epoch_seconds, normalise_phrase
 from rillgraph.functions.vectors import cosine, hashed_vector, l2_normalise
-from rillgraph.operators.fold import Registry, StreamGraph, unit
-from rillgraph.schemas import FINAL_EVENTS, SUBJECT_EVENTS
+from rillgraph.operators.fold import GlobalEvents, SubjectFold, unit
+from rillgraph.plans.materialize import materialize
+from rillgraph.schemas import SUBJECT_EVENTS
 
 Embed = Callable[[str], np.ndarray]
 EVENT_COLUMNS = ["subject_idx", "window", "event_no", "nodes", "titles", "post_ids", "score", "vector", "keywords"]
@@ -56,7 +57,7 @@ def subject_events(placed: DataFrame, clock: DataFrame, options: Options, embed:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw = phrase_embedder(options, embed)
         vector = lambda p: unit(raw(p))
-        subject, graph, tick = None, StreamGraph(options), 0
+        subject, graph, tick = None, SubjectFold(options), 0
 
         def close(upto: float) -> list[dict]:
             """End the windows before ``upto``."""
@@ -64,18 +65,21 @@ def subject_events(placed: DataFrame, clock: DataFrame, options: Options, embed:
             out = []
             while subject is not None and tick < len(ticks) and ticks[tick][0] < upto:
                 window, ordinal, now = ticks[tick]
-                out += [{"subject_idx": subject, "window": window, "event_no": k} | e for k, e in enumerate(graph.close_window(ordinal, now, raw))]
+                out += [{"subject_idx": subject, "window": window, "event_no": k} | e for k, e in enumerate(graph.end_window(ordinal, now, raw))]
                 tick += 1
             return out
 
         for pdf in batches:
             out: list[dict] = []
-            for x in pdf.itertuples(index=False):
-                if x.subject_idx != subject:
+            where = pdf[["subject_idx", "window"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(1)]) if len(pdf) else []
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):  # stretches of one subject and window
+                part, (own, window) = pdf.iloc[lo:hi], where[lo].tolist()
+                if own != subject:
                     out += close(float("inf"))
-                    subject, graph, tick = x.subject_idx, StreamGraph(options), 0
-                out += close(x.window)
-                graph.feed([(x.h, x.r, x.o)], vector, x.t, x.pid)
+                    subject, graph, tick = own, SubjectFold(options), 0
+                out += close(window)
+                graph.take(part["h"].tolist(), part["r"].tolist(), part["o"].tolist(), part["t"].to_numpy(), part["pid"].to_numpy(), vector)
             yield pd.DataFrame(out, columns=EVENT_COLUMNS)
         yield pd.DataFrame(close(float("inf")), columns=EVENT_COLUMNS)
 
@@ -86,24 +90,35 @@ def subject_events(placed: DataFrame, clock: DataFrame, options: Options, embed:
 def register(events: DataFrame, threshold: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """The global events, and ``(subject_idx, window, event_no, number)``.
 
-    An ordered fold by (window, subject, event): one stream over events only, never over posts; its state is the list of
-    global events itself.
+    Which global event takes a subject event in depends on all before it, by (window, subject, event): one ordered stream over
+    the events' keys and vectors only, whose state is the centres of the global events. It is run once and written; titles,
+    posts, subjects and windows are gathered from its result in parallel.
     """
     order = ["window", "subject_idx", "event_no"]
 
-    def fold(batches: Iterator[pd.DataFrame], finals: bool) -> Iterator[pd.DataFrame]:
-        registry = Registry(threshold)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = GlobalEvents(threshold)
         for pdf in batches:
-            numbers = [registry.add(int(x.subject_idx), int(x.window), list(x.titles), list(x.post_ids), x.vector) for x in pdf.itertuples(index=False)]
-            if not finals:
-                yield pdf[["subject_idx", "window", "event_no"]].assign(number=numbers)
-        if finals:
-            rows = [{"event_number": i + 1, "titles": list(e["titles"]), "subjects": sorted(e["subjects"]), "windows": sorted(e["windows"]), "post_ids": sorted(e["post_ids"]), "vector": registry.vectors[i], "n": e["n"]} for i, e in enumerate(registry.events)]
-            yield pd.DataFrame(rows, columns=["event_number", "titles", "subjects", "windows", "post_ids", "vector", "n"])
-
-    every = events.select(*order, "titles", "post_ids", "vector").where("vector is not null").repartition(1).sortWithinPartitions(*order)
-    bridge = every.mapInPandas(lambda b: fold(b, False), "subject_idx int, window bigint, event_no int, number int")
-    return every.mapInPandas(lambda b: fold(b, True), FINAL_EVENTS), bridge
+            if len(pdf):
+                numbers = known.join(np.stack(pdf["vector"].to_list()))
+                yield pdf[order].assign(number=numbers, n=None, centre=None)
+        rows = [{"number": k + 1, "n": int(n), "centre": c} for k, (n, c) in enumerate(zip(known.sizes, known.centres))]
+        yield pd.DataFrame(rows, columns=[*order, "number", "n", "centre"])
+
+    every = events.where("vector is not null")
+    keys = every.select(*order, "vector").repartition(1).sortWithinPartitions(*order)
+    joined = materialize(keys.mapInPandas(fold, "window bigint, subject_idx int, event_no int, number int, n int, centre array<float>"), "registered")
+    bridge = joined.where("n is null").select("subject_idx", "window", "event_no", "number")
+    none = F.array().cast("array<string>")
+    held = every.join(bridge, order).select("number", *order, F.coalesce("titles", none).alias("titles"), F.coalesce("post_ids", F.array().cast("array<bigint>")).alias("post_ids"))
+    parts = held.groupBy("number").agg(
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, "titles"))), lambda x: x["titles"]))).alias("titles"),
+        F.array_sort(F.collect_set("subject_idx")).alias("subjects"), F.array_sort(F.collect_set("window")).alias("windows"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("post_ids")))).alias("post_ids"),
+    )
+    centres = joined.where("n is not null").select("number", "n", F.col("centre").alias("vector"))
+    finals = parts.join(centres, "number").select(F.col("number").alias("event_number"), "titles", "subjects", "windows", "post_ids", "vector", "n")
+    return finals, bridge
 
 
 # -- describing clusters with tables: the exact-phrase mode --------------------------------------------------------

@@ -1,219 +1,223 @@
-"""The stream graph with merging: entities are found exactly, else by the nearest representative, else made anew, in the
-order of the stream. The result depends on that order, so each subject is one ordered fold; everything before it (windows,
-subjects, triples, embeddings of distinct phrases) and after it (describing events, sinks) is not.
+"""The stream graph with merging: a phrase stands for the entity that has it already, else for the nearest one, else for a new
+one, in the order of the stream. The result depends on that order, so each subject is one ordered fold; everything before it
+(windows, subjects, triples) and after it (sinks) is not.
+
+The fold works on columns, a stretch of triples at a time. Phrases that are known are looked up together. Only phrases that no
+living entity has yet, once each, are settled one after another, on similarities that one matrix product gives; a product is
+made again only for an entity that moved. Mentions, relations, scores, weights and descriptions are array operations.
 
 The fold holds one subject's living entities; forgetting keeps them to what is bursty now.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
 from rillgraph.config import Options
 from rillgraph.operators.cluster import clusters_of
 
+Embed = Callable[[str], np.ndarray]
+_TOGETHER = 512  # unknown phrases that are settled on one product
+
 
 def unit(v: np.ndarray) -> np.ndarray:
     length = float(np.linalg.norm(v))
     return v / length if length > 0 else v
 
 
-def burst_score(times: list[float], now: float, seconds: float, wmin: float, wmax: float) -> float:
-    """The closed form of :mod:`rillgraph.operators.burst` for one entity."""
-    if not times:
-        return 0.0
-    t = np.asarray(times)
-    m = max(1, int(np.ceil((now - t.min()) / seconds)))
-    if m == 1:
-        return 1.0
-    x = (wmax - wmin) * float(np.clip(np.floor((t - t.min()) / seconds), 0, m - 1).sum()) / (m - 1)
-    return (len(t) * wmin + x) / (len(t) * wmax - x)
-
-
-@dataclass
-class Entity:
-    total: np.ndarray
-    titles: Counter[str] = field(default_factory=Counter)
-    times: list[float] = field(default_factory=list)
-    posts: set[int] = field(default_factory=set)
+def _units(rows: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length > 0, length, 1)
 
-    @property
-    def title(self) -> str:
-        return max(self.titles, key=lambda t: self.titles[t])  # the first of the commonest
 
-    @property
-    def count(self) -> int:
-        return sum(self.titles.values())
+def burst_scores(entity: np.ndarray, times: np.ndarray, n: int, now: float, seconds: float, wmin: float, wmax: float) -> np.ndarray:
+    """The closed form of :mod:`rillgraph.operators.burst` for ``n`` entities, from the entity and time of every mention."""
+    count = np.bincount(entity, minlength=n)
+    first = np.full(n, np.inf)
+    np.minimum.at(first, entity, times)
+    m = np.maximum(1, np.ceil((now - np.where(count > 0, first, now)) / seconds))
+    place = np.clip(np.floor((times - first[entity]) / seconds), 0, m[entity] - 1)
+    x = (wmax - wmin) * np.bincount(entity, place, n) / np.maximum(m - 1, 1)
+    score = np.where(m <= 1, 1.0, (count * wmin + x) / np.where(m > 1, np.maximum(count * wmax - x, 1e-300), 1))
+    return np.where(count > 0, score, 0.0)
 
 
-class EntityIndex:
-    """Nodes or relation phrases of one subject."""
+class Phrases:
+    """Living entities of one kind, as columns: a sum of the vectors of their forms and that at unit length; and their mentions."""
 
     def __init__(self, threshold: float) -> None:
         self.threshold = threshold
-        self.items: list[Entity] = []
-        self.exact: dict[str, int] = {}
-        self.vectors = np.zeros((0, 0), "float32")
-
-    def _room(self, dim: int) -> None:
-        if len(self.items) >= len(self.vectors):
-            grown = np.zeros((max(64, 2 * len(self.vectors)), dim), "float32")
-            grown[: len(self.vectors)] = self.vectors[:, :dim] if self.vectors.size else grown[: len(self.vectors)]
-            self.vectors = grown
-
-    def upsert(self, phrase: str, vector: np.ndarray, when: float, pid: int) -> int:
-        """The entity's number, or -1 for an empty phrase. A new form moves the representative; the first counts twice."""
-        if not phrase:
-            return -1
-        at = self.exact.get(phrase)
-        if at is None:
-            n = len(self.items)
-            if n:
-                sims = self.vectors[:n] @ vector
-                best = int(sims.argmax())
-                at = best if 1.0 - float(sims[best]) < self.threshold else None
-            if at is None:
-                self._room(len(vector))
-                at = n
-                self.vectors[at] = vector
-                self.items.append(Entity(vector.astype("float32").copy()))
-            self.exact[phrase] = at
-        e = self.items[at]
-        if phrase not in e.titles:
-            e.total = e.total + vector
-            if np.linalg.norm(e.total) > 0:
-                self.vectors[at] = unit(e.total)
-        e.titles[phrase] += 1
-        e.times.append(when)
-        e.posts.add(pid)
-        return at
-
-    def keep(self, alive: list[int]) -> dict[int, int]:
-        """Forget the others; old numbers to new ones, in ascending order."""
-        new = {old: k for k, old in enumerate(sorted(alive))}
-        order = sorted(alive)
-        self.items = [self.items[i] for i in order]
-        self.vectors = self.vectors[order].copy() if len(order) else np.zeros((0, self.vectors.shape[1] if self.vectors.ndim == 2 else 0), "float32")
-        self.exact = {p: new[i] for p, i in self.exact.items() if i in new}
+        self.form_of: dict[str, int] = {}  # of the forms of living entities
+        self.forms: list[str] = []
+        self.owner = np.empty(0, "int64")  # the entity of each form, -1 once forgotten
+        self.sums = self.place = np.zeros((0, 0), "float32")
+        self.m_entity, self.m_form, self.m_pid = (np.empty(0, "int64") for _ in range(3))
+        self.m_time = np.empty(0)
+
+    def __len__(self) -> int:
+        return len(self.sums)
+
+    def mention(self, phrases: Sequence[str], times: np.ndarray, pids: np.ndarray, vector: Embed) -> np.ndarray:
+        """The entity of each phrase, in order; -1 for empty ones. New forms move their entity; a first form counts twice."""
+        names = list(dict.fromkeys(phrases))
+        unknown = [p for p in names if p and p not in self.form_of]
+        for lo in range(0, len(unknown), _TOGETHER):
+            self._settle(unknown[lo : lo + _TOGETHER], vector)
+        at = dict(zip(names, range(len(names))))
+        known = np.array([self.form_of.get(p, -1) for p in names], "int64")
+        form = known[[at[p] for p in phrases]] if len(phrases) else np.empty(0, "int64")
+        real = form >= 0
+        entity = np.where(real, self.owner[form], -1) if len(self.owner) else form
+        for name, more in (("m_entity", entity), ("m_form", form), ("m_time", times), ("m_pid", pids)):
+            setattr(self, name, np.concatenate([getattr(self, name), np.asarray(more)[real]]))
+        return entity
+
+    def _settle(self, unknown: list[str], vector: Embed) -> None:
+        v = np.stack([vector(p) for p in unknown]).astype("float32")
+        n, m = len(self), len(unknown)
+        grow = lambda x: np.concatenate([x if len(x) else np.zeros((0, v.shape[1]), "float32"), np.zeros((m, v.shape[1]), "float32")])
+        sums, place = grow(self.sums), grow(self.place)
+        alike = np.empty((n + m, m), "float32")
+        alike[:n] = place[:n] @ v.T
+        owner = np.empty(m, "int64")
+        for i in range(m):
+            best = int(alike[:n, i].argmax()) if n else -1
+            if best < 0 or 1.0 - float(alike[best, i]) >= self.threshold:
+                best, n = n, n + 1
+                sums[best] = place[best] = v[i]
+            sums[best] += v[i]
+            if np.linalg.norm(sums[best]) > 0:
+                place[best] = unit(sums[best])
+            alike[best, i + 1 :] = v[i + 1 :] @ place[best]
+            owner[i] = best
+        self.sums, self.place = sums[:n], place[:n]
+        self.form_of |= zip(unknown, range(len(self.forms), len(self.forms) + m))
+        self.forms += unknown
+        self.owner = np.concatenate([self.owner, owner])
+
+    def scores(self, now: float, o: Options) -> np.ndarray:
+        return burst_scores(self.m_entity, self.m_time, len(self), now, o.ts_seconds, o.weight_min, o.weight_max)
+
+    def forget(self, alive: np.ndarray) -> np.ndarray:
+        """Keep what is ``alive``; the new number of every old entity, -1 for those that are gone."""
+        new = np.where(alive, np.cumsum(alive) - 1, -1)
+        kept = self.owner >= 0
+        kept[kept] = alive[self.owner[kept]]
+        renamed = np.where(kept, np.cumsum(kept) - 1, -1)
+        self.forms = [p for p, k in zip(self.forms, kept) if k]
+        self.form_of = dict(zip(self.forms, range(len(self.forms))))
+        self.owner = new[self.owner[kept]]
+        self.sums, self.place = self.sums[alive], self.place[alive]
+        stay = alive[self.m_entity]
+        self.m_entity, self.m_form, self.m_time, self.m_pid = new[self.m_entity[stay]], renamed[self.m_form[stay]], self.m_time[stay], self.m_pid[stay]
         return new
 
+    def titles(self) -> list[str]:
+        """The commonest form of every entity, the one mentioned first among equals."""
+        count = np.bincount(self.m_form, minlength=len(self.forms))
+        first = np.full(len(self.forms), len(self.m_form))
+        np.minimum.at(first, self.m_form, np.arange(len(self.m_form)))
+        order = np.lexsort((first, -count, self.owner))
+        head = np.flatnonzero(np.r_[True, self.owner[order][1:] != self.owner[order][:-1]]) if len(order) else []
+        return [self.forms[f] for f in order[head]]
 
-class StreamGraph:
-    """Entities and timed relations of one subject."""
+
+class SubjectFold:
+    """What one subject's graph is after the stream so far."""
 
     def __init__(self, options: Options) -> None:
         self.options = options
-        self.nodes, self.edges = EntityIndex(options.t_n), EntityIndex(options.t_e)
-        self.relations: list[tuple[int, int, int, float, int]] = []
-
-    def feed(self, triples: Iterable[tuple[str, str, str]], vector: Callable[[str], np.ndarray], when: float, pid: int) -> int:
-        """Merge head, tail, then relation of each triple; the number of relations added."""
-        added = 0
-        for h, r, o in triples:
-            a = self.nodes.upsert(h, vector(h), when, pid)
-            b = self.nodes.upsert(o, vector(o), when, pid)
-            e = self.edges.upsert(r, vector(r), when, pid)
-            if min(a, b, e) >= 0 and a != b:
-                self.relations.append((a, e, b, when, pid))
-                added += 1
-        return added
-
-    def score(self, now: float) -> tuple[list[float], list[float]]:
+        self.nodes, self.edges = Phrases(options.t_n), Phrases(options.t_e)
+        self.relations = np.empty((0, 3), "int64")  # head, relation phrase, tail
+
+    def take(self, heads: Sequence[str], relations: Sequence[str], tails: Sequence[str], times: np.ndarray, pids: np.ndarray, vector: Embed) -> int:
+        """Merge the triples of a stretch of the stream, head before tail; the number of relations added."""
+        both = [p for pair in zip(heads, tails) for p in pair]
+        ends = self.nodes.mention(both, np.repeat(times, 2), np.repeat(pids, 2), vector).reshape(-1, 2)
+        by = self.edges.mention(relations, times, pids, vector)
+        real = (ends >= 0).all(1) & (by >= 0) & (ends[:, 0] != ends[:, 1])
+        self.relations = np.concatenate([self.relations, np.stack([ends[:, 0], by, ends[:, 1]], 1)[real]])
+        return int(real.sum())
+
+    def end_window(self, ordinal: int, now: float, raw: Embed) -> list[dict]:
+        """Score, forget, detect: the events of a window, the highest score first."""
         o = self.options
-        of = lambda index: [burst_score(e.times, now, o.ts_seconds, o.weight_min, o.weight_max) for e in index.items]
-        return of(self.nodes), of(self.edges)
-
-    def prune(self, node_alive: list[int], edge_alive: list[int]) -> None:
-        nodes, edges = self.nodes.keep(node_alive), self.edges.keep(edge_alive)
-        self.relations = [(nodes[a], edges[e], nodes[b], t, p) for a, e, b, t, p in self.relations if a in nodes and b in nodes and e in edges]
-
-    def pair_weights(self, edge_scores: list[float]) -> list[tuple[int, int, float]]:
-        best: dict[tuple[int, int], float] = {}
-        for a, e, b, *_ in self.relations:
-            k = (min(a, b), max(a, b))
-            best[k] = max(best.get(k, 0.0), edge_scores[e])
-        return [(a, b, w) for (a, b), w in best.items()]
-
-    def detect(self, node_scores: list[float], edge_scores: list[float], raw: Callable[[str], np.ndarray]) -> list[dict]:
-        """Clusters of two nodes or more, described, the highest score first."""
+        if not len(self.nodes):
+            return []
+        node_scores, edge_scores = self.nodes.scores(now, o), self.edges.scores(now, o)
+        if ordinal % max(1, o.forget_every) == 0:
+            alive = node_scores >= o.t_d, edge_scores >= o.t_d
+            self.keep(*alive)
+            node_scores, edge_scores = node_scores[alive[0]], edge_scores[alive[1]]
+        return self.events(node_scores, edge_scores, raw) if len(self.nodes) else []
+
+    def keep(self, nodes: np.ndarray, edges: np.ndarray) -> None:
+        """Forget all other entities, and relations that lose one."""
+        new = self.nodes.forget(nodes), self.edges.forget(edges)
+        r = np.stack([new[k][self.relations[:, c]] for c, k in enumerate((0, 1, 0))], 1)
+        self.relations = r[(r >= 0).all(1)]
+
+    def weights(self, edge_scores: np.ndarray) -> list[tuple[int, int, float]]:
+        """Of each pair of nodes the best score of its relation phrases, 0 at least, in the order of first relations."""
+        low, high = self.relations[:, [0, 2]].min(1), self.relations[:, [0, 2]].max(1)
+        pair, first, of = np.unique(low * (len(self.nodes) + 1) + high, return_index=True, return_inverse=True)
+        best = np.zeros(len(pair))
+        np.maximum.at(best, of, edge_scores[self.relations[:, 1]])
+        return [(int(low[first[k]]), int(high[first[k]]), float(best[k])) for k in np.argsort(first)]
+
+    def events(self, node_scores: np.ndarray, edge_scores: np.ndarray, raw: Embed) -> list[dict]:
+        """Clusters of enough nodes, described."""
         o = self.options
-        n = len(self.nodes.items)
         extra = {"seed": o.seed} if o.clustering != "hcluster" else {"distance": o.hcluster_distance}
         if o.clustering == "spectral":
             extra["clusters"] = o.spectral_clusters
-        groups = clusters_of(o.clustering, n, self.pair_weights(edge_scores), self.nodes.vectors[:n], **extra)
-        events = [self._describe(g, node_scores, raw) for g in groups if len(g) >= o.min_event_size]
-        return sorted(events, key=lambda e: -e["score"])
-
-    def _describe(self, group: list[int], node_scores: list[float], raw: Callable[[str], np.ndarray]) -> dict:
-        k, inside = self.options.titles_per_event, set(group)
-        centre = unit(self.nodes.vectors[group].mean(0))
-        rows = [x for x in self.relations if x[0] in inside and x[2] in inside]
-        near = [float(unit(self.nodes.vectors[a] + self.edges.vectors[e] + self.nodes.vectors[b]) @ centre) for a, e, b, *_ in rows]
-        picked = [rows[i] for i in sorted(range(len(rows)), key=lambda i: (-near[i], i))[:k]]
-        forms = [[x for x in (self.nodes.items[a].title, self.edges.items[e].title, self.nodes.items[b].title) if x] for a, e, b, *_ in picked]
-        titles = list(dict.fromkeys(" ".join(f) for f in forms))
-        members = forms[0] if forms else [t for i in group[:k] if (t := self.nodes.items[i].title)]
-        titles = titles or members
-        finite = [node_scores[i] for i in group if np.isfinite(node_scores[i])]
-        top = sorted(group, key=lambda i: (self.nodes.items[i].count, i), reverse=True)[: max(1, k)]
-        vector = np.mean([raw(m) for m in members], 0).astype("float32") if members else np.zeros(self.nodes.vectors.shape[1], "float32")
+        groups = clusters_of(o.clustering, len(self.nodes), self.weights(edge_scores), self.nodes.place, **extra)
+        groups = [np.array(g) for g in groups if len(g) >= o.min_event_size]
+        cluster = np.full(len(self.nodes), -1)
+        for k, g in enumerate(groups):
+            cluster[g] = k
+        titles, count = (self.nodes.titles(), self.edges.titles()), np.bincount(self.nodes.m_entity, minlength=len(self.nodes))
+        inner = np.where(cluster[self.relations[:, 0]] == cluster[self.relations[:, 2]], cluster[self.relations[:, 0]], -1)
+        found = [self._described(g, self.relations[inner == k], self.nodes.m_pid[cluster[self.nodes.m_entity] == k], titles, count, node_scores, raw) for k, g in enumerate(groups)]
+        return sorted(found, key=lambda e: -e["score"])
+
+    def _described(self, group: np.ndarray, rows: np.ndarray, pids: np.ndarray, titles: tuple[list[str], list[str]], count: np.ndarray, scores: np.ndarray, raw: Embed) -> dict:
+        k, (names, links) = self.options.titles_per_event, titles
+        near = _units(self.nodes.place[rows[:, 0]] + self.edges.place[rows[:, 1]] + self.nodes.place[rows[:, 2]]) @ unit(self.nodes.place[group].mean(0)) if len(rows) else np.empty(0)
+        picked = rows[np.argsort(-near, kind="stable")[:k]].tolist()
+        forms = [[x for x in (names[a], links[e], names[b]) if x] for a, e, b in picked]
+        members = forms[0] if forms else [names[i] for i in group[:k].tolist() if names[i]]
+        finite = scores[group][np.isfinite(scores[group])]
+        top = group[np.lexsort((-group, -count[group]))][: max(1, k)].tolist()
         return {
-            "nodes": list(group), "titles": titles, "post_ids": sorted(set().union(*(self.nodes.items[i].posts for i in group))),
-            "score": float(np.mean(finite)) if finite else 0.0, "vector": vector, "keywords": list(dict.fromkeys(self.nodes.items[i].title for i in top)),
+            "nodes": group.tolist(), "titles": list(dict.fromkeys(" ".join(f) for f in forms)) or members, "post_ids": np.unique(pids).tolist(),
+            "score": float(finite.mean()) if len(finite) else 0.0, "keywords": list(dict.fromkeys(names[i] for i in top)),
+            "vector": np.mean([raw(x) for x in members], 0).astype("float32") if members else np.zeros(self.nodes.place.shape[1], "float32"),
         }
 
-    def close_window(self, ordinal: int, now: float, raw: Callable[[str], np.ndarray]) -> list[dict]:
-        """Score, forget, detect: what happens at the end of a window."""
-        if not self.nodes.items:
-            return []
-        node_scores, edge_scores = self.score(now)
-        if ordinal % max(1, self.options.forget_every) == 0:
-            nodes = [i for i, s in enumerate(node_scores) if s >= self.options.t_d]
-            edges = [i for i, s in enumerate(edge_scores) if s >= self.options.t_d]
-            node_scores, edge_scores = [node_scores[i] for i in nodes], [edge_scores[i] for i in edges]
-            self.prune(nodes, edges)
-            if not self.nodes.items:
-                return []
-        return self.detect(node_scores, edge_scores, raw)
-
 
-class Registry:
-    """The global events: each subject event joins the nearest one within the threshold, else opens one."""
+class GlobalEvents:
+    """Centres of the global events: each vector joins the nearest centre within the threshold, else opens one."""
 
     def __init__(self, threshold: float) -> None:
         self.threshold = threshold
-        self.events: list[dict] = []
-        self.vectors = np.zeros((0, 0), "float32")
-
-    def add(self, subject: int, window: int, titles: list[str], post_ids: list[int], vector: np.ndarray) -> int:
-        """The number, from 1, of the event that took it in."""
-        v = np.asarray(vector, "float32")
-        n = len(self.events)
-        at = None
-        if n:
-            d = np.linalg.norm(self.vectors[:n] - v, axis=1)
-            at = int(d.argmin()) if d.min() < self.threshold else None
-        if at is None:
-            if n >= len(self.vectors):
-                grown = np.zeros((max(64, 2 * n), len(v)), "float32")
-                grown[:n] = self.vectors[:n] if n else grown[:n]
-                self.vectors = grown
-            self.events.append({"titles": {}, "subjects": set(), "windows": set(), "post_ids": set(), "n": 0})
-            at = n
-        e = self.events[at]
-        e["n"] += 1
-        share = np.float32(1 / e["n"])
-        self.vectors[at] = self.vectors[at] * np.float32((e["n"] - 1) / e["n"]) + v * share
-        e["titles"] |= dict.fromkeys(titles)
-        e["subjects"].add(subject)
-        e["windows"].add(window)
-        e["post_ids"] |= set(post_ids)
-        return at + 1
-
-    def titles_of(self, number: int) -> list[str]:
-        return list(self.events[number - 1]["titles"]) if 1 <= number <= len(self.events) else []
+        self.centres = np.zeros((0, 0), "float32")
+        self.sizes = np.empty(0, "int64")
+
+    def join(self, vectors: np.ndarray) -> np.ndarray:
+        """The number, from 1, of the global event of each vector, in order. A centre is the mean of what joined it."""
+        v = np.asarray(vectors, "float32")
+        n, m = len(self.sizes), len(v)
+        centres = np.concatenate([self.centres if n else np.zeros((0, v.shape[1]), "float32"), np.zeros_like(v)])
+        sizes, numbers = np.r_[self.sizes, np.zeros(m, "int64")], np.empty(m, "int64")
+        for i in range(m):
+            far = np.linalg.norm(centres[:n] - v[i], axis=1)
+            at = int(far.argmin()) if n and far.min() < self.threshold else n
+            n += at == n
+            sizes[at] += 1
+            centres[at] = centres[at] * np.float32((sizes[at] - 1) / sizes[at]) + v[i] * np.float32(1 / sizes[at])
+            numbers[i] = at + 1
+        self.centres, self.sizes = centres[:n], sizes[:n]
+        return numbers

@@ -57,7 +57,7 @@ def run(posts: DataFrame, classifier: subjects.SubjectClassifier, options: Optio
     clock = materialize(events.window_clock(posts), "clock")
     found = materialize(events.subject_events(placed, clock, o, embed), "events")
     finals, bridge = events.register(found, o.thresh_ts)
-    finals, bridge = materialize(finals, "finals"), materialize(bridge, "bridge")
+    finals = materialize(finals, "finals")
     numbered = found.join(bridge, ["subject_idx", "window", "event_no"])
     named = numbered.withColumn("titles", events.all_strings("titles", "keywords"))
     stats = posts.agg(F.count("*").alias("n_posts"), F.count_distinct("window").alias("n_windows")).join(F.broadcast(finals.agg(F.count("*").alias("n_events")))).join(F.broadcast(graph.relations(placed).agg(F.count("*").alias("n_relations"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 from rillgraph.config import Options
 from rillgraph.functions.text import epoch_seconds, normalise_phrase
 from rillgraph.operators import events, graph, triples
-from rillgraph.operators.fold import Registry, StreamGraph, unit
+from rillgraph.operators.fold import GlobalEvents, SubjectFold, unit
 from rillgraph.operators.subjects import SubjectClassifier, assign_subjects, labelled_posts
+from rillgraph.operators.windows import distinct_posts
+from rillgraph.plans.files import children, exists
+from rillgraph.plans.materialize import materialize
 from rillgraph.schemas import SUBJECT_EVENTS
 
 STATE = "subject_idx int, state binary"
+PROGRESS = "done bigint, closed bigint, late bigint"
 
 
 def read_posts(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -40,8 +45,9 @@ def streamed_mentions(posts: DataFrame) -> DataFrame:
 class EventStream:
     """The sink of a stream: ``posts.writeStream.foreachBatch(EventStream(...).process)``.
 
-    A batch holds the posts of whole windows (column ``window``), in order. State is written per batch and read from the
-    batch before, so a batch that is run again after a failure gives the same result.
+    A batch holds the posts of whole windows (column ``window``), in order. Posts delivered twice count once. Windows that an
+    earlier batch has closed are over: posts that come later for them are counted in ``late`` and left out. State is written
+    per batch and read from the batch before, so a batch that is run again after a failure gives the same result.
     """
 
     def __init__(self, classifier: SubjectClassifier, options: Options, folder: str, embed: Callable | None = None) -> None:
@@ -49,26 +55,30 @@ class EventStream:
 
     def process(self, posts: DataFrame, batch: int) -> None:
         spark = posts.sparkSession
+        done, closed, late = self._progress(spark, batch)
+        every, posts = posts, distinct_posts(posts.where(F.col("window") > closed))
+        posts = materialize(posts.drop("late"), "stream-posts")
+        late += every.where(F.col("window") <= closed).count()
         if posts.isEmpty():
-            return self._carry(spark, batch)
+            return self._carry(spark, batch, late)
         assigned = assign_subjects(self.classifier.scores(posts), self.options.thresh_ps)
         kept = labelled_posts(posts, assigned)
         placed = graph.placed_triples(kept, assigned, triples.extract(kept, most=self.options.kg_max_triples_per_post).select("pid", "triples")).join(posts.select("pid", "window"), "pid")
         rows = placed.select("subject_idx", "window", "pid", "t", "pos", *(normalise_phrase(F.col(c)).alias(c) for c in "hro"))
-        done = self._ordinals(spark, batch)
         clock = posts.groupBy("window").agg(F.max(epoch_seconds("dt")).alias("now")).orderBy("window").collect()
         ticks = [(r["window"], done + k + 1, r["now"]) for k, r in enumerate(clock)]
         options, embed = self.options, self.embed
 
         def fold(key: tuple, state: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-            stream = pickle.loads(state["state"][0]) if len(state) else StreamGraph(options)
+            stream = pickle.loads(state["state"][0]) if len(state) else SubjectFold(options)
             raw = events.phrase_embedder(options, embed)
             of = dict(list(pdf.sort_values(["window", "t", "pid", "pos"], kind="stable").groupby("window", sort=False)))
             out = []
             for window, ordinal, now in ticks:
-                for x in of[window].itertuples(index=False) if window in of else ():
-                    stream.feed([(x.h, x.r, x.o)], lambda p: unit(raw(p)), x.t, x.pid)
-                for k, e in enumerate(stream.close_window(ordinal, now, raw)):
+                if window in of:
+                    x = of[window]
+                    stream.take(x["h"].tolist(), x["r"].tolist(), x["o"].tolist(), x["t"].to_numpy(), x["pid"].to_numpy(), lambda p: unit(raw(p)))
+                for k, e in enumerate(stream.end_window(ordinal, now, raw)):
                     out.append({"subject_idx": key[0], "window": window, "event_no": k} | e)
             return pd.DataFrame({"subject_idx": [key[0]], "state": [pickle.dumps(stream)], "events": [pickle.dumps(out)]})
 
@@ -83,33 +93,55 @@ class EventStream:
                     yield pd.DataFrame(pickle.loads(blob), columns=events.EVENT_COLUMNS)
 
         new.select("events").mapInPandas(unpacked, SUBJECT_EVENTS).write.mode("overwrite").parquet(f"{self.folder}/events/batch={batch}")
-        spark.createDataFrame([(done + len(ticks),)], "done int").write.mode("overwrite").parquet(f"{self.folder}/windows/{batch}")
+        progress = (done + len(ticks), max(t[0] for t in ticks), late)
+        spark.createDataFrame([progress], PROGRESS).write.mode("overwrite").parquet(f"{self.folder}/windows/{batch}")
 
     def _previous(self, spark: SparkSession, kind: str, batch: int, schema: str) -> DataFrame:
-        try:
-            return spark.read.parquet(f"{self.folder}/{kind}/{batch - 1}")
-        except Exception:  # the first batch
-            return spark.createDataFrame([], schema)
+        path = f"{self.folder}/{kind}/{batch - 1}"
+        if batch > 0 and not exists(spark, path):  # a lost table must not restart every subject with an empty graph
+            raise RuntimeError(f"no {kind} of the batch before {batch}: {path}")
+        return spark.read.parquet(path) if batch > 0 else spark.createDataFrame([], schema)
 
     def _state(self, spark: SparkSession, batch: int) -> DataFrame:
         return self._previous(spark, "state", batch, STATE)
 
-    def _ordinals(self, spark: SparkSession, batch: int) -> int:
-        rows = self._previous(spark, "windows", batch, "done int").collect()
-        return rows[0]["done"] if rows else 0
+    def _progress(self, spark: SparkSession, batch: int) -> tuple[int, int, int]:
+        """Windows closed so far, the last of them, and posts that came too late."""
+        rows = self._previous(spark, "windows", batch, PROGRESS).collect()
+        return tuple(rows[0]) if rows else (0, -(2**62), 0)
 
-    def _carry(self, spark: SparkSession, batch: int) -> None:
+    def _carry(self, spark: SparkSession, batch: int, late: int) -> None:
+        done, closed, _ = self._progress(spark, batch)
         self._state(spark, batch).select("subject_idx", "state").write.mode("overwrite").parquet(f"{self.folder}/state/{batch}")
-        spark.createDataFrame([(self._ordinals(spark, batch),)], "done int").write.mode("overwrite").parquet(f"{self.folder}/windows/{batch}")
+        spark.createDataFrame([(done, closed, late)], PROGRESS).write.mode("overwrite").parquet(f"{self.folder}/windows/{batch}")
 
     def events(self, spark: SparkSession) -> DataFrame:
         """The events of all batches so far."""
         return spark.read.parquet(f"{self.folder}/events").drop("batch")
 
 
-def running_registry(found: DataFrame, threshold: float) -> Registry:
-    """The global events after the events so far: a small ordered fold on the driver, over events streamed in order."""
-    registry = Registry(threshold)
-    for e in found.orderBy("window", "subject_idx", "event_no").toLocalIterator():
-        registry.add(e["subject_idx"], e["window"], e["titles"], e["post_ids"], e["vector"])
-    return registry
+
+class RunningRegistry:
+    """Global events of a stream: each call takes the batches in that are new since the last, in order; the centres are kept in
+    the sink's folder, so a restart goes on where it stopped."""
+
+    def __init__(self, sink: EventStream, threshold: float) -> None:
+        self.sink, self.threshold = sink, threshold
+
+    def update(self, spark: SparkSession) -> GlobalEvents:
+        root = f"{self.sink.folder}/registry"
+        done = max((int(n) for n in children(spark, root) if exists(spark, f"{root}/{n}/_SUCCESS")), default=-1)
+        known = GlobalEvents(self.threshold)
+        if done >= 0:
+            rows = spark.read.parquet(f"{root}/{done}").orderBy("number").toPandas()
+            if len(rows):
+                known.centres, known.sizes = np.stack(rows["centre"].to_list()).astype("float32"), rows["n"].to_numpy("int64")
+        batches = sorted(int(n.removeprefix("batch=")) for n in children(spark, f"{self.sink.folder}/events") if n.startswith("batch="))
+        for batch in (b for b in batches if b > done):
+            found = spark.read.parquet(f"{self.sink.folder}/events/batch={batch}").where("vector is not null").orderBy("window", "subject_idx", "event_no")
+            vectors = found.select("vector").toPandas()["vector"].to_list()  # the new events of one batch
+            if vectors:
+                known.join(np.stack(vectors))
+            rows = [(k + 1, int(n), c.tolist()) for k, (n, c) in enumerate(zip(known.sizes, known.centres))]
+            spark.createDataFrame(rows, "number int, n int, centre array<float>").write.mode("overwrite").parquet(f"{root}/{batch}")
+        return known

@@ -146,6 +146,16 @@ def test_survivors_and_filter(spark):
     assert burst.least_mentions(1.2) == 3 and burst.least_mentions(0.9) == 1 and burst.least_mentions(11) == 1
 
 
+def brute_score(times, now, seconds=60, wmin=0.1, wmax=1.0):
+    if not times:
+        return 0.0
+    m = max(1, math.ceil((now - min(times)) / seconds))
+    if m == 1:
+        return 1.0
+    x = (wmax - wmin) * sum(min(max(math.floor((t - min(times)) / seconds), 0), m - 1) for t in times) / (m - 1)
+    return (len(times) * wmin + x) / (len(times) * wmax - x)
+
+
 def test_forgetting_fold_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows, clock = [], []
@@ -159,7 +169,7 @@ def test_forgetting_fold_against_brute_force(spark):
         held = []
         for w, _, now in clock:
             held += [r[4] for r in rows if r[2] == e and r[3] == w]
-            if held and (s := fold.burst_score(held, now, 60, 0.1, 1.0)) >= 1.05:
+            if held and (s := brute_score(held, now)) >= 1.05:
                 want[e, w] = (len(held), min(held), round(s, 9))
             else:
                 held = []
@@ -341,50 +351,93 @@ def unit_of(p):
     return fold.unit(vectors.hashed_vector(p, 128))
 
 
+def taken(g, triples, t, pid):
+    h, r, o = zip(*triples)
+    return g.take(h, r, o, np.full(len(h), float(t)), np.full(len(h), pid), unit_of)
+
+
 def test_fold_merges():
-    g = fold.StreamGraph(Options(t_n=0.1, t_e=0.1))
-    assert g.feed([("علی", "رفت", "خانه")], unit_of, 1.0, 1) == 1
-    assert (len(g.nodes.items), len(g.edges.items), len(g.relations)) == (2, 1, 1)
-    g.feed([("علی", "رفت", "خانه")], unit_of, 2.0, 2)
-    assert len(g.nodes.items) == 2 and g.nodes.items[0].count == 2 and g.nodes.items[0].posts == {1, 2}
-    apart = fold.StreamGraph(Options(t_n=0.0, t_e=0.0))
-    apart.feed([("کتاب", "r", "کتابی"), ("کتابها", "r", "خانه")], unit_of, 1.0, 1)
-    assert len(apart.nodes.items) == 4
-    loose = fold.StreamGraph(Options(t_n=0.9, t_e=0.9))
-    loose.feed([("کتاب", "r", "میز"), ("کتابها", "r", "میزها")], unit_of, 1.0, 1)
-    assert len(loose.nodes.items) == 2
-    assert g.nodes.upsert("", unit_of(""), 1.0, 1) == -1
-    g.prune([1], [0])
-    assert [e.title for e in g.nodes.items] == ["خانه"] and g.relations == [] and g.nodes.exact == {"خانه": 0}
+    g = fold.SubjectFold(Options(t_n=0.1, t_e=0.1))
+    assert taken(g, [("علی", "رفت", "خانه")], 1, 1) == 1
+    assert (len(g.nodes), len(g.edges), len(g.relations)) == (2, 1, 1)
+    taken(g, [("علی", "رفت", "خانه"), ("", "رفت", "خانه")], 2, 2)
+    assert len(g.nodes) == 2 and np.bincount(g.nodes.m_entity).tolist() == [2, 3] and set(g.nodes.m_pid[g.nodes.m_entity == 0]) == {1, 2} and len(g.relations) == 2
+    apart = fold.SubjectFold(Options(t_n=0.0, t_e=0.0))
+    taken(apart, [("کتاب", "r", "کتابی"), ("کتابها", "r", "خانه")], 1, 1)
+    assert len(apart.nodes) == 4
+    loose = fold.SubjectFold(Options(t_n=0.9, t_e=0.9))
+    taken(loose, [("کتاب", "r", "میز"), ("کتابها", "r", "میزها")], 1, 1)
+    assert len(loose.nodes) == 2
+    g.keep(np.array([False, True]), np.array([True]))
+    assert g.nodes.titles() == ["خانه"] and len(g.relations) == 0 and g.nodes.form_of == {"خانه": 0}
 
 
 def test_first_form_counts_twice():
-    index = fold.EntityIndex(2.1)
-    a, b = np.array([1.0, 0.0], "float32"), np.array([0.0, 1.0], "float32")
-    index.upsert("a", a, 0.0, 1)
-    index.upsert("b", b, 0.0, 1)
-    assert np.allclose(index.items[0].total, [2.0, 1.0]) and np.allclose(index.vectors[0], fold.unit(np.array([2.0, 1.0])))
+    index, of = fold.Phrases(2.1), {"a": np.array([1.0, 0.0], "float32"), "b": np.array([0.0, 1.0], "float32")}
+    index.mention(["a", "b"], np.zeros(2), np.ones(2, "int64"), of.get)
+    assert np.allclose(index.sums[0], [2.0, 1.0]) and np.allclose(index.place[0], fold.unit(np.array([2.0, 1.0])))
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 0.7])
+@pytest.mark.parametrize("together", [1, 4, 512])
+def test_phrases_settle_as_one_by_one(threshold, together, monkeypatch):
+    """In stretches of any length, as a plain loop over single mentions does it."""
+    monkeypatch.setattr(fold, "_TOGETHER", together)
+    rng = np.random.default_rng(5)
+    names = ["".join(rng.choice(list("abcd"), 4)) for _ in range(60)]
+    stream = [str(x) for x in rng.choice(names, 200)]
+    index, lo, got = fold.Phrases(threshold), 0, []
+    while lo < len(stream):
+        hi = lo + int(rng.integers(1, 30))
+        part = stream[lo:hi]
+        got += index.mention(part, np.zeros(len(part)), np.ones(len(part), "int64"), unit_of).tolist()
+        lo = hi
+    sums, places, known, want = [], [], {}, []
+    for p in stream:
+        if p not in known:
+            near = [float(c @ unit_of(p)) for c in places]
+            best = int(np.argmax(near)) if near else -1
+            if best < 0 or 1 - near[best] >= threshold:
+                best = len(sums)
+                sums.append(unit_of(p).copy())
+                places.append(None)
+            sums[best] = sums[best] + unit_of(p)
+            places[best] = fold.unit(sums[best])
+            known[p] = best
+        want.append(known[p])
+    assert got == want
+
+
+def test_scores_of_columns():
+    rng = np.random.default_rng(6)
+    entity, times = rng.integers(0, 9, 80), rng.uniform(0, 1000, 80).round()
+    got = fold.burst_scores(entity, times, 10, 1100.0, 60, 0.1, 1.0)
+    assert np.allclose(got, [brute_score(times[entity == k].tolist(), 1100.0) for k in range(10)])
 
 
 def test_detect_and_registry():
-    g = fold.StreamGraph(Options(t_n=0.0, t_e=0.0))
-    g.feed([("a", "r", "b"), ("b", "r", "c")], unit_of, 1.0, 7)
-    found = g.detect([1.0, 1.0, 1.0], [1.5], lambda p: vectors.hashed_vector(p, 128))
+    g = fold.SubjectFold(Options(t_n=0.0, t_e=0.0))
+    taken(g, [("a", "r", "b"), ("b", "r", "c")], 1, 7)
+    found = g.events(np.ones(3), np.array([1.5]), lambda p: vectors.hashed_vector(p, 128))
     assert len(found) == 1 and found[0]["post_ids"] == [7] and found[0]["nodes"] == [0, 1, 2] and found[0]["keywords"] == ["b", "c", "a"]
-    r = fold.Registry(2.0)
-    assert [r.add(s, 1, [t], [p], np.array(v)) for s, t, p, v in ((0, "x", 1, [5.0, 0, 0]), (1, "y", 2, [5.0, 0.5, 0.5]), (2, "z", 3, [2.0, 0, 0]))] == [1, 1, 2]
-    assert r.titles_of(1) == ["x", "y"] and r.titles_of(9) == [] and np.allclose(r.vectors[0], [5.0, 0.25, 0.25])
+    r = fold.GlobalEvents(2.0)
+    assert r.join(np.array([[5.0, 0, 0], [5.0, 0.5, 0.5]])).tolist() == [1, 1] and r.join(np.array([[2.0, 0, 0]])).tolist() == [2]
+    assert np.allclose(r.centres[0], [5.0, 0.25, 0.25]) and r.sizes.tolist() == [2, 1]
 
 
 def test_register_matches_the_fold(spark):
     rng = np.random.default_rng(2)
-    rows = [(int(s), int(w), k, [f"t{k}"], [k], rng.normal(size=4).tolist()) for k, (s, w) in enumerate(rng.integers(0, 8, (40, 2)))]
+    rows = [(int(s), int(w), k, [f"t{k}", "t"], [k, 1], rng.normal(size=4).tolist()) for k, (s, w) in enumerate(rng.integers(0, 8, (40, 2)))]
     df = spark.createDataFrame(rows, "subject_idx int, window bigint, event_no int, titles array<string>, post_ids array<bigint>, vector array<float>")
     finals, bridge = events.register(df, 1.5)
-    r = fold.Registry(1.5)
-    want = {(s, w, k): r.add(s, w, t, p, np.array(v, "float32")) for s, w, k, t, p, v in sorted(rows, key=lambda x: (x[1], x[0], x[2]))}
-    assert {(b.subject_idx, b.window, b.event_no): b.number for b in bridge.collect()} == want
-    assert sum(f.n for f in finals.collect()) == 40 and finals.count() == len(r.events)
+    ordered = sorted(rows, key=lambda x: (x[1], x[0], x[2]))
+    numbers = fold.GlobalEvents(1.5).join(np.array([x[5] for x in ordered])).tolist()
+    assert {(b.subject_idx, b.window, b.event_no): b.number for b in bridge.collect()} == {x[:3]: k for x, k in zip(ordered, numbers)}
+    of = {f.event_number: f for f in finals.collect()}
+    for k in set(numbers):
+        own = [x for x, number in zip(ordered, numbers) if number == k]
+        assert of[k].n == len(own) and of[k].titles == list(dict.fromkeys(t for x in own for t in x[3])) and of[k].post_ids == sorted({p for x in own for p in x[4]})
+        assert of[k].windows == sorted({x[1] for x in own}) and np.allclose(of[k].vector, np.mean([x[5] for x in own], 0), atol=1e-5)
 
 
 # -- evaluation
