@@ -244,9 +244,9 @@ def near_duplicate_pairs(posts: DataFrame, threshold: float = 0.7, copies: int =
     first = equal
     for by in (["rep", "salt"], ["rep"]):
         first = first.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("pid"))).where(F.col("nth") <= copies)
-    first = materialize(first.select("rep", F.col("pid").alias("pid_a")), "near-first")
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    inside = equal.join(salted, ["rep", "salt"]).where("pid_a < pid").select("pid_a", F.col("pid").alias("pid_b"))
+    first, small = broadcast_if_small(materialize(first.select("rep", F.col("pid").alias("pid_a")), "near-first"), options.get("broadcast_rows", 200_000))
+    salted = first if small else first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    inside = equal.join(salted, ["rep"] if small else ["rep", "salt"]).where("pid_a < pid").select("pid_a", F.col("pid").alias("pid_b"))
     across = links.select("rep_a", "rep_b")
     for side in ("a", "b"):
         across = across.join(first.select(F.col("rep").alias(f"rep_{side}"), F.col("pid_a").alias(f"pid_{side}")), f"rep_{side}", "left")
