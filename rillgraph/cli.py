@@ -6,7 +6,6 @@ import argparse
 from dataclasses import fields
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from rillgraph.config import Options, options_from
 
@@ -16,10 +15,13 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("run", "graphs", "evaluate"):
         c = sub.add_parser(name)
-        c.add_argument("--posts", help="Parquet of posts")
+        c.add_argument("--posts", help="Parquet of posts, or an .npy corpus that is trusted")
         c.add_argument("--lexicon", help="Parquet of (subject_idx, term)")
         c.add_argument("--store", help="folder of the graph store, JSON lines")
         c.add_argument("--gold", help="Parquet of the gold standard")
+        c.add_argument("--score-cache", help="folder of a cache of subject scores")
+        c.add_argument("--all", action="store_true", help="every parameter set in the results folder (evaluate)")
+        c.add_argument("--compat", default="labels", choices=("labels", "chars"), help="how comma lists of labels are read (evaluate)")
         c.add_argument("--limit", type=int, help="first posts in order of time (graphs)")
         c.add_argument("--show", type=int, help="print so many stored graphs and stop (graphs)")
         c.add_argument("--subject-filter", action="store_true", help="only posts with a subject (graphs)")
@@ -29,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
             if isinstance(f.default, bool):
                 c.add_argument(flag, action=argparse.BooleanOptionalAction, default=None)
             else:
-                c.add_argument(flag, type=float if isinstance(f.default, float) else int if isinstance(f.default, int) or f.name == "max_windows" else str, default=None)
+                c.add_argument(flag, type=float if isinstance(f.default, float) else int if isinstance(f.default, int) or f.name == "max_windows" else float if f.name == "kg_temperature" else str, default=None)
     return p
 
 
@@ -39,40 +41,51 @@ def main(argv: list[str] | None = None) -> int:
         args |= {"subject_backend": "keyword", "kg_backend": "heuristic", "embed_backend": "hashing"}
     options = options_from(args)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    from rillgraph.operators import evaluate, subjects, triples
-    from rillgraph.plans import pipeline
+    from rillgraph.operators import subjects, triples
+    from rillgraph.plans import clients, pipeline
+    from rillgraph.plans.files import exists
     from rillgraph.plans.ship import ship_package
-    from rillgraph.sources import corpus, kgstore, results
+    from rillgraph.sources import caches, corpus, kgstore, results
 
     ship_package(spark)
+    folder = args["store"] or options.kg_dir
+    if args["command"] == "graphs" and args["show"]:
+        kgstore.shown(kgstore.readable(kgstore.scan_json(spark, folder)), args["show"]).show(truncate=False)
+        return 0
+    posts = corpus.read_posts(spark, args["posts"] or options.data_file)
     if args["command"] == "evaluate":
-        from rillgraph.config import stamped_path
-
-        assigned = results.scan_assignments(spark, stamped_path(options.out_dir, "assignments", options.stamp()))
-        titles = results.scan_topics(spark, stamped_path(options.out_dir, "topics", options.stamp()))
-        texts = corpus.scan_posts(spark, args["posts"]).select("pid", "text").join(assigned.select("pid", "window"), "pid")
-        rows = results.standardised(assigned, evaluate.titles_in_text(texts, titles))
-        system = rows.select("sequence_id", "event_number", F.filter(F.split("title", r"\|"), lambda t: t != "").alias("titles"))
-        evaluate.evaluate(spark.read.parquet(args["gold"]), system).show(truncate=False)
+        gold = spark.read.parquet(args["gold"])
+        found = results.evaluated_runs(spark, posts, gold, options.out_dir, args["compat"]) if args["all"] else results.evaluated(spark, posts, gold, options.out_dir, options.stamp(), args["compat"])
+        if found is None:
+            print(f"no complete runs in {options.out_dir}")
+            return 1
+        results.save_table(found, f"{options.out_dir.rstrip('/')}/evaluation")
+        results.read_table(spark, f"{options.out_dir.rstrip('/')}/evaluation").show(truncate=False)
         return 0
-    posts = corpus.scan_posts(spark, args["posts"])
     lexicon = spark.read.parquet(args["lexicon"]) if args["lexicon"] else None
-    store = kgstore.readable(kgstore.scan_json(spark, args["store"])) if args["store"] and args["show"] else None
+    model = clients.classifier(options) if options.subject_backend == "model" else None
+    classifier = subjects.build_classifier(options.subject_backend, lexicon, model)
+    if args["score_cache"]:
+        classifier = caches.CachedClassifier(classifier, args["score_cache"], f"{options.subject_backend}-{options.subject_model}-{options.subject_score_mode}")
+    ask = clients.asker(options) if options.kg_backend == "client" else None
+    extractor = lambda p: pipeline.extracted(p, options, ask)
     if args["command"] == "graphs":
-        if args["show"]:
-            kgstore.graphs(store).where("size(triples) > 0").limit(args["show"]).show(truncate=False)
-            return 0
         if args["limit"]:
             posts = posts.orderBy("dt", "pid").limit(args["limit"])
         if args["subject_filter"]:
-            scores = subjects.build_classifier(options.subject_backend, lexicon).scores(posts)
-            posts = subjects.labelled_posts(posts, subjects.assign_subjects(scores, options.thresh_ps))
-        triples.triple_stats(kgstore.ensure_graphs(posts, args["store"], lambda p: triples.extract(p), options.kg_backend)).show()
+            posts = subjects.labelled_posts(posts, subjects.assign_subjects(classifier.scores(posts), options.thresh_ps))
+        triples.triple_stats(kgstore.ensure_graphs(posts, folder, extractor, options.kg_backend)).show()
         return 0
-    classifier = subjects.build_classifier(options.subject_backend, lexicon)
-    result = pipeline.run(posts, classifier, options)
+    store = None
+    if args["store"] or exists(spark, folder):  # what the store lacks is extracted and kept there
+        labelled = pipeline.prepared(posts, options)
+        labelled = subjects.labelled_posts(labelled, pipeline.assigned_subjects(labelled, classifier, options))
+        store = kgstore.ensure_graphs(labelled, folder, extractor, options.kg_backend)
+    encode = clients.encoder(options) if options.embed_backend == "model" else None
+    result = pipeline.run(posts, classifier, options, store, ask=ask, encode=encode)
     pipeline.save(result, options)
-    result.stats.show()
+    if options.verbose:
+        result.stats.show()
     return 0
 
 

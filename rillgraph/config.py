@@ -12,24 +12,28 @@ UNLABELLED_POSTS = 795
 
 @dataclass(frozen=True)
 class Options:
-    """Every option with its default. Nothing here is a Spark setting."""
+    """Every option with its default. Nothing here is a Spark setting. The ``*_client`` options name a function as
+    ``module:name`` that gives a model: see :mod:`rillgraph.plans.clients`."""
 
-    data_file: str = "AllData.npy"
+    data_file: str = "AllData.npy"  # the posts, where the command line names none
     window_hours: float = 12  # 0: the windows of the file
     max_windows: int | None = None
     subject_backend: str = "keyword"
+    subject_client: str = ""
     subject_model: str = ""
     thresh_ps: float = 0.5
     subject_score_mode: str = "softmax"
     calibrate_thresh_ps: bool = False
     kg_backend: str = "heuristic"
+    kg_client: str = ""
     kg_model: str = ""
-    kg_dir: str = "KnowledgeGraphs"
-    kg_workers: int = 8
+    kg_dir: str = "KnowledgeGraphs"  # the store, where the command line names none
+    kg_workers: int = 8  # tasks that ask a client at once
     kg_max_retries: int = 5
     kg_temperature: float | None = None
     kg_max_triples_per_post: int = 32
     embed_backend: str = "hashing"
+    embed_client: str = ""
     embed_model: str = ""
     embed_batch_size: int = 64
     embed_max_length: int = 32
@@ -50,7 +54,7 @@ class Options:
     min_event_size: int = 2
     out_dir: str = "SystemResults"
     seed: int = 1234
-    verbose: bool = True
+    verbose: bool = True  # print the statistics of a run
 
     def stamp(self) -> str:
         """``key-value`` pairs joined by ``_`` that tell parameter sets apart in result paths."""

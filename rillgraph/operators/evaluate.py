@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,28 @@ def first_number(labels: str | Column) -> Column:
     return F.coalesce(F.expr(f"try_cast(trim(split_part({labels}, ',', 1)) as int)") if isinstance(labels, str) else F.split_part(labels, F.lit(","), F.lit(1)).try_cast("int"), F.lit(-1))
 
 
+def _resolved(sets: pd.DataFrame) -> float:
+    """The entropy of one group: ``d``, label sets in the order of ``o``; ``n`` samples and weight ``w`` of each."""
+    flat = np.array([x for d in sets["d"] for x in d], object)
+    names, code = (np.unique(flat.astype(str), return_inverse=True) if len(flat) else (np.empty(0), np.empty(0, int)))
+    has = np.zeros((len(sets), len(names)), bool)
+    has[np.repeat(np.arange(len(sets)), sets["d"].map(len)), code] = True
+    seen = np.full(len(names), len(flat))
+    np.minimum.at(seen, code, np.arange(len(flat)))
+    n, w = sets["n"].to_numpy("int64"), sets["w"].to_numpy(float)
+    given, open_ = np.zeros(len(names)), np.ones(len(sets), bool)
+    while open_.any() and len(names):
+        count = n[open_] @ has[open_]
+        best = np.lexsort((seen, -count))[0]
+        if not count[best]:
+            break
+        mine = open_ & has[:, best]
+        given[best] = w[mine].sum()
+        open_ &= ~mine
+    given = given[given > 0]
+    return float(-(given * np.log2(given / given.sum())).sum())
+
+
 def entropy(samples: DataFrame, evals: str, desires: str, order: str) -> DataFrame:
     """``(entropy)`` of the labels ``desires`` within the groups of ``evals``, both arrays of labels without repeats.
 
@@ -35,31 +58,7 @@ def entropy(samples: DataFrame, evals: str, desires: str, order: str) -> DataFra
     sets = rows.groupBy("g", "d").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("o").alias("o"))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        pdf = pdf.sort_values("o", kind="stable")
-        labels, n, w = [list(d) for d in pdf["d"]], pdf["n"].tolist(), pdf["w"].tolist()
-        count: dict[str, int] = {}
-        for d, k in zip(labels, n):
-            for c in d:
-                count[c] = count.get(c, 0) + k
-        while count:
-            best = max(count, key=lambda c: count[c])
-            if not count[best]:
-                break
-            for i, d in enumerate(labels):
-                if best in d:
-                    for c in d:
-                        if c in count:
-                            count[c] -= n[i]
-                    labels[i] = [best]
-            count.pop(best)
-        sums: dict[str, float] = {}
-        for d, x in zip(labels, w):
-            if d:
-                sums[d[0]] = sums.get(d[0], 0.0) + x
-        whole = sum(sums.values())
-        return pd.DataFrame({"h": [-sum(s * math.log2(s / whole) for s in sums.values() if s > 0)]})
+        return pd.DataFrame({"h": [_resolved(pdf.sort_values("o", kind="stable"))]})
 
     h = sets.groupBy("g").applyInPandas(group, "h double")
     return h.agg(F.coalesce(F.sum("h"), F.lit(0.0)).alias("h")).join(F.broadcast(total)).select((F.col("h") / F.greatest("__all", F.lit(1))).alias("entropy"))
@@ -108,12 +107,27 @@ def merged_titles(rows: DataFrame) -> DataFrame:
     return label_titles(rows).select("label", F.array_join("titles", ",").alias("merged"))
 
 
-def _substrings(texts: DataFrame, column: str) -> DataFrame:
-    """``(word)``: everything that a word without spaces can be and still stand in one of the texts, once. This turns the
-    search for substrings into an equality join; a text of ``n`` letters between spaces gives ``n * (n + 1) / 2``."""
-    tokens = texts.select(F.explode(F.split(column, " ")).alias("t")).where("t <> ''").distinct()
-    starts = tokens.select("t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i"))
-    return starts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("i") + 1), lambda n: F.substring("t", F.col("i"), n))).alias("word")).distinct()
+#: Letters of a word by which it is looked up in a text before it is compared whole.
+KEY = 8
+
+
+def _places(texts: DataFrame, column: str, keep: list[str], lengths: DataFrame) -> DataFrame:
+    """``(*keep, token, at, key)``: of every word of a text the pieces that a looked-up word can begin with, one for each place and
+    each length in ``lengths`` (at most ``KEY`` of them): their number grows with the text, not with its square."""
+    tokens = texts.select(*keep, F.explode(F.split(column, " ")).alias("token")).where("token <> ''").distinct()
+    sizes = [r.n for r in lengths.select(F.least(F.col("n"), F.lit(KEY)).alias("n")).distinct().collect() if r.n]
+    starts = tokens.select(*keep, "token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("at"))
+    piece = lambda n: F.when(F.col("at") + n - 1 <= F.length("token"), F.substring("token", F.col("at"), F.lit(n)))
+    keys = F.array(*map(piece, sorted(sizes))) if sizes else F.array().cast("array<string>")
+    return starts.select(*keep, "token", "at", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
+
+
+def _standing(words: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """The distinct ``word``s, none with a space, that stand somewhere inside a word of the texts."""
+    words = words.select("word").where("word <> ''").distinct()
+    places = _places(texts, column, [], words.select(F.length("word").alias("n"))).distinct()
+    met = words.withColumn("key", F.substring("word", 1, KEY)).join(places, "key")
+    return met.where(F.substring("token", F.col("at"), F.length("word")) == F.col("word")).select("word").distinct()
 
 
 def topic_scores(gold: DataFrame, system: DataFrame) -> DataFrame:
@@ -133,10 +147,11 @@ def topic_scores(gold: DataFrame, system: DataFrame) -> DataFrame:
 
     whole_titles = gold.select(F.explode("titles").alias("word")).distinct()
     exact = counted(whole, whole_titles.where("word <> ''"))
-    right = system.join(exact.join(F.broadcast(whole.where("text <> ''").select("label")), "label", "left_semi").groupBy("label").agg(F.max("hit").alias("hit")), "label", "left")
-    found = counted(first, _substrings(whole, "text"))
+    right = system.join(exact.join(whole.where("text <> ''").select("label"), "label", "left_semi").groupBy("label").agg(F.max("hit").alias("hit")), "label", "left")
+    inside = lambda d, texts: counted(d, _standing(words(d), texts, "text"))
+    found = inside(first, whole)
     share = lambda d, to: d.agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(0.0)).alias(to))
-    parts = [share(right, "topic_precision"), share(found.groupBy("label").agg(F.max("hit").alias("hit")), "topic_recall"), share(counted(whole, _substrings(first, "text")), "keyword_precision"), share(found, "keyword_recall")]
+    parts = [share(right, "topic_precision"), share(found.groupBy("label").agg(F.max("hit").alias("hit")), "topic_recall"), share(inside(whole, first), "keyword_precision"), share(found, "keyword_recall")]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(F.broadcast(p))
@@ -147,8 +162,9 @@ def topic_scores(gold: DataFrame, system: DataFrame) -> DataFrame:
 def titles_in_text(posts: DataFrame, topics: DataFrame) -> DataFrame:
     """``(pid, titles)``: the titles of a post's window that stand in its text, joined by ``|``, in order.
 
-    ``posts`` has ``(pid, window, text)``, ``topics`` ``(window, title)``. Titles are found by their first word first, so
-    texts meet only titles that can stand in them: an equality join, then the exact test.
+    ``posts`` has ``(pid, window, text)``, ``topics`` ``(window, title)``. Titles are looked up by a whole inner word, by the word
+    that can end with their first of two, or by their first ``KEY`` letters, so texts meet only titles that can stand in them:
+    an equality join, then the exact test.
     """
     pieces = topics.where("title is not null and trim(title) <> ''").distinct()
     inner = pieces.withColumn("key", F.split_part("title", F.lit(" "), F.lit(2))).withColumn("many", F.size(F.split("title", " ")) >= 3)
@@ -159,10 +175,9 @@ def titles_in_text(posts: DataFrame, topics: DataFrame) -> DataFrame:
     subs = plain.withColumn("key", F.element_at(F.split("title", " "), 1))
     ends = words.select("pid", "window", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))), lambda i: F.substring("key", i, F.length("key")))).alias("key")).distinct()
     two = ends.join(subs.where("instr(title, ' ') > 0"), ["window", "key"]).select("pid", "window", "title")
-    pieces_ = posts.select("pid", "window", F.explode(F.array_distinct(F.split("text", " "))).alias("t")).where("t <> ''")
-    any_ = pieces_.select("pid", "window", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i"))
-    any_ = any_.select("pid", "window", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("i") + 1), lambda n: F.substring("t", F.col("i"), n))).alias("key")).distinct()
-    one = any_.join(subs.where("instr(title, ' ') = 0"), ["window", "key"]).select("pid", "window", "title")
+    single = subs.where("instr(title, ' ') = 0").withColumn("key", F.substring("title", 1, KEY))
+    any_ = _places(posts, "text", ["pid", "window"], single.select(F.length("title").alias("n"))).select("pid", "window", "key").distinct()
+    one = any_.join(single, ["window", "key"]).select("pid", "window", "title")
     candidates = met.unionByName(two).unionByName(one).distinct()
     hits = candidates.join(posts.select("pid", "text"), "pid").where(F.contains("text", "title"))
     return hits.groupBy("pid").agg(F.array_join(F.sort_array(F.collect_set("title")), "|").alias("titles"))

@@ -44,18 +44,22 @@ def window_clock(posts: DataFrame) -> DataFrame:
     return clock.withColumn("ordinal", F.row_number().over(Window.orderBy("window")).cast("long"))
 
 
-def subject_events(placed: DataFrame, clock: DataFrame, options: Options, embed: Embed | None = None) -> DataFrame:
+def subject_events(placed: DataFrame, clock: DataFrame, options: Options, embed: Embed | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """The events of every subject and window. ``placed`` has ``(subject_idx, window, pid, t, pos, h, r, o)``.
 
     The fold depends on the order of the stream, so a subject is one partition, sorted by (window, time, pid, place) and
     read as a stream of batches: memory holds the living entities and one batch, never the subject's history. Only ids,
-    times and phrases travel there.
+    times and phrases travel there; and the phrases' vectors, where they come from a table ``(phrase, vector)``.
     """
     rows = placed.select("subject_idx", "window", "pid", "t", "pos", *(normalise_phrase(F.col(c)).alias(c) for c in "hro"))
+    given = vectors is not None
+    for c in "hro" if given else ():
+        rows = rows.join(vectors.select(F.col("phrase").alias(c), F.col("vector").alias(f"v_{c}")), c, "left")
     ticks = list(clock.select("window", "ordinal", "now").toPandas().sort_values("window").itertuples(index=False, name=None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw = phrase_embedder(options, embed)
+        known: dict[str, np.ndarray] = {}  # vectors of the table, of the stretch at hand and of living entities
+        raw = phrase_embedder(options, embed) if not given else known.__getitem__
         vector = lambda p: unit(raw(p))
         subject, graph, tick = None, SubjectFold(options), 0
 
@@ -79,6 +83,12 @@ def subject_events(placed: DataFrame, clock: DataFrame, options: Options, embed:
                     out += close(float("inf"))
                     subject, graph, tick = own, SubjectFold(options), 0
                 out += close(window)
+                if given:
+                    living = {*graph.nodes.forms, *graph.edges.forms}
+                    for p in [p for p in known if p not in living]:
+                        del known[p]
+                    for c in "hro":
+                        known |= {p: np.asarray(v, "float32") for p, v in zip(part[c], part[f"v_{c}"]) if p}
                 graph.take(part["h"].tolist(), part["r"].tolist(), part["o"].tolist(), part["t"].to_numpy(), part["pid"].to_numpy(), vector)
             yield pd.DataFrame(out, columns=EVENT_COLUMNS)
         yield pd.DataFrame(close(float("inf")), columns=EVENT_COLUMNS)

@@ -97,10 +97,11 @@ def parse_triples(answers: str | Column) -> Column:
     return _parse(answers)
 
 
-def extract_with_client(posts: DataFrame, ask: Callable[[str], str], retries: int = 5, first_wait: float = 1.0, most: int = MAX_TRIPLES) -> DataFrame:
+def extract_with_client(posts: DataFrame, ask: Callable[[str], str], retries: int = 5, first_wait: float = 1.0, most: int = MAX_TRIPLES, workers: int | None = None) -> DataFrame:
     """``(pid, triples, status)`` from an injected client, asked once per post with retries and growing pauses.
 
-    An answer that never comes gives no triples and the status ``failed``, so it can be told from an empty graph.
+    An answer that never comes gives no triples and the status ``failed``, so it can be told from an empty graph. ``workers``
+    is the number of tasks, each of which asks one question at a time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +119,9 @@ def extract_with_client(posts: DataFrame, ask: Callable[[str], str], retries: in
                 status.append(state)
             yield pd.DataFrame({"pid": b["pid"], "triples": triples, "status": status})
 
-    out = posts.select("pid", F.concat_ws(" ", "tokens").alias("text")).mapInPandas(run, f"pid long, triples {TRIPLES}, status string")
+    texts = posts.select("pid", F.concat_ws(" ", "tokens").alias("text"))
+    texts = texts.repartition(workers, "pid") if workers else texts
+    out = texts.mapInPandas(run, f"pid long, triples {TRIPLES}, status string")
     return out.withColumn("triples", F.slice(clean_triples("triples"), 1, most))
 
 

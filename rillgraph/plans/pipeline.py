@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.config import Options
-from rillgraph.functions.text import epoch_seconds
+from rillgraph.functions.text import epoch_seconds, normalise_phrase
+from rillgraph.functions.vectors import build_embedder
 from rillgraph.operators import events, graph, subjects, triples, windows
 from rillgraph.plans.materialize import materialize
 from rillgraph.sources import kgstore, results
+from rillgraph.sources.caches import cached_embeddings
 
 
 @dataclass
@@ -43,19 +45,34 @@ def assigned_subjects(posts: DataFrame, classifier: subjects.SubjectClassifier,
     return scores.join(threshold).where(F.col("score") >= F.col("threshold").cast("float")).select("pid", "subject_idx")
 
 
-def run(posts: DataFrame, classifier: subjects.SubjectClassifier, options: Options | None = None, store: DataFrame | None = None, embed: Callable | None = None, ask: Callable | None = None) -> Run:
-    """All stages. ``store`` holds graphs that are already there; posts without one are extracted."""
+def extracted(posts: DataFrame, options: Options, ask: Callable | None = None) -> DataFrame:
+    """``(pid, triples, status)`` of posts by the options' backend."""
+    more = {"retries": options.kg_max_retries, "workers": options.kg_workers} if options.kg_backend == "client" else {}
+    return triples.extract(posts, options.kg_backend, ask, most=options.kg_max_triples_per_post, **more)
+
+
+def run(posts: DataFrame, classifier: subjects.SubjectClassifier, options: Options | None = None, store: DataFrame | None = None, embed: Callable | None = None, ask: Callable | None = None, encode: Callable | None = None) -> Run:
+    """All stages. ``store`` holds graphs that are already there; posts without one are extracted.
+
+    ``encode``, from lists of phrases to vectors, serves the backend ``model``: every phrase is embedded once, and kept in the
+    cache that the options name. ``embed``, from one phrase to its vector, takes the place of the backend.
+    """
     o = options or Options()
     posts = materialize(prepared(posts, o).select("pid", "tokens", "dt", "window"), "posts")
     assigned = materialize(assigned_subjects(posts, classifier, o), "assigned")
     kept = subjects.labelled_posts(posts, assigned)
     todo = kgstore.missing(kept, store) if store is not None else kept
-    graphs = triples.extract(todo, o.kg_backend, ask, most=o.kg_max_triples_per_post).where("status = 'ok'").select("pid", "triples")
+    graphs = extracted(todo, o, ask).where("status = 'ok'").select("pid", "triples")
     if store is not None:
         graphs = graphs.unionByName(kgstore.graphs(store))
     placed = graph.placed_triples(kept, assigned, graphs).join(posts.select("pid", "window"), "pid")
     clock = materialize(events.window_clock(posts), "clock")
-    found = materialize(events.subject_events(placed, clock, o, embed), "events")
+    vectors = None
+    if embed is None and o.embed_backend == "model":
+        placed = materialize(placed, "placed")
+        phrases = placed.select(F.explode(F.array(*(normalise_phrase(F.col(c)) for c in "hro"))).alias("phrase")).where("phrase <> ''")
+        vectors = cached_embeddings(phrases, o.embed_cache, o.embed_model, build_embedder("model", encode=encode, batch=o.embed_batch_size))
+    found = materialize(events.subject_events(placed, clock, o, embed, vectors), "events")
     finals, bridge = events.register(found, o.thresh_ts)
     finals = materialize(finals, "finals")
     numbered = found.join(bridge, ["subject_idx", "window", "event_no"])

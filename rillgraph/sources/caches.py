@@ -31,6 +31,16 @@ def cached_scores(posts: DataFrame, path: str, key: str, compute: Callable[[Data
     return spark.read.parquet(path).where((F.col("key") == key) & F.col("subject_idx").isNotNull()).join(posts.select("pid").distinct(), "pid", "left_semi").select("pid", "subject_idx", "score")
 
 
+class CachedClassifier:
+    """A classifier that asks another one only for posts without scores in the cache."""
+
+    def __init__(self, classifier, path: str, key: str) -> None:  # noqa: ANN001
+        self.classifier, self.path, self.key = classifier, path, key
+
+    def scores(self, posts: DataFrame) -> DataFrame:
+        return cached_scores(posts, self.path, self.key, self.classifier.scores)
+
+
 def cached_embeddings(phrases: DataFrame, path: str, model: str, embed: Callable) -> DataFrame:
     """``(phrase, vector)`` of the distinct phrases; each is embedded once per model and format."""
     spark = phrases.sparkSession

@@ -24,6 +24,15 @@ def scan_posts(spark: SparkSession, path: str) -> DataFrame:
     return posts if "ts" in posts.columns else posts.withColumn("ts", epoch_seconds("dt"))
 
 
+def read_posts(spark: SparkSession, path: str) -> DataFrame:
+    """Posts from Parquet or, by its name, from an ``.npy`` corpus; naming one means to trust it."""
+    if not path.endswith(".npy"):
+        return scan_posts(spark, path)
+    register(spark)
+    posts = spark.read.format("npy_corpus").option("path", path).option("trusted", "true").load()
+    return posts.withColumns({"text": text_of("tokens"), "ts": epoch_seconds("dt")})
+
+
 def from_nested(windows: DataFrame) -> DataFrame:
     """Posts from one row per window with parallel arrays (see :data:`rillgraph.schemas.NESTED`)."""
     zipped = F.arrays_zip(F.col("pids").alias("pid"), F.col("tokens"), F.col("types"), F.col("dts").alias("dt"), F.col("user_ids").alias("user_id"), F.col("deleted"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.config import SUBJECTS, parse_stamp
+from rillgraph.config import SUBJECTS, parse_stamp, stamped_path
 from rillgraph.functions.text import joined_nonempty
-from rillgraph.operators.evaluate import first_number
+from rillgraph.operators.evaluate import evaluate, first_number, titles_in_text
 from rillgraph.plans.files import children
 
 
@@ -78,6 +80,21 @@ def evaluation_report(figures: DataFrame, stamp: str) -> DataFrame:
     return figures.select(*(F.lit(v).alias(k) for k, v in parse_stamp(stamp).items()), "*")
 
 
+def evaluated(spark: SparkSession, posts: DataFrame, gold: DataFrame, out_dir: str, stamp: str, compat: str = "labels") -> DataFrame:
+    """The figures of one stored run, with the parameters of its stamp in front. ``posts`` has ``(pid, text)``."""
+    assigned = scan_assignments(spark, stamped_path(out_dir, "assignments", stamp))
+    texts = posts.select("pid", "text").join(assigned.select("pid", "window"), "pid")
+    rows = standardised(assigned, titles_in_text(texts, scan_topics(spark, stamped_path(out_dir, "topics", stamp))))
+    system = rows.select("sequence_id", "event_number", F.filter(F.split("title", r"\|"), lambda t: t != "").alias("titles"))
+    return evaluation_report(evaluate(gold, system, compat), stamp)
+
+
+def evaluated_runs(spark: SparkSession, posts: DataFrame, gold: DataFrame, out_dir: str, compat: str = "labels") -> DataFrame | None:
+    """The figures of every run in a folder that has both results, one row each; None where there is none."""
+    found = [evaluated(spark, posts, gold, out_dir, r.stamp, compat) for r in runs(spark, out_dir).orderBy("stamp").collect()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else None
+
+
 def standardised(assigned: DataFrame, titles: DataFrame) -> DataFrame:
     """``(sequence_id, event_number, window, title)``: assignments with the titles found in the text."""
     rows = assigned.join(titles, "pid", "left")

@@ -1,6 +1,7 @@
 """Operators on small literals."""
 
 import math
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -568,3 +569,15 @@ def test_materialize(spark):
 
 def test_pipeline_has_all_results():
     assert {"topics", "assignments", "report", "stats"} <= set(pipeline.Run.__dataclass_fields__)
+
+
+def test_every_option_is_read():
+    from dataclasses import fields
+    from pathlib import Path
+
+    import rillgraph
+
+    root = Path(rillgraph.__file__).parent
+    code = "\n".join(p.read_text() for p in root.rglob("*.py") if "llm" not in p.parts)
+    for f in fields(Options):
+        assert re.search(rf"(?:o|options|self)\.{f.name}\b", code), f.name
