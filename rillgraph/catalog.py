@@ -925,13 +925,14 @@ def q_first_number(s: SparkSession, d: str) -> DataFrame:
     return _read(s, d, "gold").select("sequence_id", "topics_id", evaluate.first_number("topics_id").alias("event_number"))
 
 
-@query(f"""with {POSTS_SQL}, tt as (select distinct w::bigint w, string_split(t, ' ')[1] title from (select w, unnest(titles) t from (select unnest(windows) w, titles from final_events))),
+@query(f"""with {POSTS_SQL}, tt as (select distinct win w, array_to_string(tokens[1:n], ' ') title from p, (values (1), (2), (3)) v(n) where len(tokens) >= n),
 x as (select pid, win, coalesce(array_to_string(tokens, ' '), '') txt from p)
-select pid, string_agg(distinct title, '|' order by title) titles from x join tt on w = win and title <> '' and contains(txt, title) group by pid""")
+select pid, string_agg(distinct title, '|' order by title) titles from x join tt on w = win and trim(title) <> '' and contains(txt, title) group by pid""")
 def q_title_in_text(s: SparkSession, d: str) -> DataFrame:
-    """The first words of the final events' titles, looked for in the texts of their windows."""
-    named = _read(s, d, "final_events").select(F.explode("windows").alias("window"), "titles").select(F.col("window").cast("long").alias("window"), F.explode("titles").alias("t")).select("window", F.split_part("t", F.lit(" "), F.lit(1)).alias("title"))
-    return evaluate.titles_in_text(_windowed(s, d).select("pid", "window", text.text_of("tokens").alias("text")), named)
+    """The first word, two and three words of every post as titles of its window, looked for in all texts of the window."""
+    posts = materialize(_windowed(s, d).select("pid", "window", "tokens"), "posts")
+    heads = posts.select("window", F.explode(F.array(*(F.when(F.size("tokens") >= n, F.concat_ws(" ", F.slice("tokens", 1, n))) for n in (1, 2, 3)))).alias("title"))
+    return evaluate.titles_in_text(posts.select("pid", "window", text.text_of("tokens").alias("text")), heads.where("title is not null"))
 
 
 @query(f"""with {POSTS_SQL}, tt as (select distinct w::bigint w, t title from (select w, unnest(titles) t from (select unnest(windows) w, titles from final_events))),

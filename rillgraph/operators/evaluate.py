@@ -172,11 +172,12 @@ def titles_in_text(posts: DataFrame, topics: DataFrame) -> DataFrame:
     words = posts.select("pid", "window", F.explode(F.array_distinct(F.split("text", " "))).alias("key"))
     met = words.join(keyed, ["window", "key"]).select("pid", "window", "title").distinct()
     plain = inner.where("not many").select("window", "title")
-    subs = plain.withColumn("key", F.element_at(F.split("title", " "), 1))
+    subs = plain.withColumn("base", F.trim("title"))  # a space at an end is left to the exact test
+    subs = subs.withColumn("key", F.element_at(F.split("base", " "), 1))
     ends = words.select("pid", "window", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))), lambda i: F.substring("key", i, F.length("key")))).alias("key")).distinct()
-    two = ends.join(subs.where("instr(title, ' ') > 0"), ["window", "key"]).select("pid", "window", "title")
-    single = subs.where("instr(title, ' ') = 0").withColumn("key", F.substring("title", 1, KEY))
-    any_ = _places(posts, "text", ["pid", "window"], single.select(F.length("title").alias("n"))).select("pid", "window", "key").distinct()
+    two = ends.join(subs.where("instr(base, ' ') > 0"), ["window", "key"]).select("pid", "window", "title")
+    single = subs.where("instr(base, ' ') = 0").withColumn("key", F.substring("base", 1, KEY))
+    any_ = _places(posts, "text", ["pid", "window"], single.select(F.length("base").alias("n"))).select("pid", "window", "key").distinct()
     one = any_.join(single, ["window", "key"]).select("pid", "window", "title")
     candidates = met.unionByName(two).unionByName(one).distinct()
     hits = candidates.join(posts.select("pid", "text"), "pid").where(F.contains("text", "title"))
