@@ -581,3 +581,21 @@ def test_every_option_is_read():
     code = "\n".join(p.read_text() for p in root.rglob("*.py") if "llm" not in p.parts)
     for f in fields(Options):
         assert re.search(rf"(?:o|options|self)\.{f.name}\b", code), f.name
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from rillgraph.plans.materialize import checkpoint_root
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="share"):
+        checkpoint_root(session("spark://host:7077"))
+
+
+def test_samples_do_not_depend_on_the_tasks(spark):
+    from rillgraph.plans.sampling import hash_sample
+
+    rows = spark.range(20_000).withColumnRenamed("id", "k")
+    got = [{r.k for r in hash_sample(rows.repartition(n), "k", 500).collect()} for n in (1, 16)]
+    assert got[0] == got[1] and 400 < len(got[0]) <= 500 and hash_sample(rows.limit(10), "k", 500).count() == 10
