@@ -1,7 +1,8 @@
-"""Small models fitted on the driver from bounded samples: logistic regression, boosted trees, Platt scaling."""
+"""Small models: logistic regression (also from sums over parts of the rows), boosted trees, Platt scaling."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,16 +22,27 @@ class Logistic:
     weights: np.ndarray | None = None
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 25) -> Logistic:
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
-        z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
-        w, ridge = np.zeros(z.shape[1]), np.r_[np.full(x.shape[1], self.l2), 1e-6]
-        for _ in range(steps):
+        return self.fit_sums(lambda f: f(x, y), steps)
+
+    def fit_sums(self, add: Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray], steps: int = 25) -> Logistic:
+        """``add(f)`` gives the sum of ``f(x, y)``, a vector, over all parts of the rows."""
+        n, *total = add(lambda x, y: np.r_[len(x), x.sum(0)])
+        mean = np.array(total) / n
+        scale = np.sqrt(add(lambda x, y: ((x - mean) ** 2).sum(0)) / n) + 1e-9
+        w, ridge = np.zeros(len(mean) + 1), np.r_[np.full(len(mean), self.l2), 1e-6]
+
+        def slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            z = np.c_[(x - mean) / scale, np.ones(len(x))]
             p = sigmoid(z @ w)
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
-            w -= step
+            return np.r_[z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()]
+
+        for _ in range(steps):
+            sums = add(slopes)
+            step = np.linalg.solve(sums[len(w) :].reshape(len(w), -1) + np.diag(ridge), sums[: len(w)] + ridge * w)
+            w = w - step
             if np.abs(step).max() < 1e-8:
                 break
-        self.weights = w
+        self.mean, self.scale, self.weights = mean, scale, w
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:

@@ -313,6 +313,84 @@ def test_subjects_of_held_out_posts(spark):
     assert total.count() == 8 and total.agg(F.sum("posts")).first()[0] == sum(map(len, got.values()))
 
 
+def test_every_labelled_post_counts(spark):
+    """24,000 labelled posts, each word in two of them: a word of any of them tells the subject of another post."""
+    n = 24_000
+    word = lambda pid: f"w{pid // 16}x{pid % 8}"
+    own = F.format_string("w%dx%d", F.expr("cast(id div 16 as int)"), F.expr("cast(id % 8 as int)"))
+    posts = spark.range(n).select(F.col("id").alias("pid"), F.array(own, own, own, own).alias("tokens"))
+    labels = spark.range(n).select(F.col("id").alias("pid"), F.element_at(F.array(*map(F.lit, subjects.SUBJECTS)), F.expr("cast(id % 8 + 1 as int)")).alias("label"))
+    lexicon = spark.createDataFrame([], "subject_idx int, subject string, term string")
+    model = subjects.fit_subjects(posts, labels, lexicon)
+    asked = range(0, n, 7)
+    got = {(r.pid, r.subject_idx) for r in subjects.subjects_of_posts(posts_of(spark, [(n + pid, [word(pid)] * 4) for pid in asked]), model).collect()}
+    assert got == {(n + pid, pid % 8) for pid in asked}
+
+
+def plain_gains(posts, weights, lexicon):
+    """Gains of the words and pairs of one model, in plain Python: posts' words, their share of each subject and of none."""
+    one, uses, both, seen = {}, {}, {}, Counter()
+    for p, w in zip(posts, weights):
+        for t in set(p):
+            one[t] = one.get(t, 0) + w
+        for t in p:
+            uses[t] = uses.get(t, 0) + w
+        for pair in itertools.pairwise(p):
+            both[pair] = both.get(pair, 0) + w
+            seen[pair] += 1
+    for s, t in lexicon:
+        one[t] = one.get(t, 0) + 3.0 * np.eye(9)[s]
+    total = sum(one.values())
+
+    def single(t):
+        general = (one[t].sum() + 0.01) / (total.sum() + 0.01 * len(one))
+        rest = one[t].sum() - one[t][:8]
+        return (one[t][:8] + 40 * general) / (total[:8] + 40), (rest + 40 * general) / (total.sum() - total[:8] + 40)
+
+    gain = lambda p, q: np.clip(np.log(p) - np.log(q), -3, 3)
+    found = {(t,): gain(*single(t)) for t in one}
+    for (a, b), n in both.items():
+        if seen[a, b] > 1:
+            (p1, q1), h = single(b), uses[a]
+            found[a, b] = gain(0.3 * n[:8] / (h[:8] + 1) + 0.7 * p1, 0.3 * (n.sum() - n[:8]) / (h.sum() - h[:8] + 1) + 0.7 * q1)
+    return found
+
+
+def test_gains_of_every_model(spark, monkeypatch):
+    """The gains of the models with and without each fold against plain Python, at small buckets and blocks; thresholds and the
+    acceptance against all rows at once."""
+    monkeypatch.setattr(subjects, "TOKENS_A_BUCKET", 500)
+    monkeypatch.setattr(subjects, "BLOCK_BITS", 3)
+    rows, labels, lexicon, _ = labelled_posts(spark, 60)
+    posts = posts_of(spark, [*rows, rows[1], (10**6, None), (10**6 + 1, ["c1", None, "c2"])])
+    labels = spark.createDataFrame([*labels, labels[0], (10**6 + 1, "sport"), (7, None), (None, "sport"), (10**7, "sport")], "pid bigint, label string")
+    trained, sets, terms = subjects.labelled(posts, labels, spark.createDataFrame(lexicon, "subject_idx int, subject string, term string"))
+    tokens = dict(rows) | {10**6 + 1: ["c1", "c2"]}
+    every = {r.pid: r for r in trained.collect()}
+    assert set(every) == {p for p in tokens if p % 2 or p == 10**6 + 1} | {r.pid for r in labels.collect() if r.pid in tokens} and sum(sets.values()) == len(every)
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in {t for p in tokens.values() for t in p} | {t for _, t in terms}], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    got = {m: {} for m in range(subjects.FOLDS + 1)}
+    for r in (known := subjects.gains(trained, terms)).collect():
+        assert r.key not in got[r.model]
+        got[r.model][r.key] = np.array([r.g0, r.g1, r.g2, r.g3]).view("float32")
+    one = lambda *x: np.array([hashes[x[0]]]) if len(x) == 1 else subjects.pair_key(np.array([hashes[x[0]]]), np.array([hashes[x[1]]]))
+    for m in range(subjects.FOLDS + 1):
+        used = [p for p, r in sorted(every.items()) if r.fold != m]
+        about = [[s for s in range(8) if every[p].subjects >> s & 1] or [8] for p in used]
+        want = plain_gains([tokens[p] for p in used], [np.eye(9)[a].mean(0) for a in about], terms)
+        assert len(got[m]) == len(want) and all(np.allclose(got[m][int(one(*x)[0])], g, atol=1e-5) for x, g in want.items())
+    out = lambda t, x: pa.table({"subjects": t["subjects"], "x": subjects._binary(x.reshape(len(x), -1))})
+    table = subjects.with_features(trained.select("block", "subjects", "codes"), known, out, "subjects int, x binary").toPandas()
+    x = np.frombuffer(b"".join(table["x"])).reshape(-1, 8)
+    y = subjects._truth(table["subjects"].to_numpy()).reshape(-1)
+    accept = fitting.Logistic().fit(x, y)
+    model = subjects.fit_subjects(posts, labels, spark.createDataFrame(lexicon, "subject_idx int, subject string, term string"))
+    assert np.allclose(model.accept.weights, accept.weights, atol=1e-6)
+    p = accept.predict(x)
+    f1 = lambda at: 2 * y[p >= at].sum() / ((p >= at).sum() + y.sum())
+    assert max(map(f1, np.unique(p))) == pytest.approx(f1(model.thresholds[0]), abs=1e-6)
+
+
 def test_subjects_without_labels(spark):
     posts = posts_of(spark, [(1, ["a"])])
     lexicon = spark.createDataFrame([], "subject_idx int, subject string, term string")
