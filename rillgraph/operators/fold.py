@@ -20,6 +20,7 @@ from rillgraph.operators.cluster import clusters_of
 
 Embed = Callable[[str], np.ndarray]
 _TOGETHER = 512  # unknown phrases that are settled on one product
+_BLOCK = 256  # vectors whose distances to all centres are estimated by one product
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -199,25 +200,56 @@ class SubjectFold:
 
 
 class GlobalEvents:
-    """Centres of the global events: each vector joins the nearest centre within the threshold, else opens one."""
+    """Centres of the global events: each vector joins the nearest centre within the threshold, else opens one.
 
-    def __init__(self, threshold: float) -> None:
+    Vectors are taken ``_BLOCK`` at a time: one matrix product estimates their distances to all centres, and only what moves or
+    opens meanwhile is estimated again. The centres that the rounding of an estimate leaves open are measured exactly, so the
+    result is that of measuring them all.
+    """
+
+    def __init__(self, threshold: float, centres: np.ndarray | None = None, sizes: np.ndarray | None = None) -> None:
         self.threshold = threshold
-        self.centres = np.zeros((0, 0), "float32")
-        self.sizes = np.empty(0, "int64")
+        self._n = 0 if centres is None else len(centres)
+        c = np.zeros((0, 0), "float32") if not self._n else np.asarray(centres, "float32")
+        self._room = np.concatenate([c, (c * c).sum(1, keepdims=True)], 1)  # the centres, and the square of each one's length
+        self._count = np.empty(0, "int64") if sizes is None else np.asarray(sizes, "int64")
+
+    @property
+    def centres(self) -> np.ndarray:
+        return self._room[: self._n, :-1]
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return self._count[: self._n]
 
     def join(self, vectors: np.ndarray) -> np.ndarray:
         """The number, from 1, of the global event of each vector, in order. A centre is the mean of what joined it."""
         v = np.asarray(vectors, "float32")
-        n, m = len(self.sizes), len(v)
-        centres = np.concatenate([self.centres if n else np.zeros((0, v.shape[1]), "float32"), np.zeros_like(v)])
-        sizes, numbers = np.r_[self.sizes, np.zeros(m, "int64")], np.empty(m, "int64")
+        return np.concatenate([np.empty(0, "int64"), *(self._block(v[lo : lo + _BLOCK]) for lo in range(0, len(v), _BLOCK))])
+
+    def _block(self, v: np.ndarray) -> np.ndarray:
+        m, width = v.shape
+        if self._n + m > len(self._room):
+            more = max(self._n, 4 * _BLOCK)
+            self._room = np.concatenate([self._room[: self._n] if self._n else np.zeros((0, width + 1), "float32"), np.zeros((more, width + 1), "float32")])
+            self._count = np.r_[self.sizes, np.zeros(more, "int64")]
+        own = np.einsum("ij,ij->i", v, v)
+        far = np.empty((m, self._n + m), "float32")  # estimates of the squared distances, less the square of the vector
+        asked = np.concatenate([-2 * v, np.ones((m, 1), "float32")], 1)
+        np.matmul(asked, self._room[: self._n].T, out=far[:, : self._n])
+        # More than an estimate and a measured distance are off by; no number where a vector or a centre has none: all are measured.
+        slack = np.float32(16 * width * np.finfo("float32").eps) * np.maximum(self._room[: self._n, -1].max(initial=0), own.max(initial=0))
+        numbers = np.empty(m, "int64")
         for i in range(m):
-            far = np.linalg.norm(centres[:n] - v[i], axis=1)
-            at = int(far.argmin()) if n and far.min() < self.threshold else n
-            n += at == n
-            sizes[at] += 1
-            centres[at] = centres[at] * np.float32((sizes[at] - 1) / sizes[at]) + v[i] * np.float32(1 / sizes[at])
+            n, row = self._n, far[i, : self._n]
+            close = np.flatnonzero(row <= row.min() + slack) if n and np.isfinite(slack) else np.arange(n)
+            exact = np.linalg.norm(self._room[close, :-1] - v[i], axis=1)
+            at = int(close[exact.argmin()]) if n and exact.min() < self.threshold else n
+            self._n += at == n
+            self._count[at] += 1
+            size = self._count[at]
+            self._room[at, :-1] = c = self._room[at, :-1] * np.float32((size - 1) / size) + v[i] * np.float32(1 / size)
+            self._room[at, -1] = c @ c
+            far[i + 1 :, at] = asked[i + 1 :] @ self._room[at]
             numbers[i] = at + 1
-        self.centres, self.sizes = centres[:n], sizes[:n]
         return numbers

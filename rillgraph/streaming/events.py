@@ -135,7 +135,7 @@ class RunningRegistry:
         if done >= 0:
             rows = spark.read.parquet(f"{root}/{done}").orderBy("number").toPandas()
             if len(rows):
-                known.centres, known.sizes = np.stack(rows["centre"].to_list()).astype("float32"), rows["n"].to_numpy("int64")
+                known = GlobalEvents(self.threshold, np.stack(rows["centre"].to_list()), rows["n"].to_numpy("int64"))
         batches = sorted(int(n.removeprefix("batch=")) for n in children(spark, f"{self.sink.folder}/events") if n.startswith("batch="))
         for batch in (b for b in batches if b > done):
             found = spark.read.parquet(f"{self.sink.folder}/events/batch={batch}").where("vector is not null").orderBy("window", "subject_idx", "event_no")

@@ -426,6 +426,29 @@ def test_detect_and_registry():
     assert np.allclose(r.centres[0], [5.0, 0.25, 0.25]) and r.sizes.tolist() == [2, 1]
 
 
+def _joined_plainly(vectors, threshold):
+    """Every vector measured against every centre, one after another."""
+    centres, sizes, numbers = [], [], []
+    for v in np.asarray(vectors, "float32"):
+        far = np.linalg.norm(np.array(centres) - v, axis=1) if centres else np.array([np.inf])
+        at = int(far.argmin()) if centres and far.min() < threshold else len(centres)
+        if at == len(centres):
+            centres, sizes = [*centres, np.zeros_like(v)], [*sizes, 0]
+        sizes[at] += 1
+        centres[at] = centres[at] * np.float32((sizes[at] - 1) / sizes[at]) + v * np.float32(1 / sizes[at])
+        numbers.append(at + 1)
+    return numbers, np.array(centres), sizes
+
+
+def test_registry_measures_few_centres(monkeypatch):
+    """Joining measures the centres that can be the nearest, not all of them: else its time grows with the square."""
+    v, rows, norm = np.random.default_rng(4).normal(size=(1500, 16)) * 5, [], np.linalg.norm
+    monkeypatch.setattr(np.linalg, "norm", lambda x, *a, **k: rows.append(len(x)) or norm(x, *a, **k))
+    numbers = fold.GlobalEvents(12.0).join(v)
+    monkeypatch.undo()
+    assert sum(rows) < 20 * len(v) and numbers.tolist() == _joined_plainly(v, 12.0)[0] and numbers.max() > 300
+
+
 def test_register_matches_the_fold(spark):
     rng = np.random.default_rng(2)
     rows = [(int(s), int(w), k, [f"t{k}", "t"], [k, 1], rng.normal(size=4).tolist()) for k, (s, w) in enumerate(rng.integers(0, 8, (40, 2)))]
