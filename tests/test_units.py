@@ -449,6 +449,21 @@ def test_registry_measures_few_centres(monkeypatch):
     assert sum(rows) < 20 * len(v) and numbers.tolist() == _joined_plainly(v, 12.0)[0] and numbers.max() > 300
 
 
+def test_registry_ties_and_stretches():
+    """Equal and zero vectors, ones that are no numbers, any cut of the stream, and centres that were stored: as measured plainly."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (700, 4)).astype("float32")
+    v[::50] = 0
+    for rows, threshold in ((v, 1.5), (np.where(np.arange(700)[:, None] == 650, np.nan, v), 1.5), (v[:0], 1.0), (v, 0.0)):
+        numbers, centres, sizes = _joined_plainly(rows, threshold)
+        known = fold.GlobalEvents(threshold)
+        assert np.concatenate([known.join(rows[:100]), known.join(rows[100:])]).tolist() == numbers
+        assert known.sizes.tolist() == sizes and (not len(rows) or np.array_equal(known.centres, centres, equal_nan=True))
+    first = fold.GlobalEvents(1.5)
+    first.join(v[:300])
+    assert fold.GlobalEvents(1.5, first.centres, first.sizes).join(v[300:]).tolist() == _joined_plainly(v, 1.5)[0][300:]
+
+
 def test_register_matches_the_fold(spark):
     rng = np.random.default_rng(2)
     rows = [(int(s), int(w), k, [f"t{k}", "t"], [k, 1], rng.normal(size=4).tolist()) for k, (s, w) in enumerate(rng.integers(0, 8, (40, 2)))]
