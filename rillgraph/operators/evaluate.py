@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillgraph.plans.materialize import materialize
+
 WRONG = "WRONGDETECT"
 
 
@@ -159,29 +164,114 @@ def topic_scores(gold: DataFrame, system: DataFrame) -> DataFrame:
     return out.select("topic_precision", "topic_recall", f1("topic_precision", "topic_recall").alias("topic_f1"), "keyword_precision", "keyword_recall", f1("keyword_precision", "keyword_recall").alias("keyword_f1"))
 
 
+class WindowTitles:
+    """The titles of a window, found in texts. A title stands in a text where its words do: a word alone inside a word of the
+    text; of several words the first one ends a word, the last one begins one, and those between are whole, in a row."""
+
+    def __init__(self) -> None:
+        self.alone: set[str] = set()
+        self.lengths: set[int] = set()
+        self.several: dict[str, dict[int, dict[tuple[str, ...], set[str]]]] = {}  # first word, number and words between, last words
+        self.known: dict[str, tuple] = {}  # what was found of the words of texts
+
+    def add(self, title: str) -> None:
+        self.known.clear()
+        first, *between = title.split(" ")
+        if between:
+            last = between.pop()
+            self.several.setdefault(first, {}).setdefault(len(between), {}).setdefault(tuple(between), set()).add(last)
+        else:
+            self.alone.add(title)
+            self.lengths.add(len(title))
+
+    def _word(self, word: str) -> tuple[list[str], list[tuple[str, set[str]]], list[tuple[str, int, dict]]]:
+        """The titles inside a word; of titles whose first word ends it: the last words of those of two, the rest of longer ones."""
+        n = len(word)
+        inside = {x for m in self.lengths if m <= n for k in range(n - m + 1) if (x := word[k : k + m]) in self.alone}
+        ends = [(x, m, rest) for x in (word[k:] for k in range(n + 1)) for m, rest in self.several.get(x, {}).items()]
+        return list(inside), [(x, rest[()]) for x, m, rest in ends if not m], [e for e in ends if e[1]]
+
+    def found(self, text: str) -> set[str]:
+        out: set[str] = set()
+        words = text.split(" ")
+        for i, word in enumerate(words):
+            if (of := self.known.get(word)) is None:
+                of = self.known[word] = self._word(word)
+            out.update(of[0])
+            left = len(words) - i - 1
+            if left and of[1]:
+                end = words[i + 1]
+                heads = [end[:k] for k in range(len(end) + 1)]
+                for first, lasts in of[1]:
+                    for x in heads if len(lasts) > 2 else lasts:
+                        if x in lasts if len(lasts) > 2 else end.startswith(x):
+                            out.add(f"{first} {x}")
+            if left > 1 and of[2]:
+                pair = (words[i + 1],)
+                for first, n, rest in of[2]:
+                    if n < left and (lasts := rest.get(between := pair if n == 1 else tuple(words[i + 1 : i + n + 1]))):
+                        end = words[i + n + 1]
+                        out.update(" ".join((first, *between, x)) for x in lasts if end.startswith(x))
+        return out
+
+
+#: Titles of a window that one task holds, and posts of a window that one task reads (in ``MOST_TASKS`` tasks at most).
+TITLES_AT_ONCE, POSTS_AT_ONCE, MOST_TASKS = 500_000, 10_000, 16
+
+
 def titles_in_text(posts: DataFrame, topics: DataFrame) -> DataFrame:
     """``(pid, titles)``: the titles of a post's window that stand in its text, joined by ``|``, in order.
 
-    ``posts`` has ``(pid, window, text)``, ``topics`` ``(window, title)``. Titles are looked up by a whole inner word, by the word
-    that can end with their first of two, or by their first ``KEY`` letters, so texts meet only titles that can stand in them:
-    an equality join, then the exact test.
+    ``posts`` has ``(pid, window, text)``, ``topics`` ``(window, title)``. A window's titles go to the tasks that read its posts,
+    each in as many parts as ``TITLES_AT_ONCE`` asks for; texts and titles travel, but no pieces of words. A post is in one window.
     """
-    pieces = topics.where("title is not null and trim(title) <> ''").distinct()
-    inner = pieces.withColumn("key", F.split_part("title", F.lit(" "), F.lit(2))).withColumn("many", F.size(F.split("title", " ")) >= 3)
-    keyed = inner.where("many").drop("many")  # an inner word stands in the text between two spaces
-    words = posts.select("pid", "window", F.explode(F.array_distinct(F.split("text", " "))).alias("key"))
-    met = words.join(keyed, ["window", "key"]).select("pid", "window", "title").distinct()
-    plain = inner.where("not many").select("window", "title")
-    subs = plain.withColumn("base", F.trim("title"))  # a space at an end is left to the exact test
-    subs = subs.withColumn("key", F.element_at(F.split("base", " "), 1))
-    ends = words.select("pid", "window", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))), lambda i: F.substring("key", i, F.length("key")))).alias("key")).distinct()
-    two = ends.join(subs.where("instr(base, ' ') > 0"), ["window", "key"]).select("pid", "window", "title")
-    single = subs.where("instr(base, ' ') = 0").withColumn("key", F.substring("base", 1, KEY))
-    any_ = _places(posts, "text", ["pid", "window"], single.select(F.length("base").alias("n"))).select("pid", "window", "key").distinct()
-    one = any_.join(single, ["window", "key"]).select("pid", "window", "title")
-    candidates = met.unionByName(two).unionByName(one).distinct()
-    hits = candidates.join(posts.select("pid", "text"), "pid").where(F.contains("text", "title"))
-    return hits.groupBy("pid").agg(F.array_join(F.sort_array(F.collect_set("title")), "|").alias("titles"))
+    titles = materialize(topics.where("title is not null and trim(title) <> ''").select("window", "title").distinct(), "window-titles")
+    parts = titles.groupBy("window").agg(F.ceil(F.count("*") / TITLES_AT_ONCE).alias("parts"))
+    salts = posts.groupBy("window").agg(F.least(F.ceil(F.count("*") / POSTS_AT_ONCE), F.lit(MOST_TASKS)).alias("salts"))
+    plan = F.broadcast(materialize(parts.join(salts, "window"), "window-tasks"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    task = lambda key, c: F.pmod(F.xxhash64(key), F.col(c))
+    held = titles.join(plan, "window").select("window", task("title", "parts").alias("part"), every("salts").alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast(posts.schema["pid"].dataType).alias("pid"), F.col("title").alias("text"))
+    read = posts.where("pid is not null and text is not null").join(plan, "window").select("window", every("parts").alias("part"), task("pid", "salts").alias("salt"), F.lit(1).alias("kind"), "pid", "text")
+    rows = held.unionByName(read).repartition("window", "part", "salt").sortWithinPartitions("window", "part", "salt", "kind", "pid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, own, found = None, WindowTitles(), None, set()
+        out: tuple[list, list] = [], []
+
+        def close() -> None:
+            if found:
+                out[0].append(own)
+                out[1].append("|".join(sorted(found)))
+                found.clear()
+
+        def batch() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.string())], ["pid", "titles"])
+            out[0].clear(), out[1].clear()
+            return rows
+
+        kind = pa.int64()
+        for b in batches:
+            kind = b.schema.field("pid").type
+            for asked, pid, text, *key in zip(*(b.column(c).to_pylist() for c in ("kind", "pid", "text", "window", "part", "salt"))):
+                if key != at or pid != own:
+                    close()
+                    own = pid
+                if key != at:
+                    at, known = key, WindowTitles()
+                if asked:
+                    found |= known.found(text)
+                else:
+                    known.add(text)
+            yield batch()
+        close()
+        yield batch()
+
+    hits = rows.mapInArrow(run, f"pid {posts.schema['pid'].dataType.simpleString()}, titles string")
+    if not plan.where("parts > 1").limit(1).count():
+        return hits
+    each = F.explode(F.split("titles", r"\|"))  # of several parts of a window's titles
+    return hits.select("pid", each.alias("title")).groupBy("pid").agg(F.array_join(F.array_sort(F.collect_set("title")), "|").alias("titles"))
 
 
 def evaluate(gold: DataFrame, system: DataFrame, compat: str = "labels") -> DataFrame:

@@ -550,6 +550,21 @@ def test_titles_in_text(spark):
     assert {r.pid: r.titles for r in evaluate.titles_in_text(posts, topics).collect()} == {1: "e big|ig fire tow|ower"}
 
 
+def test_titles_in_text_by_parts_and_tasks(spark, monkeypatch):
+    """Every title that stands in a text, however a window is cut; only texts and titles travel, no pieces of their words."""
+    rng = np.random.default_rng(6)
+    phrase = lambda most: "".join(rng.choice(list("ab  c"), rng.integers(0, most)))
+    titles = sorted({(int(w), phrase(7)) for w in rng.integers(1, 4, 300)} | {(1, " "), (1, "a"), (2, "a b a b")})
+    posts = [(k, k % 4, phrase(25)) for k in range(80)] + [(99, 1, None)]
+    want = {k: "|".join(sorted(t for v, t in titles if v == w and t.strip(" ") and t in x)) for k, w, x in posts if x}
+    at = [spark.createDataFrame(posts, "pid long, window long, text string"), spark.createDataFrame(titles, "window long, title string")]
+    for sizes in ((500_000, 10_000), (10, 7), (500_000, 7)):
+        monkeypatch.setattr(evaluate, "TITLES_AT_ONCE", sizes[0])
+        monkeypatch.setattr(evaluate, "POSTS_AT_ONCE", sizes[1])
+        got = evaluate.titles_in_text(*at).collect()
+        assert {r.pid: r.titles for r in got} == {k: t for k, t in want.items() if t} and len(got) == len({r.pid for r in got})
+
+
 # -- sources and sinks
 
 
