@@ -3,6 +3,7 @@ activity of a window; each group is one task."""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -125,30 +126,59 @@ def spectral(n: int, edges: list[tuple[int, int, float]], vectors: np.ndarray |
     return label.tolist()
 
 
+#: Rows whose similarities are looked at together, and pairs that are measured together.
+_ROWS, _PAIRS = 256, 10_000
+
+
 def hierarchical(n: int, edges: list[tuple[int, int, float]], vectors: np.ndarray | None = None, distance: float = 0.5, **_: float) -> list[int]:
-    """Average linkage on cosine distances of the node vectors, cut at ``distance``; edge weights do not matter."""
+    """Average linkage on cosine distances of the node vectors, cut at ``distance``; edge weights do not matter.
+
+    The mean distance of two clusters follows from the sums of their unit vectors, and it is within ``distance`` only if some
+    pair of their nodes is. So only such pairs are kept, not all: memory grows with them and with the vectors. Of equal
+    distances (to nine places) the pair with the smallest first nodes comes first.
+    """
     if n < 2 or vectors is None:
         return [0] * n
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    d = 1 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    groups: dict[int, list[int]] = {i: [i] for i in range(n)}
-    while len(groups) > 1:
-        i, j = np.unravel_index(int(d.argmin()), d.shape)
-        if d[i, j] > distance:
-            break
-        i, j = min(i, j), max(i, j)
-        a, b = len(groups[i]), len(groups[j])
-        merged = (a * d[i] + b * d[j]) / (a + b)
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        groups[i] += groups.pop(j)
-    label = [0] * n
-    for c, nodes in enumerate(groups.values()):
-        for x in nodes:
-            label[x] = c
-    return label
+    sums = np.asarray(vectors, float)
+    sums = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    quick, size, version = sums.astype("float32"), np.ones(n, int), [0] * n
+    near: list[set[int]] = [set() for _ in range(n)]
+    waiting: list[tuple[float, int, int, int, int]] = []
+    for lo in range(0, n, _ROWS):
+        a, b = np.nonzero(quick[lo : lo + _ROWS] @ quick[lo:].T >= 1 - distance - 1e-4)
+        a, b = a[a < b] + lo, b[a < b] + lo
+        for k in range(0, len(a), _PAIRS):
+            i, j = a[k : k + _PAIRS], b[k : k + _PAIRS]
+            for x, y, d in zip(i.tolist(), j.tolist(), np.round(1 - np.einsum("ij,ij->i", sums[i], sums[j]), 9).tolist()):
+                near[x].add(y)
+                near[y].add(x)
+                if d <= distance:
+                    waiting.append((d, x, y, 0, 0))
+    heapq.heapify(waiting)
+    label = list(range(n))  # of a node: the node that its cluster was merged into
+    while waiting:
+        _d, i, j, *seen = heapq.heappop(waiting)
+        if seen != [version[i], version[j]]:
+            continue
+        label[j], version[i], version[j] = i, version[i] + 1, -1
+        sums[i] += sums[j]
+        size[i] += size[j]
+        for x in near[j]:
+            near[x].discard(j)
+            near[x].add(i)
+        near[i] = (near[i] | near[j]) - {i, j}
+        near[j] = set()
+        others = np.fromiter(near[i], int, len(near[i]))
+        for k in range(0, len(others), _PAIRS):
+            some = others[k : k + _PAIRS]
+            far = np.round(1 - sums[some] @ sums[i] / (size[some] * size[i]), 9)
+            for x, d in zip(some[far <= distance].tolist(), far[far <= distance].tolist()):
+                lo, hi = min(i, x), max(i, x)
+                heapq.heappush(waiting, (d, lo, hi, version[lo], version[hi]))
+    for x in range(n):
+        label[x] = label[label[x]]  # a cluster is merged into one with a smaller first node
+    names = {c: k for k, c in enumerate(dict.fromkeys(label))}
+    return [names[c] for c in label]
 
 
 METHODS: dict[str, Callable[..., list[int]]] = {"louvain": louvain, "spectral": spectral, "hcluster": hierarchical, "components": lambda n, e, v=None, **_: connected(n, e)}

@@ -1,6 +1,7 @@
 """Operators on small literals."""
 
 import math
+import tracemalloc
 import re
 from datetime import datetime, timedelta
 
@@ -338,6 +339,27 @@ def test_clustering_edges():
         cluster.clusters_of("other", 1, [])
 
 
+def test_average_linkage_keeps_no_square():
+    """As plain average linkage; and of 6,000 nodes memory holds the near pairs, not the matrix of all distances (144 MB)."""
+    rng = np.random.default_rng(8)
+    for n, spread in ((60, 0.5), (120, 1.0), (40, 0.2)):
+        v = rng.normal(size=(4, 6))[rng.integers(0, 4, n)] + spread * rng.normal(size=(n, 6))
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        groups = [[k] for k in range(n)]
+        while len(groups) > 1:
+            d, a, b = min((float((1 - unit[x] @ unit[y].T).mean()), k, m) for k, x in enumerate(groups) for m, y in enumerate(groups) if k < m)
+            if d > 0.5:
+                break
+            groups[a] += groups.pop(b)
+        assert cluster.clusters_of("hcluster", n, [], v, distance=0.5) == sorted(map(sorted, groups))
+    v = rng.normal(size=(6000, 32))
+    tracemalloc.start()
+    labels = cluster.hierarchical(6000, [], np.concatenate([v[:3000], v[:3000]]), distance=0.2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert labels[:3000] == labels[3000:] and most < 60e6
+
+
 def test_cluster_graphs(spark):
     nodes = spark.createDataFrame([(s, f"n{i}") for s in (0, 1) for i in range(6)], "subject_idx int, node string")
     pairs = spark.createDataFrame([(0, f"n{a}", f"n{b}", w) for a, b, w in TWO], "subject_idx int, a string, b string, weight double")
